@@ -12,6 +12,23 @@ from gaplens.llm.line_dedup import dedup_lines
 from gaplens.llm.media import media_column, media_features
 from gaplens.llm.ngram_join import ngram_components
 from gaplens.llm.quality_rules import quality_verdicts
+from gaplens.llm.raking import mix_weights
+from gaplens.llm.sentence_spans import dedup_spans
+from gaplens.llm.sentencepiece_nbest import decode_column, encode_column, ids_digest
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = decode_column(encode_column(documents(spark, sf_dir)))
+    return decoded.select("doc_id", F.size("ids").alias("n_pieces"), ids_digest().alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.transform("nbest_scores", lambda x: F.round(x, 4)).alias("nbest_scores"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_spans(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", F.col("__n_sentences").alias("n_sentences"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_weights(documents(spark, sf_dir))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +49,9 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_source_mixing": op3_source_mixing,
     "op4_ngram_join": op4_ngram_join,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
