@@ -6,11 +6,15 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A join side is broadcast only if its rows are counted and stay below this many bytes.
 BROADCAST_BYTES = 32 << 20
+#: Edges that a task contracts at a time; more go through in further chunks.
+CONTRACT_EDGES = 1 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -69,15 +73,50 @@ def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def _contracted(batches):
+    """Edges of at most CONTRACT_EDGES at a time, each chunk as links from its nodes to their least connected node."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]))
+        n += len(batch)
+        if n >= CONTRACT_EDGES:
+            yield _forest(np.concatenate(held, axis=1))
+            held, n = [], 0
+    if n:
+        yield _forest(np.concatenate(held, axis=1))
+
+
+def _forest(ends: np.ndarray) -> pa.RecordBatch:
+    nodes, at = np.unique(ends, return_inverse=True)
+    a, b = at.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root = root[root]
+    moved = root != np.arange(len(nodes))
+    return pa.record_batch([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], names=["u", "v"])
+
+
+def _is_settled(edges: DataFrame) -> bool:
+    """Whether every node with a lesser one has that one only, and that one has none: one aggregation of the nodes."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("v").alias("n"), F.lit(0).alias("o"), F.lit(1).alias("i"))))
+    nodes = edges.select(ends.alias("e")).groupBy("e.n").agg(F.sum("e.o").alias("o"), F.max("e.i").alias("i"))
+    return nodes.agg(F.count_if((F.col("o") > 1) | ((F.col("o") == 1) & (F.col("i") == 1)))).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (src long, dst long): rows (node, component), component the least node.
 
-    Alternating large-star and small-star rounds; each is one shuffle of the edges, and
-    each round's edges are written to the shared folder. Isolated nodes are not listed.
+    Each task first contracts its own edges in bounded chunks. Then large-star and small-star
+    alternate; each needs a least neighbour (pre-aggregated, so a hot node costs no task) and a
+    join. A round's edges are written to the shared folder. Isolated nodes are not listed.
     """
     edges = saved(
         edges.where("src <> dst")
         .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
+        .mapInArrow(_contracted, "u long, v long")
         .distinct()
     )
 
@@ -90,16 +129,10 @@ def components(edges: DataFrame) -> DataFrame:
             out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.selectExpr("u", "m as v"))
         return out.where("u <> v").distinct()
 
-    last = None
-    while True:
+    while not _is_settled(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = linked_to_min(both, True)
-        fresh = saved(linked_to_min(large, False))
-        mark = fresh.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        fresh = saved(linked_to_min(linked_to_min(both, True), False).mapInArrow(_contracted, "u long, v long"))
         released(edges)
         edges = fresh
-        if tuple(mark) == last:
-            break
-        last = tuple(mark)
     found = edges.selectExpr("u as node", "v as component")
     return found.union(found.selectExpr("component as node", "component")).distinct()
