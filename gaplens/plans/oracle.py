@@ -1,6 +1,7 @@
 """DuckDB SQL for the queries of gaplens.plans.queries, over the same tables."""
 
 from gaplens.functions.text import EXPLICIT, NEGATED_PROBLEM, PROBLEM, WANT
+from gaplens.operators.records import CLOSE_DATE, SHIPPED, TEMPLATE_PARTS, VERSION_TITLE
 from gaplens.plans.queries import REPO_RULES, WINDOW_END
 from gaplens.sources.tables import PHRASES
 
@@ -89,3 +90,52 @@ ORACLE_SQL: dict[str, str] = {
     "dom03_unverified_gaps": f"WITH {_CLUSTERS}, g AS (SELECT *, round(confidence / 100 * (1 - cluster_id / 20), 4) AS insight FROM scored JOIN central USING (cluster_id)) SELECT row_number() OVER (ORDER BY insight DESC, confidence DESC, cluster_id)::INTEGER AS rank, cluster_id, size, confidence, insight, 'UNVERIFIED' AS verdict, central_id FROM g ORDER BY insight DESC, confidence DESC, cluster_id LIMIT 5",
     "ui01_weighted_histogram": f"WITH {_CLUSTERS}, h AS (SELECT floor(mean_rating + 0.5)::INTEGER AS stars, sum(size)::BIGINT AS n FROM summary GROUP BY ALL) SELECT stars, n, round(100 * n / sum(n) OVER (), 4) AS percent FROM h",
 }
+
+_WANTS = f"regexp_matches(review_text, {_text(f'(?i){_B}({WANT}){_E}')})"
+_PARTS = "concat('<!-- hint -->', chr(10), '### Environment', chr(10), '- [x] done', chr(10), coalesce(text, ''))"
+for _part in TEMPLATE_PARTS:
+    _PARTS = f"regexp_replace({_PARTS}, {_text(_part)}, ' ', 'g')"
+_BODY = f"trim(regexp_replace({_PARTS}, '{_WS}', ' ', 'g'))"
+
+
+def _later(name: str, wanted: str) -> str:
+    """CTEs of the accepted votes over some of the items, ending in `name`."""
+    votes = _VOTES.removeprefix(f"{_MEMBERS}, ").replace("FROM members m, items i", f"FROM members m, items i WHERE {wanted}")
+    for cte in ("sims", "ranks", "top", "votes", "totals", "plurality"):
+        votes = votes.replace(f"{cte} AS (", f"{name}_{cte} AS (").replace(f"FROM {cte} ", f"FROM {name}_{cte} ").replace(f"FROM {cte})", f"FROM {name}_{cte})").replace(f"JOIN {cte} ", f"JOIN {name}_{cte} ")
+    return f"{votes}, {name} AS (SELECT cluster_id, item_id FROM {name}_plurality WHERE accepted)"
+
+
+_CLOSED = "CASE WHEN item_id % 30 = 0 THEN created_at + INTERVAL 90 DAY END"
+_GRAMS = " UNION ALL ".join(f"SELECT item_id, substring(w, i, {n}) AS term FROM padded, unnest(range(1, length(w) - {n - 2})) t(i)" for n in (3, 4, 5))
+
+ORACLE_SQL |= {
+    "fil09_version_title": f"SELECT p_partkey, regexp_matches(concat('v', p_size, '.', p_partkey % 7, CASE p_partkey % 3 WHEN 0 THEN '-rc1' WHEN 1 THEN ' beta' ELSE '' END), {_text(VERSION_TITLE)}) AS is_version FROM part",
+    "fil10_product_mention": "SELECT p_partkey, contains(t, 'red blue') OR (contains(t, 'red') AND contains(t, 'blue')) AS mentioned FROM (SELECT p_partkey, lower(concat_ws(' ', p_name, p_type)) AS t FROM part)",
+    "fil15_junk_gate": "SELECT doc_id, length(t) < 40 OR length(t) - length(replace(t, '-', '')) > 12 AS junk FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
+    "fil20_evidence_required": "SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey)::INTEGER AS rank, c_custkey FROM (SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) ORDER BY c_acctbal DESC, c_custkey LIMIT 5)",
+    "fil24_completed_job": "SELECT o_custkey, o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders WHERE o_orderstatus = 'F') WHERE r = 1",
+    "fil25_pull_request_exclusion": "SELECT event_id FROM events WHERE json_extract_string(props, '$.pull_request') IS NULL",
+    "joi15_later_addressed": f"WITH {_MEMBERS}, {_later('future', f'created_at > {_END}')}, {_later('closed', f'created_at <= {_END} AND {_CLOSED} > {_END}')} SELECT c.cluster_id, coalesce(future.item_id, closed.item_id) AS item_id FROM (SELECT DISTINCT cluster_id FROM members) c LEFT JOIN future USING (cluster_id) LEFT JOIN closed USING (cluster_id)",
+    "joi18_want_rate": f"WITH {_REVIEWS} SELECT package, count(*) AS n, count(*) FILTER ({_WANTS}) AS wants, round(count(*) FILTER ({_WANTS}) / count(*), 6) AS rate FROM reviews GROUP BY ALL",
+    "agg19_degraded_set": "SELECT lang, string_agg(DISTINCT source, ',' ORDER BY source) AS notes FROM documents GROUP BY ALL",
+    "agg21_upload_summary": f"WITH {_REVIEWS} SELECT package, round(avg(rating), 2) AS stars, arg_min(substring(review_text, 1, 280), ord) AS sample FROM gated WHERE NOT isnan(rating) GROUP BY package",
+    "agg22_open_and_total": "SELECT o_custkey, count(*) AS total, count(*) FILTER (o_orderstatus <> 'F') AS open FROM orders GROUP BY ALL",
+    "agg23_document_frequency": r"SELECT term, count(*) AS docs FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+'))) AS term FROM documents) GROUP BY term",
+    "ml01_char_tfidf": f"""WITH padded AS (SELECT item_id, ' ' || w || ' ' AS w FROM (SELECT item_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '{_WS}')) AS w FROM benchmark) WHERE w <> ''), grams AS ({_GRAMS}),
+      tf AS (SELECT item_id, term, count(*) AS tf FROM grams GROUP BY ALL), terms AS (SELECT term, sum(tf) AS total, count(*) AS docs FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 40000),
+      raw AS (SELECT item_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM benchmark)) / (1 + docs)) + 1) AS w FROM tf JOIN terms USING (term))
+      SELECT item_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 6) AS weight FROM raw""",
+    "win05_representative": f"WITH {_REVIEWS} SELECT package, arg_min(ord, (CASE WHEN {_NEED} THEN 0 WHEN trim(review_text) <> '' THEN 1 ELSE 2 END) * 1000000000000 + ord) AS ord FROM gated GROUP BY package",
+    "win09_top_three": f"WITH {_TOP} SELECT member_id, item_id, r::INTEGER AS place FROM ranks WHERE r <= 3",
+    "str03_issue_text": f"SELECT conv_id, turn, array_to_string(list_filter([trim(role), trim(role), trim(role), b], lambda x: x <> ''), '. ') AS text FROM (SELECT *, {_BODY} AS b FROM conversations)",
+    "str06_slug": r"SELECT p_partkey, 'custom.' || regexp_replace(regexp_replace(lower('(' || p_name || ')'), '[^a-z0-9]+', '.', 'g'), '^\.|\.$', '', 'g') AS slug FROM part",
+    "str14_fence": "SELECT event_id, trim(props) AS props FROM events",
+    "prj04_flat_row": "SELECT doc_id, substring(array_to_string(l[1:12], ' | '), 1, 2000) AS flat, len(l)::INTEGER AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)",
+    "jsn02_bounds": "SELECT event_id FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) BETWEEN 0 AND 100 AND length(props) <= 500",
+    "hsh02_roadmap_hash": "SELECT n_regionkey, substring(sha1(string_agg(n_name, chr(0) ORDER BY n_nationkey)), 1, 16) AS hash FROM nation GROUP BY ALL",
+    "hsh03_config_hash": "SELECT c_custkey, substring(sha256(json_object('c_custkey', c_custkey, 'c_mktsegment', c_mktsegment, 'c_name', c_name)::VARCHAR), 1, 24) AS hash FROM customer",
+    "src15_split_urls": "SELECT page_id, CASE WHEN url = 'http://a.org' THEN url ELSE url || ' http://a.org' END AS urls FROM pages",
+    "src16_page_items": rf"SELECT page_id, CASE WHEN done THEN 'closed' ELSE 'open' END AS state, CASE WHEN done THEN '{CLOSE_DATE}' END AS closed FROM (SELECT page_id, regexp_matches(regexp_replace({_BARE}, '(?s)<[^>]*>', ' ', 'g'), {_text(SHIPPED)}) AS done FROM pages)",
+    "ui03_contributions": f"WITH {_CLUSTERS} " + " UNION ALL ".join(f"SELECT cluster_id, '{k}' AS part, round(100 * {w}::DOUBLE * {k}, 2) AS points FROM scored" for k, w in (("volume", 0.35), ("consistency", 0.30), ("severity", 0.20), ("spread", 0.15))),
+}

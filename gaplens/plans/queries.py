@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from gaplens.functions import text as tx
 from gaplens.operators import gaps, matching, tables
 from gaplens.operators import reviews as rv
+from gaplens.plans.catalog import CATALOG_QUERIES, WINDOW_END
 from gaplens.sources.tables import items, members, reviews, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-WINDOW_END = "2017-06-30 00:00:00"
 REPO_RULES = [("almond", "nuts/almond"), ("blue", "colours/blue"), ("red", "colours/red"), ("a", "letters/a")]
 
 
@@ -260,3 +260,6 @@ def dom03_unverified_gaps(spark, d):
 @query
 def ui01_weighted_histogram(spark, d):
     return gaps.weighted_histogram(matching.cluster_summary(members(spark, d)))
+
+
+QUERIES |= CATALOG_QUERIES
