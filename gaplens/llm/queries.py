@@ -16,7 +16,7 @@ from gaplens.llm.ngram_join import ngram_components
 from gaplens.llm.quality_rules import quality_verdicts
 from gaplens.llm.quality_trees import score_quality
 from gaplens.llm.raking import mix_weights
-from gaplens.llm.sentence_spans import dedup_spans
+from gaplens.llm.sentence_spans import dedup_runs
 from gaplens.llm.sentencepiece_nbest import decode_column, encode_column, ids_digest
 
 
@@ -26,7 +26,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = dedup_spans(documents(spark, sf_dir).select("doc_id", "text"))
+    kept = dedup_runs(documents(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", F.col("__n_sentences").alias("n_sentences"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -1,11 +1,16 @@
 """Substring dedup on sliding sentence spans (operator 2).
 
 A sentence ends at `.`, `!` or `?` before white space, at a line feed, or at the end of
-the text; the white space after it belongs to it. From each sentence a span runs over
-the fewest sentences, MIN_SENTENCES at least, that hold MIN_WORDS words. Spans are
-equal if their words are (`[^\\x20\\x09-\\x0D]+`, A-Z lower-cased), by 128-bit hash. Of
-the equal spans of all texts the first, by id and then position, stays; every sentence
-that a later one covers goes.
+the text; the white space after it belongs to it. Spans are equal if their words are
+(`[^\\x20\\x09-\\x0D]+`, A-Z lower-cased), by 128-bit hash. Of the equal spans of all
+texts the first, by id and then position, stays; later ones are copies.
+
+`dedup_runs` hashes every run of MIN_SENTENCES sentences, however short. Copies that
+overlap merge into stretches, and the sentences of a stretch of MIN_WORDS words go, so
+every whole sentence of a repeated passage of that length goes. The runs of one stretch
+may have their firsts in different texts. `dedup_spans` has one span from each sentence,
+over the fewest sentences, MIN_SENTENCES at least, that hold MIN_WORDS words; every
+sentence that a copy covers goes.
 
 Spans travel as (hash, id, position) without text. Their firsts come from a
 partial aggregation, and only repeated spans are joined back.
@@ -89,24 +94,32 @@ def _spans(min_sentences: int, min_words: int):
     return run
 
 
-def _cut(at_text: int, at_lost: int):
+def _covered(spans: list[dict[str, int]], n: int, words: np.ndarray, stretch_words: int) -> np.ndarray:
+    """Which of n sentences the spans cover, in stretches of overlapping spans with stretch_words words or more."""
+    gone = np.zeros(n, bool)
+    a = b = 0
+    for position, size in [*sorted((s["position"], s["size"]) for s in spans), (n, 0)]:
+        if position >= b:
+            gone[a:b] |= words[a:b].sum() >= stretch_words
+            a = b = position
+        b = max(b, position + size)
+    return gone
+
+
+def _cut(at_text: int, at_lost: int, stretch_words: int):
     def run(batches):
         for batch in batches:
             texts, lost = batch.column(at_text).cast(pa.string()), batch.column(at_lost)
             out, n_all, n_lost = [], [], []
             for first, body, offsets in tv.chunks(texts):
                 starts, owner = sentence_starts(body, offsets)
+                words = np.diff(np.searchsorted(tv.word_spans(body, offsets)[0], np.append(starts, len(body))))
                 raw = body.tobytes()
                 bounds = tv.row_bounds(owner, len(offsets) - 1)
                 for i in range(len(offsets) - 1):
                     edges = np.append(starts[bounds[i] : bounds[i + 1]], offsets[i + 1])
                     n = len(edges) - 1
-                    spans = lost[first + i].as_py()
-                    cover = np.zeros(n + 1, np.int64)
-                    for s in spans or ():
-                        cover[s["position"]] += 1
-                        cover[s["position"] + s["size"]] -= 1
-                    gone = np.cumsum(cover)[:n] > 0
+                    gone = _covered(lost[first + i].as_py() or [], n, words[bounds[i] : bounds[i + 1]], stretch_words)
                     n_all.append(n)
                     n_lost.append(int(gone.sum()))
                     if n_lost[-1]:
@@ -121,11 +134,20 @@ def _cut(at_text: int, at_lost: int):
     return run
 
 
+def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs without the stretches of min_words words or more that copies of runs cover, and __n_sentences and __n_removed."""
+    return _deduped(docs, id_col, text_col, min_sentences, 0, min_words)
+
+
 def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """docs without the sentences that later copies of spans cover, and __n_sentences and __n_removed."""
+    return _deduped(docs, id_col, text_col, min_sentences, min_words, 0)
+
+
+def _deduped(docs: DataFrame, id_col: str, text_col: str, min_sentences: int, span_words: int, stretch_words: int) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("text")).where("row_id is not null")
     id_type = dict(rows.dtypes)["row_id"]
-    spans = saved(rows.mapInArrow(_spans(min_sentences, min_words), f"h1 long, h2 long, row_id {id_type}, position int, size int"))
+    spans = saved(rows.mapInArrow(_spans(min_sentences, span_words), f"h1 long, h2 long, row_id {id_type}, position int, size int"))
     place = F.struct("row_id", "position")
     firsts = spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     repeated = saved(firsts.where("first <> last").select("h1", "h2", "first"))
@@ -136,4 +158,4 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = docs.join(lost, F.col(id_col) == F.col("__row_id"), "left").drop("__row_id")
     fields = [T.StructField(x.name, T.StringType()) if x.name == text_col else x for x in docs.schema.fields]
     schema = T.StructType([*fields, T.StructField("__n_sentences", T.LongType()), T.StructField("__n_removed", T.LongType())])
-    return joined.mapInArrow(_cut(docs.columns.index(text_col), len(docs.columns)), schema)
+    return joined.mapInArrow(_cut(docs.columns.index(text_col), len(docs.columns), stretch_words), schema)
