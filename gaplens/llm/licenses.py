@@ -1,8 +1,10 @@
 """License scans: TF-IDF cosine to templates, then nearest-ancestor inheritance (operator 9).
 
 Every line of every text that names a licence is a candidate. Its terms are weighted
-(1 + ln tf) * idf, with document frequencies counted over all candidate lines, and held
-against TEMPLATES by cosine; a document's own licence is that of its best line at
+(1 + ln tf) * idf, idf = 1 - ln(max(share, RARE)), with the share of candidate lines that hold
+the term counted for every term, and held against TEMPLATES by cosine. Shares and not
+counts make a line's cosine the same in a small and a large table: terms in less than
+RARE of the lines weigh alike. An SPDX tag is one term with the id after it; a document's own licence is that of its best line at
 `least` or above. A file called LICENSE, LICENCE, COPYING or NOTICE gives its licence
 to its directory, and a document without its own takes that of the nearest ancestor
 directory. Only DataFrame functions: terms are pre-aggregated per line, templates are a
@@ -40,15 +42,19 @@ TEMPLATES: list[tuple[str, str]] = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
     ("Proprietary", "Copyright. All rights reserved."),
+    ("Proprietary", "All rights reserved."),
 ]
+TEMPLATES += [(x, f"SPDX-License-Identifier: {x}") for x in sorted({name for name, _ in TEMPLATES} - {"Proprietary"})]
+TEMPLATES += [(x, f"SPDX-License-Identifier: {x}-{end}") for x in ("GPL-2.0", "GPL-3.0", "LGPL-3.0") for end in ("only", "or-later")]
 CANDIDATE = r"(?i)licen[cs]e|copyright|spdx|permission is hereby|redistribution and use|all rights reserved"
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice)(\..*)?$"
-TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+TERM = r"(?:spdx-license-identifier:\s*)?[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LEAST = 0.6
+RARE = 0.005
 
 
 def _template_terms(templates: list[tuple[str, str]]) -> list[Counter]:
-    return [Counter(re.findall(TERM, text.lower())) for _, text in templates]
+    return [Counter(re.sub(r":\s*", ":", t) for t in re.findall(TERM, text.lower())) for _, text in templates]
 
 
 def candidate_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -62,24 +68,24 @@ def own_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     templates = templates or TEMPLATES
     spark = docs.sparkSession
     lines = candidate_lines(docs, id_col, text_col)
-    terms = lines.select("row_id", "line_no", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(TERM), F.lit(0))).alias("term"))
+    terms = lines.select("row_id", "line_no", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(TERM), F.lit(0))).alias("term")).withColumn("term", F.regexp_replace("term", r":\s*", ":"))
     tf = saved(terms.groupBy("row_id", "line_no", "term").agg(F.count("*").alias("tf")))
     counted = _template_terms(templates)
     vocabulary = sorted(set().union(*counted))
-    words = spark.createDataFrame([(t,) for t in vocabulary], "term string")
-    found = tf.join(F.broadcast(words), "term").groupBy("term").agg(F.count("*").alias("df")).collect()  # at most the templates' terms
     n = tf.select("row_id", "line_no").distinct().count()
-    seen = {r["term"]: r["df"] for r in found}
-    idf = {t: math.log((1 + n) / (1 + seen.get(t, 0))) + 1 for t in vocabulary}
+    counts = saved(tf.groupBy("term").agg(F.count("*").alias("df")))
+    seen = {r["term"]: r["df"] for r in counts.where(F.col("term").isin(vocabulary)).collect()}  # at most the templates' terms
+    idf = {t: 1 - math.log(max(RARE, seen.get(t, 0) / max(1, n))) for t in vocabulary}
     weights = []
     for terms_of in counted:
         w = {t: (1 + math.log(c)) * idf[t] for t, c in terms_of.items()}
         norm = math.sqrt(sum(x * x for x in w.values()))
         weights.append({t: x / norm for t, x in w.items()})
-    rows = [(t, idf[t], [w.get(t, 0.0) for w in weights]) for t in vocabulary]
-    table = spark.createDataFrame(rows, "term string, idf double, t array<double>")
-    unseen = math.log(1 + n) + 1
-    weighed = tf.join(F.broadcast(table), "term", "left").withColumn("w", (1 + F.log(F.col("tf").cast("double"))) * F.coalesce("idf", F.lit(unseen)))
+    rows = [(t, [w.get(t, 0.0) for w in weights]) for t in vocabulary]
+    table = spark.createDataFrame(rows, "term string, t array<double>")
+    share = F.col("df") / F.lit(float(max(1, n)))
+    idfs = counts.select("term", (1 - F.log(F.greatest(F.lit(RARE), share))).alias("idf"))
+    weighed = tf.join(small(idfs, 64), "term").join(F.broadcast(table), "term", "left").withColumn("w", (1 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
     dots = [F.sum(F.col("w") * F.coalesce(F.col("t")[i], F.lit(0.0))).alias(f"d{i}") for i in range(len(templates))]
     scored = weighed.groupBy("row_id", "line_no").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
     options = F.array(*[F.struct((-F.round(F.col(f"d{i}") / F.col("norm"), 6)).alias("s"), F.lit(name).alias("name")) for i, (name, _) in enumerate(templates)])
