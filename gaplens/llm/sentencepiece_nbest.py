@@ -6,7 +6,8 @@ a text falls into short units that are segmented once each: a Viterbi pass, vect
 over all new units of a batch, gives the best path and the loss of the second best.
 A text's N best segmentations differ from its best only in the N - 1 units of least
 loss; each of those gets its own N best by a backward A* search over its piece lattice
-with the forward Viterbi scores as exact heuristic, and the lists are merged best first.
+with the forward Viterbi scores as exact heuristic, and the lists are merged best first,
+scores and ids.
 
 A character without a piece becomes its UTF-8 byte pieces at the cost the library sets
 for unknown characters (ten below the least score). Normalisation is the identity with
@@ -155,16 +156,16 @@ class Encoder:
         self.order = np.zeros(0, np.int64)
         self.score, self.loss = np.zeros(0), np.zeros(0)
         self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.texts: dict[int, list[float]] = {}
+        self.texts: dict[int, list[tuple[float, np.ndarray]]] = {}
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, list[float]]]:
-        """(ids, the n best scores) of each text."""
+    def encode(self, texts: list[str]) -> list[tuple[list[np.ndarray], list[float]]]:
+        """(ids, scores) of the n best segmentations of each text."""
         joined = "".join([SPACE + t.replace(" ", SPACE) for t in texts if t])
         sizes = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         offsets = np.concatenate([[0], np.cumsum(sizes)])
         if not len(codes):
-            return [(np.zeros(0, np.int32), [0.0]) for _ in texts]
+            return [([np.zeros(0, np.int32)], [0.0]) for _ in texts]
         pair = (codes[:-1].astype(np.int64) << 21) | codes[1:].astype(np.int64)
         near = np.minimum(np.searchsorted(self.model.pairs, pair), len(self.model.pairs) - 1)
         cut = np.ones(len(codes), bool)
@@ -187,34 +188,49 @@ class Encoder:
         ids = self.flat[take]
         unit_bounds = np.searchsorted(starts, offsets)
         id_bounds = np.concatenate([[0], ends])[unit_bounds]
-        totals = np.concatenate([[0.0], np.cumsum(self.score[rows])])
         losses = self.loss[rows]
         out = []
         for i in range(len(texts)):
             a, b = unit_bounds[i], unit_bounds[i + 1]
             mine = ids[id_bounds[i] : id_bounds[i + 1]]
+            at = np.append(ends[a:b] - size[a:b], ends[b - 1] if b > a else 0) - id_bounds[i]
             best = float(self.score[rows[a:b]].sum()) if b > a else 0.0
-            scores = self._merged(best, losses[a:b], rows[a:b], joined, starts[a:b], lengths[a:b])
-            out.append((mine, scores))
-        del totals
+            merged = self._merged(losses[a:b], rows[a:b], joined, starts[a:b], lengths[a:b])
+            out.append(([self._replaced(mine, at, rows[a:b], changes) for _, changes in merged], [best - x for x, _ in merged]))
         return out
 
-    def _merged(self, best: float, losses: np.ndarray, rows: np.ndarray, joined: str, starts: np.ndarray, lengths: np.ndarray) -> list[float]:
-        """The n best sums: each unit of least loss takes one of its own n best."""
+    def _merged(self, losses: np.ndarray, rows: np.ndarray, joined: str, starts: np.ndarray, lengths: np.ndarray) -> list[tuple[float, tuple]]:
+        """(loss against the best, ((unit, choice), ...)) of the n best: each unit of least loss takes one of its own n best."""
         k = min(self.n - 1, len(losses))
+        sums: list[tuple[float, tuple]] = [(0.0, ())]  # ascending
         if k <= 0:
-            return [best]
+            return sums
         least = np.argpartition(losses, k - 1)[:k] if len(losses) > k else np.arange(k)
-        sums = [0.0]  # losses against the best, ascending
         for i in least:
             if losses[i] == np.inf:
                 continue
             row = int(rows[i])
             if row not in self.texts:
-                found = nbest(self.model, joined[starts[i] : starts[i] + lengths[i]], self.n)
-                self.texts[row] = [found[0][0] - score for score, _ in found]
-            sums = sorted(a + b for a in sums for b in self.texts[row])[: self.n]
-        return [best - x for x in sums]
+                self.texts[row] = self._choices(row, joined[starts[i] : starts[i] + lengths[i]])
+            options = [(a + b, c + ((int(i), j),) if j else c) for a, c in sums for j, (b, _) in enumerate(self.texts[row])]
+            sums = sorted(options, key=lambda x: x[0])[: self.n]
+        return sums
+
+    def _choices(self, row: int, unit: str) -> list[tuple[float, np.ndarray]]:
+        """(loss, ids) of a unit's n best; first the one of the Viterbi pass, which may share its score with others."""
+        found = nbest(self.model, unit, self.n)
+        at = self.at[row]
+        first = tuple(self.flat[at : at + self.size[row]].tolist())
+        rest = [(found[0][0] - score, np.array(ids, np.int32)) for score, ids in found if ids != first]
+        return [(0.0, np.array(first, np.int32)), *rest][: self.n]
+
+    def _replaced(self, ids: np.ndarray, at: np.ndarray, rows: np.ndarray, changes: tuple) -> np.ndarray:
+        """A text's ids with other choices of some units; unit i has the ids from at[i] to at[i + 1]."""
+        parts, done = [], 0
+        for unit, choice in sorted(changes):
+            parts += [ids[done : at[unit]], self.texts[int(rows[unit])][choice][1]]
+            done = at[unit + 1]
+        return np.concatenate([*parts, ids[done:]]) if parts else ids
 
     def _learn(self, keys: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: np.ndarray, hashed: np.ndarray) -> None:
         if len(self.keys):
@@ -323,26 +339,29 @@ class Decoder:
         return out[1:] if out[:1] == b" " else out
 
 
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
+
+
 def _encode_batches(model_file: str, n: int):
     def run(batches):
         encoder = Encoder(pieces(model_file), n)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            ids, scores = [], []
             at = 0
             while at < len(texts):
                 upto, chars = at, 0
                 while upto < len(texts) and (upto == at or chars + len(texts[upto] or "") < tv.CHUNK_BYTES // 4):
                     chars += len(texts[upto] or "")
                     upto += 1
-                for mine, best in encoder.encode([t or "" for t in texts[at:upto]]):
-                    ids.append(mine)
-                    scores.append(best)
+                found = encoder.encode([t or "" for t in texts[at:upto]])
+                best = _lists([ids[0] for ids, _ in found])
+                every = _lists([x for ids, _ in found for x in ids])
+                sizes = np.concatenate([[0], np.cumsum([len(ids) for ids, _ in found])]).astype(np.int32)
+                columns = [batch.column(0).slice(at, upto - at), best, pa.array([x for _, x in found], pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(sizes), every)]
+                yield pa.record_batch(columns, names=["row_id", "ids", "nbest_scores", "nbest_ids"])
                 at = upto
-            sizes = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
-            columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)), pa.array(scores, pa.list_(pa.float64()))]
-            yield pa.record_batch(columns, names=["row_id", "ids", "nbest_scores"])
 
     return run
 
@@ -361,9 +380,9 @@ def _decode_batches(model_file: str, at: int):
 
 
 def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str = MODEL_FILE, n: int = N_BEST) -> DataFrame:
-    """id, ids array<int> and nbest_scores array<double> (best first) of every text."""
+    """id, ids array<int>, and best first nbest_scores array<double> and nbest_ids array<array<int>> of every text."""
     rows = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(_encode_batches(model_file, n), f"row_id {dict(rows.dtypes)['row_id']}, ids array<int>, nbest_scores array<double>")
+    out = rows.mapInArrow(_encode_batches(model_file, n), f"row_id {dict(rows.dtypes)['row_id']}, ids array<int>, nbest_scores array<double>, nbest_ids array<array<int>>")
     return out.withColumnRenamed("row_id", id_col)
 
 
@@ -378,3 +397,8 @@ def decode_column(encoded: DataFrame, ids_col: str = "ids", model_file: str = MO
 def ids_digest(ids: str = "ids"):
     """SHA-256 of the ids, written in decimal and joined by spaces."""
     return F.sha2(F.array_join(F.col(ids).cast("array<string>"), " "), 256)
+
+
+def nbest_digest(nbest_ids: str = "nbest_ids"):
+    """SHA-256 of the segmentations, each written as in ids_digest and joined by line feeds."""
+    return F.sha2(F.array_join(F.transform(nbest_ids, lambda x: F.array_join(x.cast("array<string>"), " ")), "\n"), 256)
