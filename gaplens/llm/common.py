@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A join side is broadcast only if its rows are counted and stay below this many bytes.
 BROADCAST_BYTES = 32 << 20
+#: Rows go to Python in Arrow batches of about this many bytes, so a worker's memory does not follow the texts' mean length.
+ARROW_BYTES = 4 << 20
 #: Edges that a task contracts at a time; more go through in further chunks.
 CONTRACT_EDGES = 1 << 20
 
@@ -23,10 +26,21 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with batches of at most ARROW_BYTES (or one row); the session keeps a lower bound of its own."""
+    conf = df.sparkSession.conf
+    bound = conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower()
+    if not bound.removesuffix("b").isdigit() or not 0 < int(bound.removesuffix("b")) <= ARROW_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none (tests)."""
+    """The folder all executors share. A local one only where the session names none and runs in one process (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^,]*(,\d+)?\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = f"file://{tempfile.gettempdir()}/gaplens-checkpoints"
         spark.conf.set("spark.checkpoint.dir", where)
     context = spark.sparkContext

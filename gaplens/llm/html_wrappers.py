@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaplens.llm.common import saved, small
+from gaplens.llm.common import in_batches, saved, small
 
 SAMPLE = 8
 MIN_PAGES = 4
@@ -205,4 +205,4 @@ def extract_main(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = pages.select(F.col(id_col).alias(id_col), F.col(url_col).alias(url_col), host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
     joined = rows.join(small(found, 1, size), "host", "left").select(id_col, url_col, "html", "wrapper")
     types = dict(joined.dtypes)
-    return joined.mapInArrow(_extract(2, 3), f"`{id_col}` {types[id_col]}, `{url_col}` {types[url_col]}, text string")
+    return in_batches(joined, _extract(2, 3), f"`{id_col}` {types[id_col]}, `{url_col}` {types[url_col]}, text string")

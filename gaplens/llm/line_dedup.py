@@ -4,8 +4,10 @@ A line's key is its text without white space at both ends, A-Z lower-cased. Exac
 hold, for every key of enough code points, which documents have it (postings) and how
 many they are (reference counts). Each shard of keys whose count reaches the limit has a
 cuckoo filter: it takes single insertions and deletions, so documents can be added and
-withdrawn without a rebuild, and it spares all lines that no filter knows the join with
-the exact table, which settles the rest.
+withdrawn without a rebuild. Postings are dealt out by shard, where the shard's filter
+spares all lines it does not know the join with the exact table, which settles the rest.
+Shards follow the number of postings and keys. Keys with a thousandth of all postings or
+more, of which there are at most a thousand, are settled apart, so no task gets one whole.
 
 Defined results: a null or empty text is one empty line; repeated ids are one document
 (each row loses its lines alike); rows with a null id are not counted and lose nothing.
@@ -16,16 +18,20 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaplens.llm import textvec as tv
-from gaplens.llm.common import BROADCAST_BYTES, saved, small
+from gaplens.llm.common import in_batches, released, saved
 
 MIN_CHARS = 20
 MIN_DOCS = 3
-SHARDS = 64
+#: A shard of the filters has about so many postings, and so many keys at most on average.
+SHARD_POSTINGS = 1 << 15
+SHARD_KEYS = 1 << 12
+#: A key with at least this share of all postings is hot: there are at most HOT of them.
+HOT = 1000
 SLOTS = 4
 MAX_KICKS = 500
 
@@ -46,7 +52,7 @@ class CuckooFilter:
         capacity = len(keys)
         while True:
             out = cls(capacity)
-            if all(out.insert(k) for k in keys.tolist()):
+            if out.insert(keys):
                 return out
             capacity = 2 * max(capacity, 8)
 
@@ -60,27 +66,37 @@ class CuckooFilter:
     def _hop(prints):
         return prints * 0x5BD1E995
 
-    def insert(self, key: int) -> bool:
-        prints, a, b = (int(x[0]) for x in self._places(np.array([key], np.uint64)))
-        for at in (a, b):
+    def insert(self, keys: np.ndarray) -> bool:
+        """Take all keys, or say that one found no place: the filter is then to be made anew, larger."""
+        prints, a, b = self._places(keys)
+        left = np.flatnonzero(~self._filled(prints, a))
+        left = left[~self._filled(prints[left], b[left])]
+        return all(self._kicked(p, at) for p, at in zip(prints[left].tolist(), a[left].tolist(), strict=True))
+
+    def _filled(self, prints: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Put prints into free slots of their buckets, all at once; which found one."""
+        order = np.argsort(at, kind="stable")
+        bucket = at[order]
+        rank = np.arange(len(bucket)) - np.searchsorted(bucket, bucket)
+        free = self.table[bucket] == 0
+        slot = free & (np.cumsum(free, axis=1) == rank[:, None] + 1)
+        ok = slot.any(1)
+        self.table[bucket[ok], slot[ok].argmax(1)] = prints[order][ok]
+        out = np.zeros(len(at), bool)
+        out[order] = ok
+        return out
+
+    def _kicked(self, prints: int, at: int) -> bool:
+        """Move others to their second bucket until one slot is free."""
+        for _ in range(MAX_KICKS):
             free = np.flatnonzero(self.table[at] == 0)
             if len(free):
                 self.table[at, free[0]] = prints
                 return True
-        at = a
-        undo = []
-        for _ in range(MAX_KICKS):
             self._state = (self._state * 1103515245 + 12345) & 0x7FFFFFFF
             slot = (self._state >> 8) % SLOTS
-            undo.append((at, slot, int(self.table[at, slot])))
             prints, self.table[at, slot] = int(self.table[at, slot]), prints
             at = (at ^ self._hop(prints)) & self.mask
-            free = np.flatnonzero(self.table[at] == 0)
-            if len(free):
-                self.table[at, free[0]] = prints
-                return True
-        for at, slot, old in reversed(undo):
-            self.table[at, slot] = old
         return False
 
     def delete(self, key: int) -> bool:
@@ -131,8 +147,29 @@ def _postings(min_chars: int):
     return run
 
 
-def shard_of(key):
-    return F.pmod(F.shiftright(key, 32), F.lit(SHARDS)).cast("int")
+def n_shards(n_postings: int, n_keys: int) -> int:
+    most = max(n_postings // SHARD_POSTINGS, n_keys // SHARD_KEYS, 1)
+    return 1 << (most - 1).bit_length()
+
+
+def _known(batches):
+    """The postings that their shard's filter knows; rows come by shard, its filter first. One filter is held at a time."""
+    now, table = None, None
+    for batch in batches:
+        shards, filters = batch.column(0).to_numpy(), batch.column(1)
+        keys = batch.column(3).fill_null(0).to_numpy().view(np.uint64)
+        hit = np.zeros(len(shards), bool)
+        cuts = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1]])) if len(shards) else []
+        for a, b in zip(cuts, [*cuts[1:], len(shards)], strict=True):
+            if shards[a] != now:
+                now, table = shards[a], None
+            while a < b and filters[int(a)].is_valid:
+                table = CuckooFilter.frombytes(filters[int(a)].as_py())
+                a += 1
+            if table is not None and a < b:
+                hit[a:b] = table.contains(keys[a:b])
+        if hit.any():
+            yield pa.record_batch(batch.columns[2:], names=["row_id", "k1", "k2"]).filter(pa.array(hit))
 
 
 class LineIndex:
@@ -141,24 +178,34 @@ class LineIndex:
     insert() and delete() give a new index; deleting what was inserted restores every count.
     """
 
-    def __init__(self, postings: DataFrame, counts: DataFrame, filters: DataFrame, min_docs: int, min_chars: int):
-        self.postings, self.counts, self.filters = postings, counts, filters
+    def __init__(self, postings: DataFrame, counts: DataFrame, filters: DataFrame, shards: int, min_docs: int, min_chars: int):
+        self.postings, self.counts, self.filters, self.shards = postings, counts, filters, shards
         self.min_docs, self.min_chars = min_docs, min_chars
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> LineIndex:
-        postings = saved(cls._lines(docs, id_col, text_col, min_chars))
-        counts = saved(cls._counted(postings).where(F.col("n_docs") >= min_docs))
-        return cls(postings, counts, cls._rebuilt(counts), min_docs, min_chars)
+        return cls._made(saved(cls._lines(docs, id_col, text_col, min_chars)), min_docs, min_chars)
+
+    @classmethod
+    def _made(cls, postings: DataFrame, min_docs: int, min_chars: int, counts: DataFrame | None = None) -> LineIndex:
+        counts = saved(cls._counted(postings, min_docs)) if counts is None else counts
+        shards = n_shards(postings.count(), counts.count())
+
+        def make(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            return _filter_row(key, CuckooFilter.of(table["k1"].to_numpy().view(np.uint64)).tobytes())
+
+        filters = saved(counts.select(shard_of(F.col("k1"), shards).alias("shard"), "k1").groupBy("shard").applyInArrow(make, "shard long, filter binary"))
+        return cls(postings, counts, filters, shards, min_docs, min_chars)
 
     @staticmethod
     def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
         rows = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("text")).where("row_id is not null")
-        return rows.mapInArrow(_postings(min_chars), f"row_id {dict(rows.dtypes)['row_id']}, k1 long, k2 long")
+        return in_batches(rows, _postings(min_chars), f"row_id {dict(rows.dtypes)['row_id']}, k1 long, k2 long")
 
     @staticmethod
-    def _counted(postings: DataFrame) -> DataFrame:
-        return postings.groupBy("k1", "k2").agg(F.countDistinct("row_id").alias("n_docs"), F.max("row_id").alias("keeper"))
+    def _counted(postings: DataFrame, min_docs: int) -> DataFrame:
+        counted = postings.groupBy("k1", "k2").agg(F.countDistinct("row_id").alias("n_docs"), F.max("row_id").alias("keeper"))
+        return counted.where(F.col("n_docs") >= min_docs)
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         added = self._lines(docs, id_col, text_col, self.min_chars)
@@ -169,61 +216,57 @@ class LineIndex:
         return self._moved(saved(self.postings.join(gone, "row_id", "left_anti")))
 
     def _moved(self, postings: DataFrame) -> LineIndex:
-        """Counts of the new postings; filters take or lose the keys that crossed the limit."""
-        counts = saved(self._counted(postings).where(F.col("n_docs") >= self.min_docs))
+        """Counts of the new postings; filters take or lose the keys that crossed the limit. A filter that is full, or shards
+        that have become too few, are made anew from the counts."""
+        counts = saved(self._counted(postings, self.min_docs))
         keys = lambda df, sign: df.select("k1", "k2", F.lit(sign).alias("sign"))
         old, new = keys(self.counts, -1), keys(counts, 1)
         changed = new.join(old, ["k1", "k2"], "left_anti").unionByName(old.join(new, ["k1", "k2"], "left_anti"))
-        changed = changed.select(shard_of(F.col("k1")).alias("shard"), "k1", "sign")
+        changed = changed.select(shard_of(F.col("k1"), self.shards).alias("shard"), "k1", "sign")
 
         def turn(key: tuple[pa.Scalar, ...], before: pa.Table, delta: pa.Table) -> pa.Table:
-            table = CuckooFilter.frombytes(before["filter"][0].as_py()) if len(before) else CuckooFilter.of(np.zeros(0, np.uint64))
-            moves = sorted(zip(delta["sign"].to_pylist(), delta["k1"].to_numpy().view(np.uint64).tolist(), strict=True))
-            for sign, k in moves:
-                if sign < 0:
-                    table.delete(k)
-                elif not table.insert(k):
-                    return pa.table({"shard": [key[0].as_py()], "filter": [b""]}, schema=pa.schema([("shard", pa.int32()), ("filter", pa.binary())]))
-            return pa.table({"shard": [key[0].as_py()], "filter": [table.tobytes()]}, schema=pa.schema([("shard", pa.int32()), ("filter", pa.binary())]))
-
-        filters = saved(self.filters.groupBy("shard").cogroup(changed.groupBy("shard")).applyInArrow(turn, "shard int, filter binary"))
-        if filters.where(F.length("filter") == 0).limit(1).count():  # a full shard: rebuild the filters from the counts
-            return LineIndex(postings, counts, self._rebuilt(counts), self.min_docs, self.min_chars)
-        return LineIndex(postings, counts, filters, self.min_docs, self.min_chars)
-
-    @staticmethod
-    def _rebuilt(counts: DataFrame) -> DataFrame:
-        def make(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-            made = CuckooFilter.of(table["k1"].to_numpy().view(np.uint64))
-            return pa.table({"shard": [key[0].as_py()], "filter": [made.tobytes()]}, schema=pa.schema([("shard", pa.int32()), ("filter", pa.binary())]))
-
-        return saved(counts.select(shard_of(F.col("k1")).alias("shard"), "k1").groupBy("shard").applyInArrow(make, "shard int, filter binary"))
-
-    def suspects(self) -> DataFrame:
-        """The postings whose key a filter knows. Filters above the size bound stay where they are: the join alone decides."""
-        size = self.filters.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()[0]
-        if size > BROADCAST_BYTES:
-            return self.postings
-        tables = {r["shard"]: CuckooFilter.frombytes(r["filter"]) for r in self.filters.collect()}  # at most BROADCAST_BYTES
-
-        def run(batches):
-            for batch in batches:
-                k = batch.column(1).to_numpy().view(np.uint64)
-                shard = (batch.column(1).to_numpy() >> 32) % SHARDS
-                hit = np.zeros(len(k), bool)
-                for s in np.unique(shard):
-                    if s in tables:
-                        at = np.flatnonzero(shard == s)
-                        hit[at] = tables[s].contains(k[at])
-                yield batch.filter(pa.array(hit))
-
-        return self.postings.mapInArrow(run, self.postings.schema)
+            table = CuckooFilter.frombytes(before["filter"][0].as_py()) if len(before) else CuckooFilter(0)
+            moved, sign = delta["k1"].to_numpy().view(np.uint64), delta["sign"].to_numpy()
+            for k in moved[sign < 0].tolist():
+                table.delete(k)
+            return _filter_row(key, table.tobytes() if table.insert(moved[sign > 0]) else b"")
+
+        filters = saved(self.filters.groupBy("shard").cogroup(changed.groupBy("shard")).applyInArrow(turn, "shard long, filter binary"))
+        full = filters.where(F.length("filter") == 0).limit(1).count()
+        if full or n_shards(postings.count(), counts.count()) > 2 * self.shards:
+            return self._made(postings, self.min_docs, self.min_chars, counts)
+        return LineIndex(postings, counts, filters, self.shards, self.min_docs, self.min_chars)
+
+    def release(self) -> None:
+        for table in (self.postings, self.counts, self.filters):
+            released(table)
+
+    def suspects(self, postings: DataFrame | None = None) -> DataFrame:
+        """The postings whose key a filter knows. They go to their shard's filter, not the filters to them."""
+        postings = self.postings if postings is None else postings
+        id_type = dict(postings.dtypes)["row_id"]
+        rows = postings.select(shard_of(F.col("k1"), self.shards).alias("shard"), F.lit(None).cast("binary").alias("filter"), "row_id", "k1", "k2")
+        filters = self.filters.select("shard", "filter", F.lit(None).cast(id_type).alias("row_id"), F.lit(None).cast("long").alias("k1"), F.lit(None).cast("long").alias("k2"))
+        dealt = rows.union(filters).repartition("shard").sortWithinPartitions("shard", F.col("filter").isNull())
+        return in_batches(dealt, _known, f"row_id {id_type}, k1 long, k2 long")
 
     def drops(self) -> DataFrame:
         """(row_id, keys): the keys whose lines each document loses."""
-        counts = small(self.counts, 40)
-        lost = self.suspects().join(counts, ["k1", "k2"]).where(F.col("row_id") != F.col("keeper"))
-        return lost.groupBy("row_id").agg(F.collect_set(F.struct("k1", "k2")).alias("keys"))
+        total = self.postings.count()
+        hot = self.counts.where(F.col("n_docs") * HOT >= total).select("k1", "k2", F.col("keeper").alias("hot_keeper"))
+        split = self.postings.join(F.broadcast(hot), ["k1", "k2"], "left")  # at most HOT rows: their postings add up to no more than all
+        cold = split.where("hot_keeper is null").select("row_id", "k1", "k2")
+        lost = self.suspects(cold).join(self.counts.hint("merge"), ["k1", "k2"]).where(F.col("row_id") != F.col("keeper")).select("row_id", "k1", "k2")
+        lost = lost.union(split.where("row_id <> hot_keeper").select("row_id", "k1", "k2"))
+        return lost.groupBy("row_id").agg(F.collect_set(F.struct("k1", "k2")).alias("keys"))  # at most a document's lines
+
+
+def shard_of(key: Column, shards: int) -> Column:
+    return F.pmod(F.shiftright(key, 32), F.lit(shards)).cast("long")
+
+
+def _filter_row(key: tuple[pa.Scalar, ...], data: bytes) -> pa.Table:
+    return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "filter": pa.array([data], pa.binary())})
 
 
 def _dropped(at_text: int, at_keys: int, min_chars: int):
@@ -267,14 +310,21 @@ def _in_row(owner: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 
 def drop_lines(docs: DataFrame, index: LineIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the index's repeated lines cut from the text, and __n_lines and __n_dropped."""
-    drops = index.drops().select(F.col("row_id").alias("__row_id"), F.col("keys").alias("__keys"))
-    drops = saved(drops)
-    joined = docs.join(small(drops, 100), F.col(id_col) == F.col("__row_id"), "left").drop("__row_id")
+    return _without(docs, saved(index.drops()), index.min_chars, id_col, text_col)
+
+
+def _without(docs: DataFrame, drops: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+    # The lists follow the documents in number and length, so they are never broadcast: each text is shuffled once, at any size.
+    drops = drops.select(F.col("row_id").alias("__row_id"), F.col("keys").alias("__keys")).hint("merge")
+    joined = docs.join(drops, F.col(id_col) == F.col("__row_id"), "left").drop("__row_id")
     at = docs.columns.index(text_col)
     fields = [T.StructField(x.name, T.StringType()) if x.name == text_col else x for x in docs.schema.fields]
     schema = T.StructType([*fields, T.StructField("__n_lines", T.LongType()), T.StructField("__n_dropped", T.LongType())])
-    return joined.mapInArrow(_dropped(at, len(docs.columns), index.min_chars), schema)
+    return in_batches(joined, _dropped(at, len(docs.columns), min_chars), schema)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
-    return drop_lines(docs, LineIndex.build(docs, id_col, text_col, min_docs, min_chars), id_col, text_col)
+    index = LineIndex.build(docs, id_col, text_col, min_docs, min_chars)
+    drops = saved(index.drops())
+    index.release()
+    return _without(docs, drops, min_chars, id_col, text_col)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaplens.llm.common import in_batches
+
 BLOCK = 64
 TILE = 16
 
@@ -163,7 +165,7 @@ def _read(batches):
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "pgm") -> DataFrame:
     """id, n_bytes and the stored file of each text: its UTF-8 bytes, zero-padded to rows of 64 samples."""
     rows = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("text"))
-    stored = rows.mapInArrow(_store(kind), f"row_id {dict(rows.dtypes)['row_id']}, n_bytes long, media binary")
+    stored = in_batches(rows, _store(kind), f"row_id {dict(rows.dtypes)['row_id']}, n_bytes long, media binary")
     return stored.withColumnRenamed("row_id", id_col)
 
 
@@ -171,4 +173,4 @@ def media_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Digests and features of stored files, from the bytes read back; `tile` holds an NPY file."""
     rows = media.select(F.col(id_col).alias("row_id"), "n_bytes", "media")
     schema = f"row_id {dict(rows.dtypes)['row_id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"
-    return rows.mapInArrow(_read, schema).withColumnRenamed("row_id", id_col)
+    return in_batches(rows, _read, schema).withColumnRenamed("row_id", id_col)

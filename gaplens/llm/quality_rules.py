@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaplens.llm import textvec as tv
-from gaplens.llm.common import saved, small
+from gaplens.llm.common import in_batches, saved, small
 
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 MIN_WORDS = 50
@@ -95,7 +95,7 @@ def with_stats(docs: DataFrame, text_col: str) -> DataFrame:
             yield pa.record_batch([*batch.columns, added], names=[*batch.schema.names, "__stats"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("__stats", T.StructType([T.StructField(k, T.LongType()) for k in STATS]))])
-    return docs.mapInArrow(run, schema)
+    return in_batches(docs, run, schema)
 
 
 def rules(prefix: str = "") -> dict[str, Column]:

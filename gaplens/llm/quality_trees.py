@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaplens.llm import textvec as tv
-from gaplens.llm.common import saved, small
+from gaplens.llm.common import in_batches, saved, small
 from gaplens.llm.quality_rules import text_stats
 
 MAX_TRAINING = 100_000
@@ -174,7 +174,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """id, held_out, score and predicted of every row of docs."""
     rows = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("text"))
     id_type = dict(rows.dtypes)["row_id"]
-    measured = saved(rows.mapInArrow(_measured, f"row_id {id_type}, x array<float>"))
+    measured = saved(in_batches(rows, _measured, f"row_id {id_type}, x array<float>"))
     held = F.coalesce(F.crc32(F.col("row_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     known = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col(id_col).alias("row_id")).agg(F.max("quality").alias("y")).where(~held)
     chosen = known.orderBy(F.xxhash64("row_id"), "row_id").limit(max_training)
@@ -182,5 +182,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     table = sample.toArrow().sort_by("row_id")  # at most max_training rows of len(FEATURES) numbers
     x = np.array(table["x"].combine_chunks().flatten()).reshape(-1, len(FEATURES)).astype(np.float32)
     trees = fit(x, np.array(table["y"], np.float64))
-    out = measured.mapInArrow(_scored(trees), f"row_id {id_type}, score double").withColumn("score", F.round("score", 6))
+    out = in_batches(measured, _scored(trees), f"row_id {id_type}, score double").withColumn("score", F.round("score", 6))
     return out.select(F.col("row_id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))

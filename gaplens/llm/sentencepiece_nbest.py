@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaplens.llm import textvec as tv
+from gaplens.llm.common import in_batches
 
 SPACE = "▁"
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -382,7 +383,7 @@ def _decode_batches(model_file: str, at: int):
 def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str = MODEL_FILE, n: int = N_BEST) -> DataFrame:
     """id, ids array<int>, and best first nbest_scores array<double> and nbest_ids array<array<int>> of every text."""
     rows = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(_encode_batches(model_file, n), f"row_id {dict(rows.dtypes)['row_id']}, ids array<int>, nbest_scores array<double>, nbest_ids array<array<int>>")
+    out = in_batches(rows, _encode_batches(model_file, n), f"row_id {dict(rows.dtypes)['row_id']}, ids array<int>, nbest_scores array<double>, nbest_ids array<array<int>>")
     return out.withColumnRenamed("row_id", id_col)
 
 
@@ -391,7 +392,7 @@ def decode_column(encoded: DataFrame, ids_col: str = "ids", model_file: str = MO
     columns = [c for c in encoded.columns if c != "decoded"]
     rows = encoded.select(columns)
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", decoded string"
-    return rows.mapInArrow(_decode_batches(model_file, columns.index(ids_col)), schema)
+    return in_batches(rows, _decode_batches(model_file, columns.index(ids_col)), schema)
 
 
 def ids_digest(ids: str = "ids"):
