@@ -12,8 +12,12 @@ may have their firsts in different texts. `dedup_spans` has one span from each s
 over the fewest sentences, MIN_SENTENCES at least, that hold MIN_WORDS words; every
 sentence that a copy covers goes.
 
-Spans travel as (hash, id, position) without text. Their firsts come from a
-partial aggregation, and only repeated spans are joined back.
+Spans travel once, as (hash, id, position, size) without text. Equal spans within a batch
+of a task leave only their first one to travel by hash, since the others are copies whatever
+the rest holds; so a very common span sends one row a batch. Sorted by hash and place, the
+spans are read in one pass that remembers the current first and gives the later ones. The
+copies of a document meet its text in a join that shuffles each text once, at any size:
+the copies grow with the documents, so they are never broadcast.
 
 Defined results: null and empty texts have no sentences and stay as they are; rows of
 one id are one document, whose equal positions are never each other's copies; a null id
@@ -24,12 +28,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaplens.llm import textvec as tv
-from gaplens.llm.common import saved, small
+from gaplens.llm.common import in_batches
 
 MIN_SENTENCES = 2
 MIN_WORDS = 24
@@ -88,17 +93,58 @@ def _spans(min_sentences: int, min_words: int):
             ids = batch.column(0)
             for first, body, offsets in tv.chunks(batch.column(1)):
                 row, position, size, h1, h2 = span_hashes(body, offsets, min_sentences, min_words)
-                columns = [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), ids.take(pa.array(row + first)), pa.array(position.astype(np.int32)), pa.array(size.astype(np.int32))]
-                yield pa.record_batch(columns, names=["h1", "h2", "row_id", "position", "size"])
+                if not len(row):
+                    continue
+                # Ranks of the ids order places as the ids do; equal ids share a rank.
+                rank = pc.rank(ids.slice(first, len(offsets) - 1), tiebreaker="min").to_numpy().astype(np.int64)[row]
+                order = np.lexsort((position, rank, h2, h1))
+                a, b, r, p = h1[order], h2[order], rank[order], position[order]
+                same = np.zeros(len(a), bool)
+                same[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+                head = np.maximum.accumulate(np.where(same, 0, np.arange(len(a))))
+                again = (r == r[head]) & (p == p[head]) & same  # a repeated row of one document
+                later = same & ~again
+                # A copy that is known needs no company: its key deals it out evenly.
+                a = np.where(later, tv.mix(a ^ tv.mix(r.astype(np.uint64), 51) ^ p.astype(np.uint64), 52), a)
+                kept = np.flatnonzero(~again)
+                place = (p[kept] << 32) | size[order][kept]
+                columns = [pa.array(a[kept].view(np.int64)), pa.array(b[kept].view(np.int64)), ids.take(pa.array(row[order][kept] + first)), pa.array(place), pa.array(later[kept])]
+                yield pa.record_batch(columns, names=["h1", "h2", "row_id", "place", "later"])
 
     return run
 
 
-def _covered(spans: list[dict[str, int]], n: int, words: np.ndarray, stretch_words: int) -> np.ndarray:
+def _copies(batches):
+    """(row_id, place) of the spans that are no firsts; rows come by hash, id and place."""
+    last = None  # hash and place of the current first
+    for batch in batches:
+        if not len(batch):
+            continue
+        h1, h2, place = (batch.column(i).to_numpy() for i in (0, 1, 3))
+        ids, later = batch.column(2), batch.column(4).to_numpy(zero_copy_only=False)
+        every = np.arange(len(h1))
+        opens = np.ones(len(h1), bool)
+        opens[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        known = last is not None and last[:2] == (h1[0], h2[0])
+        opens[0] = not known
+        head = np.maximum.accumulate(np.where(opens, every, -1))
+        codes = pc.dictionary_encode(ids).indices.to_numpy()
+        own = (codes == codes[head]) & (place >> 32 == place[head] >> 32)
+        for i in np.flatnonzero(head < 0):  # the run that the batch before began
+            own[i] = ids[int(i)].as_py() == last[2] and place[i] >> 32 == last[3]
+        if head[-1] >= 0:
+            last = (h1[-1], h2[-1], ids[int(head[-1])].as_py(), place[head[-1]] >> 32)
+        out = later | ~own
+        if out.any():
+            at = pa.array(np.flatnonzero(out))
+            yield pa.record_batch([ids.take(at), batch.column(3).take(at)], names=["row_id", "place"])
+
+
+def _covered(spans: list[int], n: int, words: np.ndarray, stretch_words: int) -> np.ndarray:
     """Which of n sentences the spans cover, in stretches of overlapping spans with stretch_words words or more."""
     gone = np.zeros(n, bool)
     a = b = 0
-    for position, size in [*sorted((s["position"], s["size"]) for s in spans), (n, 0)]:
+    for position, size in [*(divmod(x, 1 << 32) for x in sorted(spans)), (n, 0)]:
         if position >= b:
             gone[a:b] |= words[a:b].sum() >= stretch_words
             a = b = position
@@ -147,15 +193,12 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _deduped(docs: DataFrame, id_col: str, text_col: str, min_sentences: int, span_words: int, stretch_words: int) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("text")).where("row_id is not null")
     id_type = dict(rows.dtypes)["row_id"]
-    spans = saved(rows.mapInArrow(_spans(min_sentences, span_words), f"h1 long, h2 long, row_id {id_type}, position int, size int"))
-    place = F.struct("row_id", "position")
-    firsts = spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    repeated = saved(firsts.where("first <> last").select("h1", "h2", "first"))
-    later = spans.join(small(repeated, 64), ["h1", "h2"]).where(F.struct("row_id", "position") != F.col("first"))
-    lost = saved(later.groupBy("row_id").agg(F.collect_set(F.struct("position", "size")).alias("__lost")))  # at most a document's spans
-    weight, n = lost.agg(F.coalesce(F.sum(F.size("__lost")), F.lit(0)), F.count("*")).first()
-    lost = small(lost.withColumnRenamed("row_id", "__row_id"), 1, 64 * n + 16 * weight)
-    joined = docs.join(lost, F.col(id_col) == F.col("__row_id"), "left").drop("__row_id")
+    spans = in_batches(rows, _spans(min_sentences, span_words), f"h1 long, h2 long, row_id {id_type}, place long, later boolean")
+    # `later` comes last in the order, so that a copy by chance under the hash of others is no first.
+    dealt = spans.repartition("h1").sortWithinPartitions("h1", "h2", "later", "row_id", "place")
+    copies = in_batches(dealt, _copies, f"row_id {id_type}, place long")
+    lost = copies.groupBy(F.col("row_id").alias("__row_id")).agg(F.collect_set("place").alias("__lost"))  # at most a document's spans
+    joined = docs.join(lost.hint("merge"), F.col(id_col) == F.col("__row_id"), "left").drop("__row_id")
     fields = [T.StructField(x.name, T.StringType()) if x.name == text_col else x for x in docs.schema.fields]
     schema = T.StructType([*fields, T.StructField("__n_sentences", T.LongType()), T.StructField("__n_removed", T.LongType())])
-    return joined.mapInArrow(_cut(docs.columns.index(text_col), len(docs.columns), stretch_words), schema)
+    return in_batches(joined, _cut(docs.columns.index(text_col), len(docs.columns), stretch_words), schema)
