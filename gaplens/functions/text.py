@@ -20,10 +20,18 @@ EXPLICIT = (
     "please add", "please make", "would be nice if", "wish there was", "wish it had", "should have", "should add", "needs a", "need an option",
     "feature request", "add a feature", "hope you add", "please include", "why isn't there", "why is there no", "no option to", "there should be",
 )
-DATE_FORMATS = ("MMMM d yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy", "yyyy-MM-dd")
+# Date patterns after ISO, states of finished items, hosts that may carry a change log, hosts never read, hosts of junk.
+DATE_FORMATS = ("MMMM d yyyy", "MMM d yyyy", "MMMM d, yyyy", "MMM d, yyyy")
 CLOSED_STATES = ("closed", "shipped", "released", "done", "resolved")
-KNOWN_HOSTS = ("github.com", "gitlab.com")
-DENIED_HOSTS = ("facebook.com", "twitter.com", "x.com", "reddit.com")
+KNOWN_HOSTS = (
+    "github.com", "gitlab.com", "bitbucket.org", "changelog.com", "keepachangelog.com", "medium.com", "dev.to", "hashnode.dev", "substack.com",
+    "wordpress.com", "blogspot.com", "f-droid.org", "play.google.com", "apps.apple.com", "en.wikipedia.org", "reddit.com", "www.reddit.com",
+)
+DENIED_HOSTS = ("facebook.com", "instagram.com", "tiktok.com", "pinterest.com")
+JUNK_HOSTS = ("cleantechnica.com", "cartelinsider.com", "thespinoff.co.nz", "flying-phoenix.dev", "podcasts.apple.com/us/podcast/saas")
+# Names that differ from the last part of their package.
+DISPLAY_NAMES = {"antennapod": "AntennaPod", "uhabits": "Loop Habit Tracker", "kerneladiutor": "Kernel Adiutor"}
+ISO_DATE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 
 
 def word_count(text: Column) -> Column:
@@ -53,9 +61,10 @@ def explicit_request(text: Column) -> Column:
 
 
 def parsed_date(text: Column) -> Column:
-    """A timestamp (UTC) from ISO or one of DATE_FORMATS; null if none fits."""
+    """A timestamp (UTC) from ISO or one of DATE_FORMATS; null if none fits: nothing is guessed from other orders of day and month."""
     clean = F.when(~F.lower(F.trim(text)).isin("", "none", "nan", "nat"), F.trim(text))
-    return F.coalesce(F.try_to_timestamp(clean), *[F.try_to_timestamp(clean, F.lit(f)) for f in DATE_FORMATS])
+    iso = F.when(clean.rlike(ISO_DATE), F.try_to_timestamp(F.regexp_replace(clean, r"([+-]\d{2})(\d{2})$", "$1:$2")))
+    return F.coalesce(iso, *[F.try_to_timestamp(clean, F.lit(f)) for f in DATE_FORMATS])
 
 
 def review_id(package: Column, rating: Column, created: Column, text: Column) -> Column:
@@ -80,19 +89,92 @@ def html_text(html: Column) -> Column:
 
 
 def url_host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/:?#]+)", 1))
+    """The host of an address with its port, lower case; empty without a scheme."""
+    return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
+
+
+def allowed_hosts(product: str, domains: tuple[str, ...] = ()) -> list[str]:
+    """KNOWN_HOSTS, the given domains and those that a product's name suggests."""
+    slug = "".join(c for c in product.lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789")
+    guessed = [f"{slug}.org", f"{slug}.com", f"www.{slug}.org", f"www.{slug}.com", f"forum.{slug}.org"] if slug else []
+    return [*KNOWN_HOSTS, *(d.lower().lstrip(".") for d in domains), *guessed]
+
+
+def host_allowed(url: Column, product: str, repo: str | None = None, domains: tuple[str, ...] = ()) -> Column:
+    """A host that is allowed with or without www, or lies under an allowed one; a code host needs the repository in the address, if one is known."""
+    hosts = allowed_hosts(product, domains)
+    host = url_host(url)
+    bare = F.regexp_replace(host, r"^www\.", "")
+    listed = host.isin(hosts) | bare.isin(hosts)
+    under = F.lit(False)
+    for h in dict.fromkeys(hosts):
+        under = under | host.endswith(f".{h}") | bare.endswith(f".{h}")
+    in_repo = F.lower(url).contains(repo.lower()) if repo else F.lit(True)
+    return (host != "") & F.when(listed, ~host.endswith("github.com") | in_repo).otherwise(under)
+
+
+def host_denied(url: Column) -> Column:
+    """No host, or one that holds the name of a denied one."""
+    host = url_host(url)
+    out = host == ""
+    for name in DENIED_HOSTS:
+        out = out | host.contains(name)
+    return out
+
+
+def junk_host(url: Column) -> Column:
+    out = F.lit(False)
+    for part in JUNK_HOSTS:
+        out = out | F.lower(F.coalesce(url, F.lit(""))).contains(part)
+    return out
+
+
+def display_name(package: Column) -> Column:
+    """A name for a package: a known one, else its last part with a capital."""
+    tail = F.substring_index(package, ".", -1)
+    out = F.when(tail == "", package).otherwise(F.concat(F.upper(F.substring(tail, 1, 1)), F.substring(tail, 2, 1 << 20)))
+    for key, name in DISPLAY_NAMES.items():
+        out = F.when(F.lower(tail) == key, name).otherwise(out)
+    return out
+
+
+def spaced_name(package: Column) -> Column:
+    """The last part of a package cut at capitals and digits, each part with a capital."""
+    tail = F.substring_index(package, ".", -1)
+    parts = F.regexp_extract_all(tail, F.lit(r"[A-Z]?[a-z]+|[A-Z]+(?=[A-Z]|$)|\d+"), F.lit(0))
+    capital = lambda p: F.concat(F.upper(F.substring(p, 1, 1)), p.substr(F.lit(2), F.length(p)))
+    whole = F.when(tail == "", package).otherwise(capital(tail))
+    return F.when(F.size(parts) > 0, F.array_join(F.transform(parts, capital), " ")).otherwise(whole)
+
+
+def window_label(start: Column, end: Column) -> Column:
+    """'Apr 2016', 'Apr–Sep 2016' or 'Dec 2015 – Jan 2016'; null without both dates."""
+    month, full = (lambda d: F.date_format(d, "MMM")), (lambda d: F.date_format(d, "MMM yyyy"))
+    same_year = F.year(start) == F.year(end)
+    label = F.when(same_year & (F.month(start) == F.month(end)), full(start)).when(same_year, F.concat(month(start), F.lit("–"), full(end)))
+    return F.when(start.isNotNull() & end.isNotNull(), label.otherwise(F.concat(full(start), F.lit(" – "), full(end))))
+
+
+def significant(value: Column, figures: int = 3) -> Column:
+    """A number rounded to so many significant figures."""
+    places = F.lit(figures - 1) - F.floor(F.log10(F.abs(value))).cast("int")
+    scale = F.pow(F.lit(10.0), places.cast("double"))
+    return F.when(F.isnan(value) | (value == 0), value).otherwise(F.signum(value) * F.floor(F.abs(value) * scale + 0.5) / scale)
 
 
-def host_allowed(host: Column, domains: tuple[str, ...]) -> Column:
-    """A host equal to, or under, an allowed domain and under no denied one."""
+def python_repr(text: Column) -> Column:
+    """A string as a Python literal: single quotes, double ones where it has single and no double quotes."""
+    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for char, name in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(char), F.lit(name))
+    double = text.contains("'") & ~text.contains('"')
+    return F.when(double, F.concat(F.lit('"'), out, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(out, F.lit("'"), F.lit("\\'")), F.lit("'")))
 
-    def under(names: tuple[str, ...]) -> Column:
-        out = F.lit(False)
-        for name in names:
-            out = out | (host == name) | host.endswith(f".{name}")
-        return out
 
-    return under(KNOWN_HOSTS + domains) & ~under(DENIED_HOSTS)
+def unique(items: Column) -> Column:
+    """Each text of an array once, the first of those that differ in case and outer space only."""
+    plain = F.transform(items, lambda x: F.lower(F.trim(x)))
+    return F.transform(F.filter(items, lambda x, i: F.array_position(plain, F.lower(F.trim(x))) == i + 1), F.trim)
 
 
 def dot(a: Column, b: Column) -> Column:

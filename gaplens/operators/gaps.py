@@ -12,7 +12,7 @@ WEIGHTS = {"roadmap": (0.30, 0.25, 0.20, 0.15, 0.10), "none": (0.35, 0.00, 0.30,
 
 
 def temporal_class(created: Column, closed: Column, state: Column, end: Column) -> Column:
-    done = (closed <= end) | (state.isin(*CLOSED_STATES) & closed.isNull())
+    done = (closed <= end) | (F.lower(state).isin(*CLOSED_STATES) & closed.isNull())
     return F.when(created > end, "future").when(done, "closed").otherwise("open")
 
 

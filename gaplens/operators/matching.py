@@ -2,31 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaplens.functions.text import dot, unit
-from gaplens.operators.tables import small
-
 
-def similarities(members: DataFrame, items: DataFrame) -> DataFrame:
-    """(member_id, cluster_id, item_id, sim): every member against the stated set of items, in place where it fits the broadcast bound."""
-    left = members.select("member_id", "cluster_id", F.col("embedding").alias("__m"))
-    right = small(items.select("item_id", F.col("embedding").alias("__i")), 800)
-    return left.crossJoin(right).select("member_id", "cluster_id", "item_id", dot(F.col("__m"), F.col("__i")).alias("sim"))
+#: Items of a block as a matrix take about this many bytes; members are held against it ROWS at a time.
+BLOCK_BYTES = 16 << 20
+ROWS = 4096
+#: A range of so many values is read whole by an exact percentile.
+PERCENTILE_ROWS = 100_000
+
+
+def _nearest(ids: np.ndarray, matrix: np.ndarray, k: int):
+    """Rows (member_id, cluster_id, embedding) to their k nearest of the items; equal similarities (to 12 places) go to the least id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column(2).is_valid())
+            if not len(batch) or not len(ids):
+                continue
+            vectors = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
+            for first in range(0, len(batch), ROWS):
+                part = batch.slice(first, ROWS)
+                sims = vectors[first : first + ROWS] @ matrix.T
+                keys = np.round(sims, 12)
+                top = min(k, len(ids))
+                at = np.argsort(-keys, axis=1, kind="stable")[:, :top] if top > 1 else keys.argmax(1)[:, None]
+                size = at.shape[1]
+                yield pa.record_batch(
+                    [part.column(0).take(pa.array(np.repeat(np.arange(len(part)), size))), part.column(1).take(pa.array(np.repeat(np.arange(len(part)), size))), pa.array(ids[at].ravel()), pa.array(np.take_along_axis(sims, at, 1).ravel())],
+                    names=["member_id", "cluster_id", "item_id", "sim"],
+                )
+
+    return run
+
+
+def nearest(members: DataFrame, items: DataFrame, k: int = 1) -> DataFrame:
+    """(member_id, cluster_id, item_id, sim, place): the k items nearest to each member, by matrix products over blocks of items.
+
+    A block holds as many items as fit BLOCK_BYTES; with several, each gives its k best and one aggregation by member keeps the best of those.
+    """
+    n, width = items.agg(F.count("embedding"), F.max(F.size("embedding"))).first()
+    blocks = max(1, -(-n * 8 * (width or 1) // BLOCK_BYTES))
+    types = dict(members.dtypes)
+    schema = f"member_id {types['member_id']}, cluster_id {types['cluster_id']}, item_id {dict(items.dtypes)['item_id']}, sim double"
+    found = None
+    for b in range(blocks):
+        block = items.where(F.col("embedding").isNotNull()).where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", "embedding").toArrow().sort_by("item_id")  # BLOCK_BYTES or so
+        vectors = block["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(block), -1) if len(block) else np.zeros((0, 1))
+        part = members.select("member_id", "cluster_id", "embedding").mapInArrow(_nearest(block["item_id"].to_numpy(), vectors, k), schema)
+        found = part if found is None else found.union(part)
+    best = F.struct((-F.round("sim", 12)).alias("s"), "item_id", "sim")
+    if blocks == 1 and k == 1:
+        return found.withColumn("place", F.lit(1))
+    ranked = found.groupBy("member_id", "cluster_id").agg(F.slice(F.array_sort(F.collect_list(best)), 1, k).alias("b"))  # k of each block
+    return ranked.select("member_id", "cluster_id", F.posexplode("b").alias("at", "b")).select("member_id", "cluster_id", "b.item_id", "b.sim", (F.col("at") + 1).alias("place"))
 
 
 def top1(members: DataFrame, items: DataFrame) -> DataFrame:
-    """The nearest item of each member, the least id on ties; a map-side maximum keeps one row a member."""
-    best = similarities(members, items).groupBy("member_id", "cluster_id").agg(F.max_by(F.struct("item_id", "sim"), F.struct("sim", -F.col("item_id"))).alias("b"))
-    return best.select("member_id", "cluster_id", "b.item_id", F.col("b.sim").alias("sim"))
+    """The nearest item of each member, the least id on ties."""
+    return nearest(members, items).drop("place")
 
 
 def margins(members: DataFrame, items: DataFrame) -> DataFrame:
-    """Best and second similarity of each member and their distance."""
-    ranked = similarities(members, items).withColumn("r", F.row_number().over(Window.partitionBy("member_id").orderBy(F.desc("sim"), "item_id"))).where("r <= 2")
-    out = ranked.groupBy("member_id").agg(F.max(F.when(F.col("r") == 1, F.col("item_id"))).alias("item_id"), F.max(F.when(F.col("r") == 1, F.col("sim"))).alias("s1"), F.coalesce(F.max(F.when(F.col("r") == 2, F.col("sim"))), F.lit(0.0)).alias("s2"))
-    return out.select("member_id", "item_id", F.round("s1", 6).alias("s1"), F.round("s2", 6).alias("s2"), F.round(F.col("s1") - F.col("s2"), 6).alias("margin"))
+    """Best and second similarity of each member and their distance; a second is 0 where there is none."""
+    found = nearest(members, items, 2).groupBy("member_id").agg(F.max(F.when(F.col("place") == 1, F.col("item_id"))).alias("item_id"), F.max(F.when(F.col("place") == 1, F.col("sim"))).alias("s1"), F.coalesce(F.max(F.when(F.col("place") == 2, F.col("sim"))), F.lit(0.0)).alias("s2"))
+    return found.select("member_id", "item_id", F.round("s1", 6).alias("s1"), F.round("s2", 6).alias("s2"), F.round(F.col("s1") - F.col("s2"), 6).alias("margin"))
 
 
 def agreement_floor(n):
@@ -34,11 +80,25 @@ def agreement_floor(n):
 
 
 def plurality(matches: DataFrame) -> DataFrame:
-    """The item most members of a cluster chose; ties go to the one chosen by the first member."""
-    votes = matches.groupBy("cluster_id", "item_id").agg(F.count("*").alias("votes"), F.min("member_id").alias("first"), F.avg("sim").alias("score"))
-    totals = matches.groupBy("cluster_id").agg(F.count("*").alias("members"))
-    win = votes.groupBy("cluster_id").agg(F.max_by(F.struct("item_id", "votes", "score"), F.struct("votes", -F.col("first"))).alias("w"))
-    out = win.join(totals, "cluster_id").select("cluster_id", "members", "w.item_id", "w.votes", F.round("w.score", 6).alias("score"))
+    """The item most members of a cluster chose, ties to the one chosen by the first member; and the runner-up in the same order.
+
+    score: mean similarity of those who agree; member_mean: of all. `accepted` tells whether the votes reach the agreement floor;
+    a null distribution uses the rows whatever it says.
+    """
+    votes = matches.groupBy("cluster_id", "item_id").agg(F.count("*").alias("votes"), F.min("member_id").alias("first"), F.avg("sim").alias("score"), F.sum("sim").alias("all"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), "first", "item_id", "votes", "score")))  # at most one entry a member
+    won = votes.groupBy("cluster_id").agg(order.alias("o"), F.sum("votes").alias("members"), F.sum("all").alias("all"))
+    first, second = F.col("o")[0], F.try_element_at("o", F.lit(2))
+    out = won.select(
+        "cluster_id",
+        "members",
+        first["item_id"].alias("item_id"),
+        first["votes"].alias("votes"),
+        F.round(first["score"], 6).alias("score"),
+        F.round(F.col("all") / F.col("members"), 6).alias("member_mean"),
+        second["item_id"].alias("runner_up"),
+        F.coalesce(second["votes"], F.lit(0)).alias("runner_up_votes"),
+    )
     out = out.withColumn("agreement", F.round(F.col("votes") / F.col("members"), 6))
     return out.withColumn("accepted", F.col("votes") >= agreement_floor(F.col("members")))
 
@@ -52,7 +112,7 @@ def centroids(members: DataFrame) -> DataFrame:
 
 def cluster_summary(members: DataFrame) -> DataFrame:
     """Size, cohesion, mean rating, spread and the most central member of each cluster."""
-    near = members.join(small(centroids(members), 800), "cluster_id").withColumn("sim", dot(F.col("embedding"), F.col("centroid")))
+    near = members.join(centroids(members), "cluster_id").withColumn("sim", dot(F.col("embedding"), F.col("centroid")))
     return near.groupBy("cluster_id").agg(
         F.count("*").alias("size"),
         F.round(F.avg("sim"), 6).alias("cohesion"),
@@ -62,10 +122,52 @@ def cluster_summary(members: DataFrame) -> DataFrame:
     )
 
 
-def null_percentile(matches: DataFrame, p: float = 0.95) -> DataFrame:
-    return matches.agg(F.round(F.percentile("sim", p), 6).alias("threshold"), F.count("*").alias("n"))
-
-
-def fire_rate(votes: DataFrame, group, threshold: float) -> DataFrame:
+def exact_percentile(df: DataFrame, column: str, p: float) -> float | None:
+    """The percentile by linear interpolation: passes over equal bins narrow the range until its values fit PERCENTILE_ROWS."""
+    value = F.col(column).cast("double")
+    n, low, high = df.where(value.isNotNull()).agg(F.count("*"), F.min(value), F.max(value)).first()
+    if not n:
+        return None
+    rank, below = (n - 1) * p, 0
+    inside = n
+    while inside > PERCENTILE_ROWS and low < high:
+        width = (high - low) / 1024
+        bins = df.where(value.between(low, high)).groupBy(F.least(F.lit(1023), F.floor((value - low) / width)).alias("b")).agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
+        rows = bins.orderBy("b").collect()  # at most 1024
+        upto = below
+        for i, r in enumerate(rows):
+            if upto + r["n"] > rank:
+                last = rows[i + 1] if upto + r["n"] <= rank + 1 and i + 1 < len(rows) else r
+                below, low, high = upto, r["low"], last["high"] if last is r else last["low"]
+                break
+            upto += r["n"]
+        now = df.where(value.between(low, high)).count()
+        if now == inside:
+            break
+        inside = now
+    values = [r[0] for r in df.where(value.between(low, high)).groupBy(value.alias("v")).agg(F.count("*").alias("n")).orderBy("v").selectExpr("struct(v, n) as s").collect()]  # different values of one range
+    places, at = {}, below
+    for r in values:
+        for want in (int(rank), min(int(rank) + 1, n - 1)):
+            if at <= want < at + r["n"]:
+                places[want] = r["v"]
+        at += r["n"]
+    a, b = places[int(rank)], places[min(int(rank) + 1, n - 1)]
+    return a + (b - a) * (rank - int(rank))
+
+
+def null_threshold(scores: DataFrame, p: float = 0.95, floor: float = 0.16) -> float:
+    """The percentile of control scores; a cluster without a match counts 0, no controls give the absolute floor."""
+    found = exact_percentile(scores.select(F.coalesce("score", F.lit(0.0)).alias("score")), "score", p)
+    return floor if found is None else found
+
+
+def fire_rate(votes: DataFrame, group: Column, threshold: float) -> DataFrame:
     out = votes.groupBy(group.alias("kind")).agg(F.count("*").alias("clusters"), F.count_if(F.col("score") >= threshold).alias("fired"), F.round(F.avg("score"), 6).alias("mean_top1"))
     return out.withColumn("fire_rate", F.round(F.col("fired") / F.col("clusters"), 6))
+
+
+def separation(rates: DataFrame, real: str = "real") -> DataFrame:
+    """The real group's mean score less that of all control groups together."""
+    mean = lambda wanted: F.sum(F.when(wanted, F.col("mean_top1") * F.col("clusters"))) / F.sum(F.when(wanted, F.col("clusters")))
+    return rates.agg(F.round(mean(F.col("kind") == real) - mean(F.col("kind") != real), 6).alias("separation"))

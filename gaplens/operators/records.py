@@ -7,14 +7,17 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Patterns of version titles and of issue template lines.
-VERSION_TITLE = r"(?i)^v?\d+(\.\d+)+([-._]?[a-z0-9]+)?$"
+# Patterns of version titles, of issue template lines in the order they go, and of shipped work.
+VERSION_TITLE = r"(?i)^v?\d+(?:\.\d+)+(?:[-._]?[a-z0-9]+)?$"
 TEMPLATE_PARTS = (
     r"(?s)<!--.*?-->",
-    r"(?im)^###\s*(Checklist|Environment|App version|Device model|Android version|How to reproduce|Steps to reproduce)\b.*$",
+    r"(?im)^###\s*(Checklist|Environment|App version|Device model|Android version|AntennaPod version|How to reproduce|Steps to reproduce)\b.*$",
+    r"(?im)^\s*[-*]?\s*\[[ xX]?\]?\s*I have used the search function.*$",
+    r"(?im)^\s*[-*]?\s*\[[ xX]?\]?\s*I have read (the )?(relevant )?(documentation|wiki).*$",
     r"(?m)^\s*[-*]\s*\[[ xX]\]\s*.*$",
+    r"(?im)^\s*(Android version|AntennaPod version|App version|Device model|Device|OS version|Free space)\s*:.*$",
 )
-SHIPPED = r"(?i)changelog|release|shipped"
+SHIPPED = r"(?iU)\b(changelog|released?|shipped)\b"
 CLOSE_DATE = "2020-01-01"
 
 
@@ -23,20 +26,23 @@ def is_version_title(title: Column) -> Column:
 
 
 def product_tokens(name: str, package: str = "") -> list[str]:
-    """Words of a product's name of 3 letters or more, then the last part of its package."""
-    return [w for w in [*re.split(r"\W+", name.lower()), package.lower().rpartition(".")[2]] if len(w) >= 3]
+    """Words of a product's name of 3 letters or more, then the last part of its package unless it is one of them."""
+    words = [w for w in re.split(r"\W+", name.lower()) if len(w) >= 3]
+    tail = package.lower().rpartition(".")[2]
+    return [*words, tail] if len(tail) >= 3 and tail not in words else words
 
 
-def mentions_product(blob: Column, name: str, package: str = "") -> Column:
-    """The name, the package, the first three tokens together, or the only token."""
+def mentions_product(blob: Column, name: str, package: str = "", strict: bool = False) -> Column:
+    """The name, the package, the first three tokens together, or the only token. Strict: a single token is not enough, the package gives none."""
     text = F.lower(F.coalesce(blob, F.lit("")))
-    found = text.contains(name.lower())
-    if package:
-        found = found | text.contains(package.lower())
-    tokens = product_tokens(name, package)[:3]
-    if tokens:
+    found = F.lit(False)
+    for whole in (name, package):
+        if whole:
+            found = found | text.contains(whole.lower())
+    tokens = product_tokens(name, "" if strict else package)
+    if len(tokens) >= (2 if strict else 1):
         every = F.lit(True)
-        for t in tokens:
+        for t in tokens[:3]:
             every = every & text.contains(t)
         found = found | every
     return found
@@ -47,6 +53,11 @@ def is_junk(text: Column, least: int = 40, hyphens: int = 12) -> Column:
     return (F.length(body) < least) | (F.length(body) - F.length(F.replace(body, F.lit("-"), F.lit(""))) > hyphens)
 
 
+def is_issue(raw: Column) -> Column:
+    """Whether a tracker's JSON row is an issue: one with the key pull_request is none, whatever its value."""
+    return ~F.array_contains(F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>")), "pull_request")
+
+
 def issue_body(body: Column) -> Column:
     """An issue's text without template lines; (?d) keeps \\n the only line end."""
     out = F.coalesce(body, F.lit(""))
@@ -92,13 +103,34 @@ def split_urls(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(text, r"[\s,]+"), lambda u: u.rlike("^https?://")))
 
 
-def page_items(pages: DataFrame, text: Column) -> DataFrame:
-    """Pages as roadmap items; those that speak of shipped work are closed at a constant date."""
-    done = text.rlike(SHIPPED)
-    return pages.withColumn("state", F.when(done, "closed").otherwise("open")).withColumn("closed_at", F.when(done, F.lit(CLOSE_DATE).cast("timestamp")))
-
-
-def representative(df: DataFrame, key: str, text: Column, need: Column) -> DataFrame:
-    """The first member with a need, else the first with a text, else the first."""
-    priority = F.when(need, 0).when(F.trim(F.coalesce(text, F.lit(""))) != "", 1).otherwise(2)
-    return df.groupBy(key).agg(F.min_by("ord", F.struct(priority, F.col("ord"))).alias("ord"))
+def page_items(pages: DataFrame, title: Column, text: Column) -> DataFrame:
+    """Pages with a text as roadmap items; those that speak of shipped work are closed at a constant date."""
+    done = F.concat(F.coalesce(title, F.lit("")), text).rlike(SHIPPED)
+    rows = pages.where(F.coalesce(text, F.lit("")) != "")
+    rows = rows.withColumn("item_id", F.concat(F.lit("web-"), F.col("page_id").cast("string"))).withColumn("item_text", F.substring(F.concat(F.coalesce(title, F.lit("")), F.lit(". "), text), 1, 1000))
+    return rows.withColumn("state", F.when(done, "closed").otherwise("open")).withColumn("closed_at", F.when(done, F.lit(CLOSE_DATE).cast("timestamp")))
+
+
+def representative(df: DataFrame, key: str, text: Column, need: Column, central: Column | None = None) -> DataFrame:
+    """(key, ord, quote): the review to quote for each group.
+
+    The member whose text is the central one, or begins with its first 80 characters, if it bears a need (the first such member
+    decides); else the first with a need, else the first with a text, else no member and a placeholder.
+    """
+    said = F.trim(F.coalesce(text, F.lit("")))
+    rows = df.withColumn("__text", said).withColumn("__need", need & (said != ""))
+    like = F.lit(False) if central is None else (F.trim(central) != "") & ((said == F.trim(central)) | said.startswith(F.substring(F.trim(central), 1, 80)))
+    row = F.struct("ord", "__text", "__need")
+    first = lambda wanted: F.min_by(F.when(wanted, row), F.when(wanted, F.col("ord")))
+    found = rows.groupBy(key).agg(first(like).alias("c"), first(F.col("__need")).alias("n"), first(said != "").alias("t"))
+    chosen = F.when(F.col("c.__need"), F.col("c")).otherwise(F.coalesce("n", "t"))
+    return found.select(key, chosen["ord"].alias("ord"), F.coalesce(chosen["__text"], F.lit("(no review text)")).alias("quote"))
+
+
+def first_by(df: DataFrame, key: str, orders: dict[str, list[Column]], top: int) -> DataFrame:
+    """Rows among the first of their group in any of several orders, with their place in each."""
+    ranked = df.select("*", *[F.row_number().over(Window.partitionBy(key).orderBy(*order)).alias(name) for name, order in orders.items()])
+    near = F.lit(False)
+    for name in orders:
+        near = near | (F.col(name) <= top)
+    return ranked.where(near)

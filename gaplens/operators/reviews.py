@@ -20,9 +20,10 @@ def rating_gate(df: DataFrame, rating: str = "rating") -> DataFrame:
 
 
 def first_wins(df: DataFrame, key: Column, order: str = "ord") -> DataFrame:
-    """The row of least order for each key, by a partial aggregation: no sort of whole groups."""
-    row = F.struct(*df.columns)
-    return df.groupBy(key.alias("__key")).agg(F.min_by(row, F.col(order)).alias("__row")).select("__row.*")
+    """The row of least order for each key. Keys are 128-bit hashes, so no text is shuffled to find the first."""
+    hashed = F.md5(F.coalesce(key, F.lit("")))
+    firsts = df.groupBy(hashed.alias("__key")).agg(F.min(order).alias("__first"))
+    return df.join(firsts.select("__first"), F.col(order) == F.col("__first"), "left_semi")
 
 
 def ingest(df: DataFrame, quota: int | None = None) -> DataFrame:
@@ -40,10 +41,25 @@ def need_stats(df: DataFrame) -> DataFrame:
     return with_need(df).agg(F.count("*").alias("reviews_total"), F.count_if("need_bearing").alias("reviews_need_bearing"))
 
 
-def hiddenness(df: DataFrame, group: str) -> DataFrame:
-    """Share of a group's reviews that do not ask outright, to 4 places."""
+def hiddenness(df: DataFrame, group: str, cross_cluster: bool = False) -> DataFrame:
+    """Share of a group's reviews that do not ask outright, to 4 places; a need of several clusters gains a quarter of what is left to 1."""
     out = df.groupBy(group).agg(F.count("*").alias("mentions"), F.count_if(tx.explicit_request(F.col("review_text"))).alias("explicit_requests"))
-    return out.withColumn("hiddenness", F.round(1 - F.col("explicit_requests") / F.col("mentions"), 4))
+    return out.withColumn("hiddenness", hidden_share(F.col("explicit_requests"), F.col("mentions"), cross_cluster))
+
+
+def hidden_share(explicit: Column, mentions: Column, cross_cluster: bool = False) -> Column:
+    base = 1 - explicit / F.nullif(mentions, F.lit(0))
+    base = base + (1 - base) * 0.25 if cross_cluster else base
+    return F.coalesce(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base)), 4), F.lit(0.0))
+
+
+def insight(hidden: Column, confidence: Column) -> Column:
+    return F.round(F.coalesce(hidden, F.lit(0.0)) * (F.coalesce(confidence, F.lit(0.0)) / 100.0), 4)
+
+
+def need_split(df: DataFrame, need: Column) -> DataFrame:
+    """Reviews that bear a need, kept within 0 and all, and the others."""
+    return df.agg(F.count("*").alias("n"), need.alias("need")).select(F.greatest(F.lit(0), F.least("need", "n")).cast("long").alias("need_bearing"), (F.col("n") - F.greatest(F.lit(0), F.least("need", "n"))).cast("long").alias("other"))
 
 
 def rating_histogram(df: DataFrame) -> DataFrame:
@@ -60,9 +76,12 @@ def year_histogram(df: DataFrame, date: Column) -> DataFrame:
     return years.join(counts, "year", "left").select("year", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def review_window(df: DataFrame) -> DataFrame:
+def review_window(df: DataFrame, now: Column | None = None) -> DataFrame:
+    """First and last date and how many are dated; without any, `now` (the current time by default) is both."""
     date = tx.parsed_date(F.col("created_at"))
-    return df.agg(F.date_format(F.min(date), "yyyy-MM-dd").alias("window_start"), F.date_format(F.max(date), "yyyy-MM-dd").alias("window_end"), F.count(date).alias("dated"))
+    now = F.current_timestamp() if now is None else now
+    day = lambda edge: F.date_format(F.coalesce(edge(date), now), "yyyy-MM-dd")
+    return df.agg(day(F.min).alias("window_start"), day(F.max).alias("window_end"), F.count(date).alias("dated"))
 
 
 def package_profile(df: DataFrame) -> DataFrame:
@@ -70,11 +89,18 @@ def package_profile(df: DataFrame) -> DataFrame:
     return df.groupBy("package").agg(F.count("*").alias("reviews"), F.round(F.avg(F.coalesce("rating", F.lit(0.0))), 6).alias("avg_stars"), sample.alias("sample"))
 
 
-def catalog_search(df: DataFrame, name: str, needle: str, order: list[Column], limit: int) -> DataFrame:
-    return df.where(F.contains(F.lower(F.col(name)), F.lit(needle.lower()))).orderBy(*order).limit(limit)
+def catalog_search(df: DataFrame, names: list[str], needle: str, order: list[Column], limit: int) -> DataFrame:
+    """Rows with the needle in one of the columns, any case, no wildcards; an empty needle finds all. At most 100, at least 1."""
+    wanted = F.lit(False)
+    for name in names:
+        wanted = wanted | F.coalesce(F.contains(F.lower(F.col(name)), F.lit(needle.strip().lower())), F.lit(False))
+    return df.where(wanted | F.lit(not needle.strip())).orderBy(*order).limit(max(1, min(100, limit)))
 
 
 def paste_items(df: DataFrame, least: int = 8) -> DataFrame:
-    """Lines of a pasted text as items; ids keep the index before the length gate."""
-    lines = df.select("ord", F.posexplode(F.split("review_text", "\n")).alias("i", "line"))
-    return lines.select("ord", F.concat(F.lit("paste-"), F.col("i").cast("string")).alias("item_id"), F.trim("line").alias("text")).where(F.length("text") >= least)
+    """Paragraphs of a pasted text with an empty line, else its lines, as items; ids keep the index before the length gate."""
+    blob = F.regexp_replace("review_text", r"^\s+|\s+$", "")
+    chunks = F.when(blob.contains("\n\n"), F.split(blob, r"\n\s*\n")).otherwise(F.split(blob, "\n"))
+    filled = F.filter(F.transform(chunks, lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")), lambda c: c != "")
+    lines = df.select("ord", F.posexplode(filled).alias("i", "text"))
+    return lines.select("ord", F.concat(F.lit("paste-"), F.col("i").cast("string")).alias("item_id"), F.substring("text", 1, 1000).alias("text")).where(F.length("text") >= least)

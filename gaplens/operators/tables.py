@@ -34,3 +34,13 @@ def first_hit(df: DataFrame, text: str, rules: list[tuple[str, str]], default: s
     for keyword, value in reversed(rules):
         hit = F.when(F.contains(F.lower(F.col(text)), F.lit(keyword)), value).otherwise(hit)
     return df.withColumn("hit", hit)
+
+
+def mapped(df: DataFrame, text: str, exact: list[tuple[str, str]], rules: list[tuple[str, str]]) -> DataFrame:
+    """The value of an equal key, else of the first rule whose keyword the text holds, any case; null if none."""
+    hit = F.lit(None).cast("string")
+    for keyword, value in reversed(rules):
+        hit = F.when(F.contains(F.lower(F.col(text)), F.lit(keyword)), value).otherwise(hit)
+    for key, value in reversed(exact):
+        hit = F.when(F.col(text) == key, value).otherwise(hit)
+    return df.withColumn("hit", hit)

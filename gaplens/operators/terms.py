@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,70 @@ def char_terms(text: Column, least: int = 3, most: int = 5) -> Column:
     return F.flatten(F.transform(tokens, lambda w: F.concat(*[grams(padded(w), n) for n in range(least, most + 1)])))
 
 
+# Words that a keyword fallback leaves out; a longer list of common English words for terms, which is a parameter.
+FALLBACK_STOPS = ("the", "and", "for", "that", "this", "with", "you", "are", "but", "not", "have", "app", "just")
+ENGLISH_STOPS = (
+    "a about after all also am an and any are as at be because been before being both but by can could did do does doing down during each few for from further had has have having he her here hers "
+    "him his how i if in into is it its itself just me more most my no nor not now of off on once only or other our out over own same she should so some such than that the their them then there "
+    "these they this those through to too under until up very was we were what when where which while who whom why will with would you your"
+).split()
+
+
+def word_terms(text: Column, stops: tuple[str, ...] | list[str] = ENGLISH_STOPS) -> Column:
+    """Words of two letters or more that are no stop words, and the pairs of neighbours among them."""
+    tokens = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(list(stops)))
+    pairs = F.when(F.size(tokens) > 1, F.zip_with(F.slice(tokens, F.lit(1), F.size(tokens) - 1), F.slice(tokens, F.lit(2), F.size(tokens) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
+    return F.concat(tokens, F.coalesce(pairs, F.array().cast("array<string>")))
+
+
+def vocabulary(df: DataFrame, key: str, terms: Column, n: int, features: int) -> DataFrame:
+    """(term, idf) of the terms of greatest count, the first in the alphabet on ties: ln((1 + N) / (1 + df)) + 1."""
+    counts = df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    best = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("docs")).orderBy(F.desc("total"), "term").limit(features)
+    return best.select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("docs"))) + 1).alias("idf"))
+
+
+def weighed(df: DataFrame, key: str, terms: Column, vocabulary: DataFrame, sublinear: bool = True) -> DataFrame:
+    """(key, term, weight): term frequency (1 + its logarithm if sublinear) times idf, over the row's norm."""
+    counts = df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    tf = 1 + F.log("tf") if sublinear else F.col("tf")
+    raw = counts.join(F.broadcast(vocabulary), "term").select(key, "term", (tf * F.col("idf")).alias("w"))  # at most `features` rows
+    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def union_tfidf(df: DataFrame, key: str, text: str, words: int = 12_000, chars: int = 30_000) -> DataFrame:
+    """Word and character terms side by side, each block over its own norm."""
+    n = df.count()
+    parts = []
+    for name, found, most in (("word", word_terms(F.col(text)), words), ("char", char_terms(F.col(text)), chars)):
+        parts.append(weighed(df, key, found, vocabulary(df, key, found, n, most)).select(key, F.lit(name).alias("block"), "term", F.round("weight", 6).alias("weight")))
+    return parts[0].unionByName(parts[1])
+
+
+def keywords(df: DataFrame, group: str, key: str, text: str, top: int = 8, features: int = 500) -> DataFrame:
+    """(group, place, term): the terms of greatest mean TF-IDF over a group's texts, each group a corpus of its own; the first in the alphabet on ties."""
+    found = word_terms(F.col(text))
+    n = df.groupBy(group).agg(F.count("*").alias("n"))
+    counts = df.select(group, key, F.explode(found).alias("term")).groupBy(group, key, "term").agg(F.count("*").alias("tf"))
+    stats = counts.groupBy(group, "term").agg(F.sum("tf").alias("total"), F.count("*").alias("docs"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("total"), "term"))
+    known = stats.withColumn("p", place).where(F.col("p") <= features).join(n, group).select(group, "term", "n", (F.log((1.0 + F.col("n")) / (1 + F.col("docs"))) + 1).alias("idf"))
+    raw = counts.join(known, [group, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
+    norms = raw.groupBy(group, key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    mean = raw.join(norms, [group, key]).groupBy(group, "term").agg((F.sum(F.col("w") / F.col("norm")) / F.max("n")).alias("score"))
+    best = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(F.round("score", 9)), "term"))
+    return mean.withColumn("place", best).where(F.col("place") <= top).select(group, "place", "term")
+
+
+def fallback_keywords(df: DataFrame, group: str, text: str, top: int = 8) -> DataFrame:
+    """(group, place, term): the commonest words of three letters a-z or more that are no FALLBACK_STOPS."""
+    words_ = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: ~w.isin(*FALLBACK_STOPS))
+    counts = df.select(group, F.explode(words_).alias("term")).groupBy(group, "term").agg(F.count("*").alias("n"))
+    best = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "term"))
+    return counts.withColumn("place", best).where(F.col("place") <= top).select(group, "place", "term")
+
+
 def document_frequency(df: DataFrame, terms: Column) -> DataFrame:
     """(term, docs); each document counts a term once before the shuffle."""
     return df.select(F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count("*").alias("docs"))
@@ -29,10 +93,5 @@ def document_frequency(df: DataFrame, terms: Column) -> DataFrame:
 
 def tfidf(df: DataFrame, key: str, terms: Column, features: int = 40_000) -> DataFrame:
     """(key, term, weight): (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1) over its norm, for the terms of greatest count."""
-    n = df.count()
-    counts = df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    vocabulary = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("docs")).orderBy(F.desc("total"), "term").limit(features)
-    idf = vocabulary.select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("docs"))) + 1).alias("idf"))
-    raw = counts.join(F.broadcast(idf), "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))  # at most `features` rows
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", F.round(F.col("w") / F.col("norm"), 6).alias("weight"))
+    found = weighed(df, key, terms, vocabulary(df, key, terms, df.count(), features))
+    return found.select(key, "term", F.round("weight", 6).alias("weight"))

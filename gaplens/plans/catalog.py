@@ -28,11 +28,6 @@ def fil09_version_title(spark, d):
     return _versions(spark, d).select("p_partkey", records.is_version_title(F.col("title")).alias("is_version"))
 
 
-@query
-def fil10_product_mention(spark, d):
-    return table(spark, d, "part").select("p_partkey", records.mentions_product(F.concat_ws(" ", "p_name", "p_type"), "Red Blue").alias("mentioned"))
-
-
 @query
 def fil15_junk_gate(spark, d):
     return table(spark, d, "documents").select("doc_id", records.is_junk(F.col("text")).alias("junk"))
@@ -50,25 +45,6 @@ def fil24_completed_job(spark, d):
     return records.latest(done, ["o_custkey", "o_orderpriority"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderpriority", "o_orderkey")
 
 
-@query
-def fil25_pull_request_exclusion(spark, d):
-    return table(spark, d, "events").where(F.get_json_object("props", "$.pull_request").isNull()).select("event_id")
-
-
-def _later(spark, d, wanted):
-    found = matching.plurality(matching.top1(members(spark, d), items(spark, d).where(wanted)))
-    return found.where("accepted").select("cluster_id", F.col("item_id").alias("hit"))
-
-
-@query
-def joi15_later_addressed(spark, d):
-    end = f"timestamp '{WINDOW_END}'"
-    future = _later(spark, d, f"created_at > {end}").withColumnRenamed("hit", "future")
-    closed = _later(spark, d, f"created_at <= {end} and closed_at > {end}").withColumnRenamed("hit", "closed")
-    clusters = members(spark, d).select("cluster_id").distinct()
-    return clusters.join(future, "cluster_id", "left").join(closed, "cluster_id", "left").select("cluster_id", F.coalesce("future", "closed").alias("item_id"))
-
-
 @query
 def joi18_want_rate(spark, d):
     want = F.col("review_text").rlike(rf"(?iU)\b({tx.WANT})\b")
@@ -101,24 +77,9 @@ def ml01_char_tfidf(spark, d):
     return terms.tfidf(table(spark, d, "benchmark"), "item_id", terms.char_terms(F.col("text")))
 
 
-@query
-def win05_representative(spark, d):
-    rows = rv.rating_gate(reviews(spark, d))
-    return records.representative(rows, "package", F.col("review_text"), tx.need_bearing(F.col("review_text"), F.col("rating")))
-
-
 @query
 def win09_top_three(spark, d):
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("member_id").orderBy(F.desc("sim"), "item_id"))
-    return matching.similarities(members(spark, d), items(spark, d)).withColumn("place", place).where("place <= 3").select("member_id", "item_id", "place")
-
-
-@query
-def str03_issue_text(spark, d):
-    body = F.concat(F.lit("<!-- hint -->\n### Environment\n- [x] done\n"), F.coalesce("text", F.lit("")))
-    return table(spark, d, "conversations").select("conv_id", "turn", records.issue_text(F.col("role"), body).alias("text"))
+    return matching.nearest(members(spark, d), items(spark, d), 3).select("member_id", "item_id", "place")
 
 
 @query
@@ -142,12 +103,6 @@ def jsn02_bounds(spark, d):
     return table(spark, d, "events").where(F.get_json_object("props", "$.k").cast("int").between(0, 100) & (F.length("props") <= 500)).select("event_id")
 
 
-@query
-def hsh02_roadmap_hash(spark, d):
-    listed = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))  # a roadmap has a bounded list of items
-    return table(spark, d, "nation").groupBy("n_regionkey").agg(F.substring(F.sha1(F.array_join(listed["n_name"], "\0")), 1, 16).alias("hash"))
-
-
 @query
 def hsh03_config_hash(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.substring(F.sha2(F.to_json(F.struct("c_custkey", "c_mktsegment", "c_name")), 256), 1, 24).alias("hash"))
@@ -158,11 +113,6 @@ def src15_split_urls(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(records.split_urls(F.concat("url", F.lit(", ftp://x.org "), F.col("url"), F.lit(" http://a.org"))), " ").alias("urls"))
 
 
-@query
-def src16_page_items(spark, d):
-    return records.page_items(table(spark, d, "pages"), tx.html_text(F.col("html"))).select("page_id", "state", F.date_format("closed_at", "yyyy-MM-dd").alias("closed"))
-
-
 @query
 def ui03_contributions(spark, d):
     found = gaps.confidence(matching.cluster_summary(members(spark, d)), "none")

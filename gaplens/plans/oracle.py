@@ -1,28 +1,42 @@
 """DuckDB SQL for the queries of gaplens.plans.queries, over the same tables."""
 
-from gaplens.functions.text import EXPLICIT, NEGATED_PROBLEM, PROBLEM, WANT
-from gaplens.operators.records import CLOSE_DATE, SHIPPED, TEMPLATE_PARTS, VERSION_TITLE
-from gaplens.plans.queries import REPO_RULES, WINDOW_END
-from gaplens.sources.tables import PHRASES
+# What the queries must agree with, written out; nothing is taken from the engine.
+WANT = (
+    r"wish|would love|would like|would be (nice|great|good|better|awesome)|hope|please add|please (fix|make|include)|missing|lack of|lacks?|"
+    r"no way to|can't|cant|cannot|doesn't let|should (have|be able|allow|support)|if only|need(s)? (a|an|to|the|more|better)|feature request|"
+    r"suggest(ion)?|add(ed|ing)? support|it('?d| would) (be|help)|looking for|miss(ing)? (a|an|the)|faster .+ would|go to at least|at least \d|leads to|would (prefer|appreciate)"
+)
+PROBLEM = (
+    r"bug|broken|crash(es|ed|ing)?|fail(s|ed|ing)?|error|freeze|frozen|stuck|unusable|doesn'?t work|does not work|won'?t work|not work|stopped working|"
+    r"keeps? (crashing|failing|stopping)|force.?close|anr|slow network|pause when resuming|never works|always (fails|crashes)|glitch"
+)
+NEGATED = r"(without|never|no)\s+(any\s+)?(crash(es|ed|ing)?|fail(s|ed|ing)?|error|bug|glitch|freeze|freezing)"
+ASKS = (
+    "please add", "please make", "would be nice if", "wish there was", "wish it had", "should have", "should add", "needs a", "need an option",
+    "feature request", "add a feature", "hope you add", "please include", "why isn't there", "why is there no", "no option to", "there should be",
+)
+LEADS = ("I wish it had ", "It runs without any crash ", "The sync keeps failing ", "", "Please add dark mode ", "It never works ", "", "There is no option to export ")
 
 
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-_END = f"TIMESTAMP '{WINDOW_END}'"
-_REVIEWS = f"""reviews AS (
-  SELECT doc_id AS ord, source AS package, [{", ".join(map(_text, PHRASES))}][doc_id % 8 + 1] || coalesce(text, '') AS review_text,
+_END = "TIMESTAMP '2017-06-30 00:00:00'"
+REVIEWS = f"""reviews AS (
+  SELECT doc_id AS ord, source AS package, [{", ".join(map(_text, LEADS))}][doc_id % 8 + 1] || coalesce(text, '') AS review_text,
     CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 17 = 0 THEN 'NaN'::DOUBLE WHEN doc_id % 2 = 0 THEN doc_id % 5 + 0.5 ELSE doc_id % 5 + 1.0 END::DOUBLE AS number,
     DATE '2014-01-01' + CAST(doc_id * 7 % 1500 AS INTEGER) AS day, doc_id % 3 <> 0 AND doc_id % 11 = 0 AS undated
-  FROM documents), gated AS (SELECT *, coalesce(number, 3.0) AS rating FROM reviews WHERE number IS NULL OR isnan(number) OR number < 5)"""
+  FROM documents)"""
+GATED = """gated AS (SELECT *, coalesce(number, 3.0) AS rating FROM reviews WHERE number IS NULL OR isnan(number) OR number < 5)"""
+_REVIEWS = f"{REVIEWS}, {GATED}"
 _WS = r"[ \t\n\r\f\x0B]+"
 _NORM = rf"trim(regexp_replace(lower(review_text), '{_WS}', ' ', 'g'))"
 _WORDS = r"len(regexp_extract_all(review_text, '[\p{L}\p{M}\p{N}_]+'))"
 _B, _E = r"(^|[^\p{L}\p{M}\p{N}_])", r"($|[^\p{L}\p{M}\p{N}_])"
 _NEED = f"""(trim(review_text) <> '' AND (coalesce(NOT isnan(rating) AND rating <= 3.0, false)
   OR regexp_matches(review_text, {_text(f"(?i){_B}({WANT}){_E}")})
-  OR regexp_matches(regexp_replace(review_text, {_text(f"(?i){_B}{NEGATED_PROBLEM}{_E}")}, ' ', 'g'), {_text(f"(?i){_B}({PROBLEM}){_E}")})))"""
+  OR regexp_matches(regexp_replace(review_text, {_text(f"(?i){_B}{NEGATED}{_E}")}, ' ', 'g'), {_text(f"(?i){_B}({PROBLEM}){_E}")})))"""
 _SHOW = "CASE WHEN isnan(rating) THEN -1.0 ELSE rating END"
 _MEMBERS = """members AS (SELECT vec_id AS member_id, label AS cluster_id, CAST(embedding AS DOUBLE[]) AS v, (vec_id % 5 + 1)::DOUBLE AS rating FROM embeddings WHERE vec_id % 10 <> 0),
 items AS (SELECT vec_id AS item_id, CAST(embedding AS DOUBLE[]) AS v, (DATE '2015-01-01' + CAST(vec_id * 11 % 1500 AS INTEGER))::TIMESTAMP AS created_at FROM embeddings WHERE vec_id % 10 = 0)"""
@@ -42,8 +56,7 @@ parts AS (SELECT *, round(ln(1 + size) / ln(1 + greatest(max(size) OVER (), 1)),
 scored AS (SELECT *, round(100 * (0.35::DOUBLE * volume + 0.30::DOUBLE * consistency + 0.20::DOUBLE * severity + 0.15::DOUBLE * spread), 2) AS confidence FROM parts)"""
 _DATED = f"dated AS (SELECT o_orderkey, o_orderdate, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 60 DAY END AS closed, CASE WHEN o_orderstatus = 'F' THEN 'closed' ELSE 'open' END AS state FROM orders)"
 _KIND = f"CASE WHEN {{created}} > {_END} THEN 'future' WHEN {{closed}} <= {_END} OR (state = 'closed' AND {{closed}} IS NULL) THEN 'closed' ELSE 'open' END"
-_EXPLICIT = " OR ".join(f"contains(lower(review_text), {_text(m)})" for m in EXPLICIT)
-_REPO = " ".join(f"WHEN contains(lower(p_name), {_text(k)}) THEN {_text(v)}" for k, v in REPO_RULES)
+_EXPLICIT = " OR ".join(f"contains(lower(review_text), {_text(m)})" for m in ASKS)
 _HOST = r"lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1))"
 _BARE = r"regexp_replace(html, '(?is)<(script|style|noscript|svg)[^>]*>.*?</(script|style|noscript|svg)>', ' ', 'g')"
 
@@ -54,69 +67,40 @@ ORACLE_SQL: dict[str, str] = {
     "fil06_ingest_quota": f"WITH {_REVIEWS}, k AS (SELECT *, row_number() OVER (PARTITION BY {_NORM} ORDER BY ord) AS r FROM gated WHERE {_WORDS} >= 10) SELECT ord, {_SHOW} AS rating FROM k WHERE r = 1 ORDER BY ord LIMIT 200",
     "fil07_need_bearing": f"WITH {_REVIEWS} SELECT ord, {_NEED} AS need_bearing FROM gated",
     "agg10_need_stats": f"WITH {_REVIEWS} SELECT count(*) AS reviews_total, count(*) FILTER ({_NEED}) AS reviews_need_bearing FROM gated",
-    "fil12_host_allow": f"SELECT page_id, host, (host IN ('github.com', 'gitlab.com', 'example.com') OR ends_with(host, '.github.com') OR ends_with(host, '.gitlab.com') OR ends_with(host, '.example.com')) AS allowed FROM (SELECT page_id, {_HOST} AS host FROM pages)",
-    "fil16_catalog_search": "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'red') ORDER BY p_retailprice DESC, p_partkey LIMIT 20",
     "fil17_temporal_class": f"WITH {_DATED} SELECT o_orderkey, {_KIND.format(created='o_orderdate', closed='closed')} AS kind, round(greatest(0.0, (epoch_us({_END}) - epoch_us(o_orderdate)) / 86400e6), 4) AS age_days FROM dated",
     "fil21_citation_subset": "SELECT conv_id, turn, array_to_string(list_filter([turn, conv_id % 5, turn, 99], lambda x: list_contains(range(0, conv_id % 4 + 1), x)), ',') AS kept FROM conversations",
     "joi01_similarity_top1": f"WITH {_TOP} SELECT member_id, cluster_id, item_id, round(sim, 6) AS sim FROM top",
     "joi04_evidence_lookup": "SELECT doc_id, substring(text, 1, 280) AS snippet, toxic FROM documents JOIN labels USING (doc_id) WHERE quality = 1",
     "joi06_nested_read": "WITH l AS (SELECT l_orderkey, count(*) AS lines, sum(l_quantity::DECIMAL(18,2)) AS qty FROM lineitem GROUP BY ALL) SELECT c_custkey, count(o_orderkey) AS orders, coalesce(sum(lines), 0)::BIGINT AS lines, coalesce(sum(qty)::DOUBLE, 0.0) AS qty FROM customer LEFT JOIN orders ON c_custkey = o_custkey LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY ALL",
-    "joi07_priority_map": f"SELECT p_partkey, CASE {_REPO} ELSE 'none' END AS repo FROM part",
     "joi12_upsert": "WITH n AS (SELECT c_custkey + CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 10000000 END AS k, c_acctbal + 1 AS b FROM customer WHERE c_custkey % 7 = 0) SELECT coalesce(k, c_custkey) AS c_custkey, c_name, round(coalesce(b, c_acctbal), 2) AS c_acctbal FROM customer FULL JOIN n ON c_custkey = k",
     "joi13_anti_delete": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')",
     "joi14_complaint_after_close": f"WITH {_DATED} SELECT o_orderkey, CASE WHEN max(closed) IS NULL THEN true WHEN max(closed) > {_END} THEN false ELSE coalesce(bool_or(l_shipdate IS NULL OR l_shipdate >= closed), false) END AS complained FROM dated JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL",
     "agg01_cluster_summary": f"WITH {_CLUSTERS} SELECT s.*, central_id FROM summary s JOIN central USING (cluster_id)",
-    "agg04_plurality_vote": f"WITH {_VOTES} SELECT * FROM plurality",
     "agg05_review_window": f"WITH {_REVIEWS} SELECT strftime(min(day) FILTER (NOT undated), '%Y-%m-%d') AS window_start, strftime(max(day) FILTER (NOT undated), '%Y-%m-%d') AS window_end, count(*) FILTER (NOT undated) AS dated FROM reviews",
     "agg06_confidence": f"WITH {_CLUSTERS} SELECT cluster_id, volume, consistency, severity, spread, confidence FROM scored",
     "agg08_hiddenness": f"WITH {_REVIEWS} SELECT package, count(*) AS mentions, count(*) FILTER ({_EXPLICIT}) AS explicit_requests, round(1 - count(*) FILTER ({_EXPLICIT}) / count(*), 4) AS hiddenness FROM reviews GROUP BY ALL",
     "agg11_rating_histogram": f"WITH {_REVIEWS} SELECT b::INTEGER AS bucket, count(ord) AS n FROM range(1, 6) t(b) LEFT JOIN (SELECT * FROM gated WHERE NOT isnan(rating)) ON round_even(rating, 0) = b GROUP BY b",
     "agg12_year_zero_fill": "WITH o AS (SELECT year(o_orderdate)::INTEGER AS y FROM orders WHERE year(o_orderdate) <> 1995) SELECT t.y::INTEGER AS year, count(o.y) AS n FROM (SELECT unnest(range(min(y), max(y) + 1)) AS y FROM o) t LEFT JOIN o ON o.y = t.y GROUP BY t.y",
     "agg14_package_profile": f"WITH {_REVIEWS} SELECT package, count(*) AS reviews, round(avg(rating), 6) AS avg_stars, arg_min(substring(review_text, 1, 120), ord) FILTER (trim(review_text) <> '') AS sample FROM gated WHERE NOT isnan(rating) GROUP BY package",
-    "agg15_null_percentile": f"WITH {_TOP} SELECT round(quantile_cont(sim, 0.95), 6) AS threshold, count(*) AS n FROM top",
-    "agg16_fire_rate": f"WITH {_VOTES} SELECT CASE WHEN cluster_id < 5 THEN 'real' ELSE 'control' END AS kind, count(*) AS clusters, count(*) FILTER (score >= 0.25) AS fired, round(avg(score), 6) AS mean_top1, round(count(*) FILTER (score >= 0.25) / count(*), 6) AS fire_rate FROM plurality GROUP BY ALL",
     "win03_margin": f"WITH {_TOP} SELECT member_id, max(item_id) FILTER (r = 1) AS item_id, round(max(sim) FILTER (r = 1), 6) AS s1, round(coalesce(max(sim) FILTER (r = 2), 0.0), 6) AS s2 FROM ranks GROUP BY member_id",
     "win06_last_turns": "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 4",
     "set01_corpus_union": "SELECT doc_id AS id, length(text)::INTEGER AS n, 'review' AS corpus FROM documents UNION ALL SELECT item_id, length(text)::INTEGER, 'item' FROM benchmark",
     "set03_override_union": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size + 100 ELSE p_size END AS p_size FROM part",
     "src10_page_text": rf"SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, trim(regexp_replace(regexp_replace({_BARE}, '(?s)<[^>]*>', ' ', 'g'), '{_WS}', ' ', 'g')) AS text FROM pages",
-    "src14_paste_items": "SELECT ord, 'paste-' || (i - 1) AS item_id, trim(parts[i]) AS text FROM (SELECT doc_id AS ord, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents), unnest(range(1, len(parts) + 1)) t(i) WHERE length(trim(parts[i])) >= 8",
     "str04_sentences": rf"WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]){_WS}', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) BETWEEN 40 AND 320) AS parts FROM documents) SELECT doc_id, (i - 1)::INTEGER AS i, parts[i] AS sentence FROM s, unnest(range(1, len(parts) + 1)) t(i)",
     "hsh01_review_id": "SELECT doc_id, substring(sha1(coalesce(source, 'None') || '|2.0|None|' || lower(trim(coalesce(text, 'None')))), 1, 16) AS review_id, 'web-' || substring(sha1(source), 1, 10) AS evidence_id FROM documents",
     "jsn01_props": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events",
-    "dom01_verdicts": f"""WITH {_VOTES}, plans AS (SELECT item_id, created_at, CASE WHEN item_id % 30 = 0 THEN created_at + INTERVAL 90 DAY END AS closed_at, CASE WHEN item_id % 30 = 0 THEN 'closed' ELSE 'open' END AS state, item_id % 20 = 0 AS has_milestone FROM items),
-      k AS (SELECT *, {_KIND.format(created='created_at', closed='closed_at')} AS kind, greatest(0.0, (epoch_us({_END}) - epoch_us(created_at)) / 86400e6) AS age FROM plurality JOIN plans USING (item_id))
-      SELECT cluster_id, item_id, kind, CASE WHEN NOT accepted OR kind = 'future' THEN 'IGNORED' WHEN kind = 'closed' AND cluster_id % 2 = 0 THEN 'MISUNDERSTOOD' WHEN kind = 'open' AND (age > 365 OR NOT has_milestone) THEN 'UNDER-PRIORITIZED' ELSE 'none' END AS verdict FROM k""",
-    "dom03_unverified_gaps": f"WITH {_CLUSTERS}, g AS (SELECT *, round(confidence / 100 * (1 - cluster_id / 20), 4) AS insight FROM scored JOIN central USING (cluster_id)) SELECT row_number() OVER (ORDER BY insight DESC, confidence DESC, cluster_id)::INTEGER AS rank, cluster_id, size, confidence, insight, 'UNVERIFIED' AS verdict, central_id FROM g ORDER BY insight DESC, confidence DESC, cluster_id LIMIT 5",
     "ui01_weighted_histogram": f"WITH {_CLUSTERS}, h AS (SELECT floor(mean_rating + 0.5)::INTEGER AS stars, sum(size)::BIGINT AS n FROM summary GROUP BY ALL) SELECT stars, n, round(100 * n / sum(n) OVER (), 4) AS percent FROM h",
 }
 
 _WANTS = f"regexp_matches(review_text, {_text(f'(?i){_B}({WANT}){_E}')})"
-_PARTS = "concat('<!-- hint -->', chr(10), '### Environment', chr(10), '- [x] done', chr(10), coalesce(text, ''))"
-for _part in TEMPLATE_PARTS:
-    _PARTS = f"regexp_replace({_PARTS}, {_text(_part)}, ' ', 'g')"
-_BODY = f"trim(regexp_replace({_PARTS}, '{_WS}', ' ', 'g'))"
-
-
-def _later(name: str, wanted: str) -> str:
-    """CTEs of the accepted votes over some of the items, ending in `name`."""
-    votes = _VOTES.removeprefix(f"{_MEMBERS}, ").replace("FROM members m, items i", f"FROM members m, items i WHERE {wanted}")
-    for cte in ("sims", "ranks", "top", "votes", "totals", "plurality"):
-        votes = votes.replace(f"{cte} AS (", f"{name}_{cte} AS (").replace(f"FROM {cte} ", f"FROM {name}_{cte} ").replace(f"FROM {cte})", f"FROM {name}_{cte})").replace(f"JOIN {cte} ", f"JOIN {name}_{cte} ")
-    return f"{votes}, {name} AS (SELECT cluster_id, item_id FROM {name}_plurality WHERE accepted)"
-
-
-_CLOSED = "CASE WHEN item_id % 30 = 0 THEN created_at + INTERVAL 90 DAY END"
 _GRAMS = " UNION ALL ".join(f"SELECT item_id, substring(w, i, {n}) AS term FROM padded, unnest(range(1, length(w) - {n - 2})) t(i)" for n in (3, 4, 5))
 
 ORACLE_SQL |= {
-    "fil09_version_title": f"SELECT p_partkey, regexp_matches(concat('v', p_size, '.', p_partkey % 7, CASE p_partkey % 3 WHEN 0 THEN '-rc1' WHEN 1 THEN ' beta' ELSE '' END), {_text(VERSION_TITLE)}) AS is_version FROM part",
-    "fil10_product_mention": "SELECT p_partkey, contains(t, 'red blue') OR (contains(t, 'red') AND contains(t, 'blue')) AS mentioned FROM (SELECT p_partkey, lower(concat_ws(' ', p_name, p_type)) AS t FROM part)",
+    "fil09_version_title": f"SELECT p_partkey, regexp_matches(concat('v', p_size, '.', p_partkey % 7, CASE p_partkey % 3 WHEN 0 THEN '-rc1' WHEN 1 THEN ' beta' ELSE '' END), '(?i)^v?[0-9]+([.][0-9]+)+([-._]?[a-z0-9]+)?$') AS is_version FROM part",
     "fil15_junk_gate": "SELECT doc_id, length(t) < 40 OR length(t) - length(replace(t, '-', '')) > 12 AS junk FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
     "fil20_evidence_required": "SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey)::INTEGER AS rank, c_custkey FROM (SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) ORDER BY c_acctbal DESC, c_custkey LIMIT 5)",
     "fil24_completed_job": "SELECT o_custkey, o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders WHERE o_orderstatus = 'F') WHERE r = 1",
-    "fil25_pull_request_exclusion": "SELECT event_id FROM events WHERE json_extract_string(props, '$.pull_request') IS NULL",
-    "joi15_later_addressed": f"WITH {_MEMBERS}, {_later('future', f'created_at > {_END}')}, {_later('closed', f'created_at <= {_END} AND {_CLOSED} > {_END}')} SELECT c.cluster_id, coalesce(future.item_id, closed.item_id) AS item_id FROM (SELECT DISTINCT cluster_id FROM members) c LEFT JOIN future USING (cluster_id) LEFT JOIN closed USING (cluster_id)",
     "joi18_want_rate": f"WITH {_REVIEWS} SELECT package, count(*) AS n, count(*) FILTER ({_WANTS}) AS wants, round(count(*) FILTER ({_WANTS}) / count(*), 6) AS rate FROM reviews GROUP BY ALL",
     "agg19_degraded_set": "SELECT lang, string_agg(DISTINCT source, ',' ORDER BY source) AS notes FROM documents GROUP BY ALL",
     "agg21_upload_summary": f"WITH {_REVIEWS} SELECT package, round(avg(rating), 2) AS stars, arg_min(substring(review_text, 1, 280), ord) AS sample FROM gated WHERE NOT isnan(rating) GROUP BY package",
@@ -126,16 +110,14 @@ ORACLE_SQL |= {
       tf AS (SELECT item_id, term, count(*) AS tf FROM grams GROUP BY ALL), terms AS (SELECT term, sum(tf) AS total, count(*) AS docs FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 40000),
       raw AS (SELECT item_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM benchmark)) / (1 + docs)) + 1) AS w FROM tf JOIN terms USING (term))
       SELECT item_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 6) AS weight FROM raw""",
-    "win05_representative": f"WITH {_REVIEWS} SELECT package, arg_min(ord, (CASE WHEN {_NEED} THEN 0 WHEN trim(review_text) <> '' THEN 1 ELSE 2 END) * 1000000000000 + ord) AS ord FROM gated GROUP BY package",
     "win09_top_three": f"WITH {_TOP} SELECT member_id, item_id, r::INTEGER AS place FROM ranks WHERE r <= 3",
-    "str03_issue_text": f"SELECT conv_id, turn, array_to_string(list_filter([trim(role), trim(role), trim(role), b], lambda x: x <> ''), '. ') AS text FROM (SELECT *, {_BODY} AS b FROM conversations)",
     "str06_slug": r"SELECT p_partkey, 'custom.' || regexp_replace(regexp_replace(lower('(' || p_name || ')'), '[^a-z0-9]+', '.', 'g'), '^\.|\.$', '', 'g') AS slug FROM part",
     "str14_fence": "SELECT event_id, trim(props) AS props FROM events",
     "prj04_flat_row": "SELECT doc_id, substring(array_to_string(l[1:12], ' | '), 1, 2000) AS flat, len(l)::INTEGER AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)",
     "jsn02_bounds": "SELECT event_id FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) BETWEEN 0 AND 100 AND length(props) <= 500",
-    "hsh02_roadmap_hash": "SELECT n_regionkey, substring(sha1(string_agg(n_name, chr(0) ORDER BY n_nationkey)), 1, 16) AS hash FROM nation GROUP BY ALL",
     "hsh03_config_hash": "SELECT c_custkey, substring(sha256(json_object('c_custkey', c_custkey, 'c_mktsegment', c_mktsegment, 'c_name', c_name)::VARCHAR), 1, 24) AS hash FROM customer",
     "src15_split_urls": "SELECT page_id, CASE WHEN url = 'http://a.org' THEN url ELSE url || ' http://a.org' END AS urls FROM pages",
-    "src16_page_items": rf"SELECT page_id, CASE WHEN done THEN 'closed' ELSE 'open' END AS state, CASE WHEN done THEN '{CLOSE_DATE}' END AS closed FROM (SELECT page_id, regexp_matches(regexp_replace({_BARE}, '(?s)<[^>]*>', ' ', 'g'), {_text(SHIPPED)}) AS done FROM pages)",
     "ui03_contributions": f"WITH {_CLUSTERS} " + " UNION ALL ".join(f"SELECT cluster_id, '{k}' AS part, round(100 * {w}::DOUBLE * {k}, 2) AS points FROM scored" for k, w in (("volume", 0.35), ("consistency", 0.30), ("severity", 0.20), ("spread", 0.15))),
 }
+
+CLUSTERS, EXPLICIT_SQL, NEED_SQL = _CLUSTERS.removeprefix(_MEMBERS), _EXPLICIT, _NEED

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from gaplens.functions import text as tx
 from gaplens.operators import gaps, matching, tables
 from gaplens.operators import reviews as rv
+from gaplens.plans import analysis, registry, store, talk, web
 from gaplens.plans.catalog import CATALOG_QUERIES, WINDOW_END
 from gaplens.sources.tables import items, members, reviews, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-REPO_RULES = [("almond", "nuts/almond"), ("blue", "colours/blue"), ("red", "colours/red"), ("a", "letters/a")]
 
 
 def query(fn: Query) -> Query:
@@ -54,17 +54,6 @@ def agg10_need_stats(spark, d):
     return rv.need_stats(rv.rating_gate(reviews(spark, d)))
 
 
-@query
-def fil12_host_allow(spark, d):
-    host = tx.url_host(F.col("url"))
-    return table(spark, d, "pages").select("page_id", host.alias("host"), tx.host_allowed(host, ("example.com",)).alias("allowed"))
-
-
-@query
-def fil16_catalog_search(spark, d):
-    return rv.catalog_search(table(spark, d, "part"), "p_name", "RED", [F.desc("p_retailprice"), F.asc("p_partkey")], 20).select("p_partkey", "p_name")
-
-
 def _dated(spark, d):
     closed = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderdate") + F.expr("INTERVAL 60 DAYS"))
     state = F.when(F.col("o_orderstatus") == "F", "closed").otherwise("open")
@@ -102,11 +91,6 @@ def joi06_nested_read(spark, d):
     return table(spark, d, "customer").join(per, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("orders", F.lit(0)).alias("orders"), F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("qty", F.lit(0.0)).alias("qty"))
 
 
-@query
-def joi07_priority_map(spark, d):
-    return tables.first_hit(table(spark, d, "part"), "p_name", REPO_RULES, "none").select("p_partkey", F.col("hit").alias("repo"))
-
-
 @query
 def joi12_upsert(spark, d):
     old = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
@@ -131,11 +115,6 @@ def agg01_cluster_summary(spark, d):
     return matching.cluster_summary(members(spark, d))
 
 
-@query
-def agg04_plurality_vote(spark, d):
-    return matching.plurality(matching.top1(members(spark, d), items(spark, d)))
-
-
 @query
 def agg05_review_window(spark, d):
     return rv.review_window(reviews(spark, d))
@@ -167,17 +146,6 @@ def agg14_package_profile(spark, d):
     return rv.package_profile(rv.rating_gate(reviews(spark, d)).where("not isnan(rating)"))
 
 
-@query
-def agg15_null_percentile(spark, d):
-    return matching.null_percentile(matching.top1(members(spark, d), items(spark, d)))
-
-
-@query
-def agg16_fire_rate(spark, d):
-    votes = matching.plurality(matching.top1(members(spark, d), items(spark, d)))
-    return matching.fire_rate(votes, F.when(F.col("cluster_id") < 5, "real").otherwise("control"), 0.25)
-
-
 @query
 def win03_margin(spark, d):
     return matching.margins(members(spark, d), items(spark, d)).select("member_id", "item_id", "s1", "s2")
@@ -213,12 +181,6 @@ def src10_page_text(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), tx.html_text(F.col("html")).alias("text"))
 
 
-@query
-def src14_paste_items(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.coalesce("text", F.lit("")).alias("review_text"))
-    return rv.paste_items(docs)
-
-
 @query
 def str04_sentences(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("i", "sentence"))
@@ -236,30 +198,9 @@ def jsn01_props(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
-def _verdicts(spark, d):
-    found = matching.plurality(matching.top1(members(spark, d), items(spark, d)))
-    end = F.lit(WINDOW_END).cast("timestamp")
-    plans = items(spark, d).drop("embedding")
-    rows = found.join(tables.small(plans, 100), "item_id")
-    kind = gaps.temporal_class(F.col("created_at"), F.col("closed_at"), F.col("state"), end)
-    return rows.withColumn("kind", kind).withColumn("verdict", gaps.verdict(F.col("accepted"), kind, F.col("cluster_id") % 2 == 0, gaps.age_days(F.lit(None).cast("timestamp"), F.col("created_at"), end), F.col("has_milestone")))
-
-
-@query
-def dom01_verdicts(spark, d):
-    return _verdicts(spark, d).select("cluster_id", "item_id", "kind", F.coalesce("verdict", F.lit("none")).alias("verdict"))
-
-
-@query
-def dom03_unverified_gaps(spark, d):
-    clusters = gaps.confidence(matching.cluster_summary(members(spark, d)), "none")
-    out = clusters.withColumn("insight", F.round(F.col("confidence") / 100 * (1 - F.col("cluster_id") / 20), 4)).withColumn("verdict", F.lit("UNVERIFIED"))
-    return gaps.ranked(out).select("rank", "cluster_id", "size", "confidence", "insight", "verdict", "central_id")
-
-
 @query
 def ui01_weighted_histogram(spark, d):
     return gaps.weighted_histogram(matching.cluster_summary(members(spark, d)))
 
 
-QUERIES |= CATALOG_QUERIES
+QUERIES |= CATALOG_QUERIES | registry.QUERIES

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from gaplens.operators.tables import upsert, without
 
 # Where reviews may come from.
-PROVENANCE = ("fixture", "parquet_cache", "live", "upload")
+PROVENANCE = ("hf", "parquet_cache", "fixture", "csv_upload")
 
 
 def _path(spark: SparkSession, path: str):
@@ -24,7 +27,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def swap(df: DataFrame, path: str) -> None:
-    """Replace a table by rows that may come from it: written beside it, then renamed, so a lost job leaves the old one."""
+    """Replace a table by rows that may come from it: written beside it, then renamed, so a lost job leaves the old one.
+
+    Between the two renames a reader finds no table and has to try again.
+    """
     spark = df.sparkSession
     fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.parquet(fresh)
@@ -36,7 +42,12 @@ def swap(df: DataFrame, path: str) -> None:
 
 
 def write_cache(reviews: DataFrame, path: str, package: str, provenance: str) -> None:
-    """A package's reviews as Parquet, and one row beside them that says where they came from."""
+    """A package's reviews as Parquet, and one row beside them that says where they came from.
+
+    The old row goes first, so new reviews never stand beside an old origin.
+    """
+    old, fs = _path(reviews.sparkSession, f"{path}.meta")
+    fs.delete(old, True)
     swap(reviews, path)
     meta = reviews.sparkSession.read.parquet(path).agg(F.count("*").alias("rows")).select(F.lit(provenance).alias("provenance"), F.lit(package).alias("package_name"), "rows")
     meta.coalesce(1).write.mode("overwrite").json(f"{path}.meta")  # one row
@@ -58,6 +69,81 @@ def replace_gaps(old: DataFrame, new: DataFrame, job: str = "job_id", evidence:
     return without(old, new, job).unionByName(new.where(F.size(evidence) > 0))
 
 
+def write_gaps(spark: SparkSession, root: str, job: str, gaps: DataFrame, evidence: DataFrame) -> int:
+    """Store a job's gaps and their evidence in place of its old ones; gaps without evidence are dropped. How many were stored."""
+    kept = gaps.where(F.col("job_id") == job).join(evidence.select("gap_id").distinct(), "gap_id", "left_semi")
+    shown = evidence.join(kept.select("gap_id"), "gap_id", "left_semi").withColumn("job_id", F.lit(job))
+    for name, rows in (("gaps", kept), ("gap_evidence", shown)):
+        path = f"{root}/{name}"
+        old = spark.read.parquet(path).where(F.col("job_id") != job) if exists(spark, path) else rows.limit(0)
+        swap(old.unionByName(rows), path)
+    return spark.read.parquet(f"{root}/gaps").where(F.col("job_id") == job).count()
+
+
+def seed_catalog(spark: SparkSession, path: str, catalog: DataFrame) -> int:
+    """Merge all catalog rows into the stored apps, missing numbers as 0; how many there were."""
+    rows = catalog.select("package_name", "display_name", F.coalesce("review_count", F.lit(0)).alias("review_count"), "avg_stars", "github_repo", "roadmap_source")
+    merge_into(spark, path, rows, "package_name")
+    return rows.count()
+
+
+def choose_store(probe: Callable[[], bool], remote: Callable[[], str], local: str) -> str:
+    """Where tables lie: the remote root if it answers, else the local one."""
+    try:
+        return remote() if probe() else local
+    except Exception:  # noqa: BLE001 - a store that cannot be asked is not there
+        return local
+
+
+def prefetch(spark: SparkSession, packages: list[str], cache: str, remote: Callable[[str], DataFrame], keep: bool = True) -> dict[str, int]:
+    """Fill the review cache for some packages, keeping what is there; rows of each."""
+    from gaplens.sources.tables import fetch_reviews
+
+    return {p: fetch_reviews(spark, p, cache, remote, refresh=not keep)[0].count() for p in packages}
+
+
+THEMES = ("sync", "search", "dark mode", "offline use", "widgets", "backup", "sharing")
+ASKS = ("please add better {}", "I wish {} would work for me", "{} keeps failing on my phone", "there is no option to change {}", "{} is missing and I need it", "would love to see {} done right")
+
+
+def synthetic_reviews(spark: SparkSession, package: str = "org.example.app") -> DataFrame:
+    """Seven themes with six reviews each, for tests."""
+    texts = [f"{ask.format(theme)} every single day I use this app" for theme in THEMES for ask in ASKS]
+    return spark.createDataFrame([(f"r{i}", t, float(i % 3 + 1), f"2016-{i % 12 + 1:02d}-01", package, i) for i, t in enumerate(texts)], "review_id string, review_text string, rating double, created_at string, package string, ord long")
+
+
+def write_contexts(contexts: DataFrame, path: str) -> None:
+    """Product contexts as JSON, a folder for each package."""
+    contexts.write.mode("overwrite").partitionBy("package_name").json(path)
+
+
+def save_space(spark: SparkSession, path: str, terms: DataFrame, projection: list[list[float]], threshold: float) -> str:
+    """A matching space as Parquet: terms (place, term, idf), its projection, threshold and a checksum over them. The checksum."""
+    rows = terms.select("place", "term", "idf").orderBy("place").collect()  # a bounded vocabulary
+    if not rows or len(rows) != len(projection):
+        raise ValueError("one row of the projection for each term")
+    checksum = _checksum([(r.place, r.term, r.idf) for r in rows], projection, threshold)
+    frame = spark.createDataFrame([(r.place, r.term, r.idf, list(map(float, v)), threshold, checksum) for r, v in zip(rows, projection, strict=True)], "place int, term string, idf double, vector array<double>, threshold double, checksum string")
+    swap(frame, path)
+    return checksum
+
+
+def load_space(spark: SparkSession, path: str, root: str) -> tuple[DataFrame, list[list[float]], float]:
+    """(terms, projection, threshold) of a saved space; ValueError outside of its root folder or with another checksum."""
+    if ".." in path.split("/") or not path.startswith(root.rstrip("/") + "/"):
+        raise ValueError(f"{path} is not under {root}")
+    frame = spark.read.parquet(path)
+    rows = frame.orderBy("place").collect()  # a bounded vocabulary
+    found = _checksum([(r.place, r.term, r.idf) for r in rows], [r.vector for r in rows], rows[0].threshold)
+    if any(r.checksum != found for r in rows):
+        raise ValueError(f"{path} was changed")
+    return frame.select("place", "term", "idf"), [list(r.vector) for r in rows], rows[0].threshold
+
+
+def _checksum(terms: list[tuple[int, str, float]], projection: list[list[float]], threshold: float) -> str:
+    return sha256(json.dumps([terms, [list(map(float, v)) for v in projection], threshold]).encode()).hexdigest()
+
+
 def merge_into(spark: SparkSession, path: str, new: DataFrame, key: str) -> None:
     """Upsert by a natural key; the first write makes the table."""
     swap(upsert(spark.read.parquet(path), new, key) if exists(spark, path) else new, path)

@@ -19,9 +19,9 @@ def test_cache_and_provenance(spark, tmp_path):
     assert sinks.read_provenance(spark, path) == "parquet_cache"
     rows = spark.createDataFrame([("1", LONG)], "review_id string, review_text string")
     for _ in range(2):  # the second write replaces the first
-        sinks.write_cache(rows, path, "a", "live")
+        sinks.write_cache(rows, path, "a", "hf")
     assert spark.read.parquet(path).count() == 1
-    assert sinks.read_provenance(spark, path) == "live"
+    assert sinks.read_provenance(spark, path) == "hf"
     assert sinks.read_provenance(spark, "/x/fixtures/a") == "fixture"
 
 
@@ -43,7 +43,9 @@ def test_replace_gaps(spark):
 def test_export_and_csv_aliases(spark, tmp_path):
     path = f"file://{tmp_path}/out"
     sinks.export(spark.createDataFrame([(LONG + ', "so"', "4", "2016-01-01")], "Review string, Stars string, Date string"), path)
-    assert [tuple(r) for r in read_reviews_csv(spark, path).collect()] == [(LONG + ', "so"', "4", "2016-01-01")]
+    rows, found, warnings = read_reviews_csv(spark, path)
+    assert found == {"review_text": "Review", "rating": "Stars", "created_at": "Date"} and warnings == []
+    assert [tuple(r) for r in rows.collect()] == [(LONG + ', "so"', "4", "2016-01-01")]
 
 
 def test_stream_equals_batch(spark, tmp_path):
