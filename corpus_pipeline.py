@@ -42,7 +42,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of every text that is left, whether they decode to it, and its n best segmentations."""
-    encoded = encode_column(docs).withColumn("nbest_sha256", nbest_digest())
+    encoded = encode_column(docs.select("doc_id", "text")).withColumn("nbest_sha256", nbest_digest())
     decoded = decode_column(encoded.drop("nbest_ids"))
     return decoded.select("doc_id", F.size("ids").alias("n_pieces"), ids_digest().alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "nbest_sha256", F.transform("nbest_scores", lambda x: F.round(x, 4)).alias("nbest_scores"))
 
