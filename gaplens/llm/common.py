@@ -55,7 +55,7 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/gaplens-{uuid.uuid4().hex}"
     df.write.option("compression", "lz4").parquet(path)
     if not _written:
-        atexit.register(_sweep)
+        atexit.register(sweep)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -73,12 +73,14 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def _sweep() -> None:
-    for spark, path in _written:
+def sweep() -> None:
+    """Delete all saved tables that are left; call it before the session ends."""
+    while _written:
+        spark, path = _written.pop()
         try:
             _delete(spark, path)
         except Exception:  # noqa: BLE001 - the session may have ended already
-            return
+            continue
 
 
 def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:

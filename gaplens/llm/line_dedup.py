@@ -16,7 +16,6 @@ Defined results: a null or empty text is one empty line; repeated ids are one do
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -141,8 +140,12 @@ def _postings(min_chars: int):
                 _, _, rows, long, h1, h2 = line_keys(body, offsets, min_chars)
                 if not long.any():
                     continue
-                kept = pd.DataFrame({"r": rows[long], "a": h1.view(np.int64), "b": h2.view(np.int64)}).drop_duplicates()
-                yield pa.record_batch([ids.take(pa.array(kept["r"].to_numpy() + first)), pa.array(kept["a"].to_numpy()), pa.array(kept["b"].to_numpy())], names=["row_id", "k1", "k2"])
+                r = rows[long]
+                order = np.lexsort((h2, h1, r))
+                r, h1, h2 = r[order], h1[order], h2[order]
+                once = np.ones(len(r), bool)
+                once[1:] = (r[1:] != r[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+                yield pa.record_batch([ids.take(pa.array(r[once] + first)), pa.array(h1[once].view(np.int64)), pa.array(h2[once].view(np.int64))], names=["row_id", "k1", "k2"])
 
     return run
 
