@@ -6,7 +6,9 @@ decoded samples: an area-averaged tile by integral images, kept as NPY bytes, an
 64-bit difference hash of a 9 x 8 reduction.
 
 Defined results: a null or empty text is stored as one block of 64 zero bytes; equal
-texts give equal bytes and features; rows with any id, null ids included, pass through.
+texts give equal bytes and features; every other column passes through, null ids too, and
+those named as the results are replaced. A null file has no features and the error 'null';
+one that cannot be decoded has its length, its digest and the error, and the job goes on.
 """
 
 from __future__ import annotations
@@ -127,50 +129,72 @@ def difference_hash(samples: np.ndarray) -> str:
 
 def npy_tile(samples: np.ndarray, size: int = TILE) -> bytes:
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(np.round(area_resize(grey(samples), size, size), 6)), 0, 255).astype(np.uint8))
+    tile = np.clip(np.rint(np.round(area_resize(grey(samples), size, size), 6)), 0, 255)
+    np.save(out, np.ascontiguousarray(tile, np.uint8))
     return out.getvalue()
 
 
-def _store(kind: str):
+def _store(kind: str, at_text: int, kept: list[int]):
     def run(batches):
         for batch in batches:
             sizes, files = [], []
-            for x in batch.column(1):
+            for x in batch.column(at_text).cast(pa.string()):
                 text = x.as_buffer() if x.is_valid else b""
                 body = np.frombuffer(text, np.uint8)
                 padded = np.zeros(max(1, -(-len(body) // BLOCK)) * BLOCK, np.uint8)
                 padded[: len(body)] = body
                 sizes.append(len(body))
                 files.append(encode(padded.reshape(-1, BLOCK), kind))
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], names=["row_id", "n_bytes", "media"])
+            names = batch.schema.names
+            yield pa.record_batch([*(batch.column(i) for i in kept), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], names=[*(names[i] for i in kept), *STORED])
 
     return run
 
 
-def _read(batches):
-    names = ["row_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"]
-    for batch in batches:
-        out: list[list] = [[] for _ in names[2:]]
-        for x in batch.column(2):
-            media = x.as_py()
-            samples = decode(media)
-            payload = samples.tobytes()
-            values = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(samples), npy_tile(samples))
-            for column, value in zip(out, values, strict=True):
-                column.append(value)
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-        yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array(v, t) for v, t in zip(out, kinds, strict=True)]], names=names)
-
-
-def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "pgm") -> DataFrame:
-    """id, n_bytes and the stored file of each text: its UTF-8 bytes, zero-padded to rows of 64 samples."""
-    rows = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("text"))
-    stored = in_batches(rows, _store(kind), f"row_id {dict(rows.dtypes)['row_id']}, n_bytes long, media binary")
-    return stored.withColumnRenamed("row_id", id_col)
-
-
-def media_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Digests and features of stored files, from the bytes read back; `tile` holds an NPY file."""
-    rows = media.select(F.col(id_col).alias("row_id"), "n_bytes", "media")
-    schema = f"row_id {dict(rows.dtypes)['row_id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"
-    return in_batches(rows, _read, schema).withColumnRenamed("row_id", id_col)
+def _features(media: bytes) -> tuple:
+    samples = decode(media)
+    if not samples.size:
+        raise ValueError("no samples")
+    payload = samples.tobytes()
+    return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(samples), npy_tile(samples), None)
+
+
+def _read(at_media: int, kept: list[int]):
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[] for _ in READ]
+            for x in batch.column(at_media):
+                media = x.as_py()
+                try:
+                    values = (None,) * 7 + ("null",) if media is None else _features(media)
+                except (ValueError, IndexError, struct.error, OverflowError, MemoryError) as e:  # one broken file is no reason to lose the job
+                    values = (None, None, None, len(media), hashlib.sha256(media).hexdigest(), None, None, f"{type(e).__name__}: {e}"[:200])
+                for column, value in zip(out, values, strict=True):
+                    column.append(value)
+            names = batch.schema.names
+            yield pa.record_batch([*(batch.column(i) for i in kept), *[pa.array(v, t) for v, t in zip(out, kinds, strict=True)]], names=[*(names[i] for i in kept), *READ])
+
+    return run
+
+
+STORED = {"n_bytes": "long", "media": "binary"}
+READ = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "tile": "binary", "error": "string"}
+
+
+def _schema(df: DataFrame, kept: list[int], added: dict[str, str]) -> str:
+    return ", ".join([f"`{df.columns[i]}` {df.dtypes[i][1]}" for i in kept] + [f"{c} {t}" for c, t in added.items()])
+
+
+def media_column(docs: DataFrame, text_col: str = "text", kind: str = "pgm") -> DataFrame:
+    """docs without the text, and n_bytes and media, the stored file: the text's UTF-8 bytes, zero-padded to rows of 64 samples."""
+    rows = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    kept = [i for i, c in enumerate(rows.columns) if c != text_col and c not in STORED]
+    return in_batches(rows, _store(kind, rows.columns.index(text_col), kept), _schema(rows, kept, STORED))
+
+
+def media_features(media: DataFrame, media_col: str = "media") -> DataFrame:
+    """media without the files, and digests and features from the bytes read back; `tile` holds an NPY file."""
+    kept = [i for i, c in enumerate(media.columns) if c != media_col and c not in READ]
+    return in_batches(media, _read(media.columns.index(media_col), kept), _schema(media, kept, READ))

@@ -13,6 +13,7 @@ from gaplens.llm.licenses import scan_licenses
 from gaplens.llm.line_dedup import dedup_lines
 from gaplens.llm.media import media_column, media_features
 from gaplens.llm.ngram_join import ngram_components
+from gaplens.llm.oracles import ORACLES
 from gaplens.llm.quality_rules import quality_verdicts
 from gaplens.llm.quality_trees import score_quality
 from gaplens.llm.raking import mix_weights
@@ -21,7 +22,7 @@ from gaplens.llm.sentencepiece_nbest import decode_column, encode_column, ids_di
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode_column(documents(spark, sf_dir)).withColumn("nbest_sha256", nbest_digest())
+    encoded = encode_column(documents(spark, sf_dir).select("doc_id", "text")).withColumn("nbest_sha256", nbest_digest())
     decoded = decode_column(encoded.drop("nbest_ids"))
     return decoded.select("doc_id", "nbest_sha256", F.size("ids").alias("n_pieces"), ids_digest().alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.transform("nbest_scores", lambda x: F.round(x, 4)).alias("nbest_scores"))
 
@@ -44,7 +45,7 @@ def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_main(documents(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+    return extract_main(documents(spark, sf_dir, "pages").select("page_id", "url", "html")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +67,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(media_column(documents(spark, sf_dir))).drop("tile")
+    found = media_features(media_column(documents(spark, sf_dir).select("doc_id", "text")))
+    return found.withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile", "error")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -82,21 +84,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media_columns": op10_media_columns,
 }
 
-OP7_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, i, parts[i] AS line
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents), unnest(range(1, len(parts) + 1)) AS t(i)
-), keyed AS (
-  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-  FROM lines
-), counted AS (
-  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
-), marked AS (
-  SELECT k.*, coalesce(c.keeper <> k.doc_id, false) AS gone FROM keyed k LEFT JOIN counted c ON k.key = c.key
-)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
-"""
-
-ORACLE_SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL}
+ORACLE_SQL: dict[str, str] = ORACLES

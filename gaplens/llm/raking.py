@@ -2,10 +2,13 @@
 
 Documents fall into cells of (source, language, topic); a cell weighs its tokens
 (words). Raking multiplies cell weights, one dimension after another, until the weights
-of every source, language and topic meet their target shares. A document of a cell is
-then drawn with probability min(1, c * raked / observed), where c makes the expected
-tokens kept `keep` of all; the coin is a hash of seed, id and text, so that a rerun or
-another partitioning draws the same documents.
+of every source, language and topic meet their target shares. A document of a cell then has
+the weight keep * raked / observed, so the expected tokens drawn are `keep` of all and meet
+the targets. `mix_weights` draws by weights above 1 as well, as whole copies and one more by
+chance; `mix_sources` draws each document once at most, with probability min(1, c * raked /
+observed), c for `keep` of the tokens. Its cells at probability 1 stay under their targets:
+`once_share` and `marginals` tell by how much. The coin is a hash of seed, id and text, so
+that a rerun or another partitioning draws the same documents.
 
 Targets are shares by value and dimension; a dimension without any gets its observed
 shares to the power `flatten`, rescaled. Values a given target does not name share no
@@ -15,8 +18,7 @@ written to the shared folder.
 
 Defined results: null dimensions are values of their own (empty text); null and empty
 texts have no tokens and take their cell's probability, 1 where the cell has no tokens;
-repeated rows share a coin; an empty table gives an empty result. Where cells reach
-probability 1 they stay below their targets; `marginals` tells by how much.
+repeated rows share a coin; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from gaplens.llm.common import released, saved, small
 DIMS = ["source", "lang", "topic"]
 FLATTEN = 0.7
 KEEP = 0.8
-ROUNDS = 25
-TOLERANCE = 1e-7
+ROUNDS = 60
+TOLERANCE = 1e-9
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -89,7 +91,7 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]], flatten: float
 
 
 def calibrated(raked: DataFrame, keep: float) -> DataFrame:
-    """raked and `p`, the probability of a document of the cell."""
+    """raked, `ratio` (the weight that keeps `keep` of the tokens and the targets) and `p`, the probability of a document drawn once at most."""
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
     cells = saved(raked.withColumn("ratio", ratio))
     total = cells.agg(F.sum("tokens")).first()[0] or 0
@@ -103,12 +105,14 @@ def calibrated(raked: DataFrame, keep: float) -> DataFrame:
         full = F.col("ratio") * scale >= 1
         if cells.agg(F.sum(F.when(full, 1).otherwise(0))).first()[0] == n:
             break
-    return cells.withColumn("p", F.round(F.coalesce(F.least(F.lit(1.0), F.col("ratio") * scale), F.lit(1.0)), 6)).drop("ratio")
+    once = F.round(F.coalesce(F.least(F.lit(1.0), F.col("ratio") * scale), F.lit(1.0)), 6)
+    return cells.withColumn("p", once).withColumn("ratio", F.round(F.coalesce(F.col("ratio") * keep, F.lit(1.0)), 4))
 
 
 def _coin(seed: int, id_col: Column, text: Column) -> Column:
-    hashed = F.xxhash64(F.lit(seed), id_col, text)
-    return F.pmod(hashed, F.lit(1 << 53)).cast("double") / float(1 << 53)
+    """A number from 0 to 1 that any engine can recompute: 52 bits of an MD5."""
+    hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(id_col.cast("string"), F.lit("")), F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(hashed, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def _fitted(slim: DataFrame, targets: dict[str, dict[str, float]], flatten: float, keep: float) -> DataFrame:
@@ -117,13 +121,18 @@ def _fitted(slim: DataFrame, targets: dict[str, dict[str, float]], flatten: floa
 
 
 def mix_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, flatten: float = FLATTEN, keep: float = KEEP, seed: int = 7) -> DataFrame:
-    """id, DIMS, n_tokens, p and sampled of every row of docs."""
+    """id, DIMS, n_tokens, weight, copies drawn, and p and sampled (drawn once at most) of every row of docs; and the cell's share of the
+    tokens: observed, target, and once_share, what drawing once at most is expected to give it."""
     text = F.col(text_col).cast("string")
     topic = text_topic(text) if topic is None else topic
     slim = saved(docs.select(F.col(id_col).alias("row_id"), *_dims(topic, source_col, lang_col), n_tokens(text).alias("tokens"), _coin(seed, F.col(id_col), text).alias("coin")))
     cells = _fitted(slim, targets or {}, flatten, keep)
-    joined = slim.join(small(cells.select(*DIMS, "p"), 200), DIMS)
-    return joined.select(F.col("row_id").alias(id_col), *DIMS, F.col("tokens").alias("n_tokens"), "p", (F.col("coin") < F.col("p")).alias("sampled"))
+    sums = cells.agg(F.sum("tokens").alias("t"), F.sum("weight").alias("w"), F.sum(F.col("tokens") * F.col("p")).alias("o"))
+    share = lambda part, whole: F.round(F.coalesce(part / F.nullif(F.col(whole), F.lit(0)), F.lit(0.0)), 6)
+    given = cells.crossJoin(F.broadcast(sums)).select(*DIMS, "ratio", "p", share(F.col("tokens"), "t").alias("observed"), share(F.col("weight"), "w").alias("target"), share(F.col("tokens") * F.col("p"), "o").alias("once_share"))  # one row
+    joined = slim.join(small(saved(given), 300), DIMS)
+    copies = F.floor("ratio") + (F.col("coin") < F.col("ratio") - F.floor("ratio")).cast("long")
+    return joined.select(F.col("row_id").alias(id_col), *DIMS, F.col("tokens").alias("n_tokens"), F.col("ratio").alias("weight"), copies.alias("copies"), F.round("p", 4).alias("p"), (F.col("coin") < F.col("p")).alias("sampled"), "observed", "target", "once_share")
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, flatten: float = FLATTEN, keep: float = KEEP, seed: int = 7) -> DataFrame:

@@ -13,8 +13,16 @@ A character without a piece becomes its UTF-8 byte pieces at the cost the librar
 for unknown characters (ten below the least score). Normalisation is the identity with
 a leading space, as in the model used; U+2581 in a text decodes to a space.
 
-Defined results: a null or empty text has no pieces, score 0 and one segmentation;
-equal scores leave the order of segmentations open, never their scores.
+The public model is a BPE model: its scores are merge ranks, so the best sum of scores is the
+optimum of this lattice and not the library's merge order. Ids decode to the same text,
+but the library's own encoding of a text is as a rule another one.
+
+Defined results: a null or empty text has no pieces, score 0 and one segmentation. Scores are
+whole numbers, so sums are exact; of equal segmentations the one of fewer changes comes
+first, then the one that changes earlier units, then the order of the search (see `nbest`).
+A run of more than LONGEST_UNIT characters without a certain boundary is cut at that length,
+each stretch segmented by itself. Repeated rows are encoded alike; other columns pass
+through, those named as the results are replaced.
 """
 
 from __future__ import annotations
@@ -35,6 +43,8 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 #: Units kept by a task before it starts afresh.
 KNOWN_UNITS = 1_000_000
+#: A run of more characters without a certain boundary is cut at this length, so that its lattice fits a worker.
+LONGEST_UNIT = 1 << 16
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _NONE = -1e300
@@ -108,30 +118,40 @@ def pieces(model_file: str) -> Pieces:
     return Pieces(model_file)
 
 
-def lattice(model: Pieces, unit: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-    """Edges (start, score, ids) by end position."""
-    out: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(len(unit) + 1)]
-    for end in range(1, len(unit) + 1):
-        for start in range(max(0, end - model.longest), end):
-            found = model.ids.get(unit[start:end])
-            if found is not None:
-                out[end].append((start, float(model.score[found]), (found,)))
-        if unit[end - 1] not in model.ids:
-            out[end].append((end - 1, model.unknown, tuple(int(model.byte_id[b]) for b in unit[end - 1].encode())))
+def edges_to(model: Pieces, unit: str, end: int) -> list[tuple[int, float, tuple[int, ...]]]:
+    """Edges (start, score, ids) that end at a position, the longest first."""
+    out = []
+    for start in range(max(0, end - model.longest), end):
+        found = model.ids.get(unit[start:end])
+        if found is not None:
+            out.append((start, float(model.score[found]), (found,)))
+    if unit[end - 1] not in model.ids:
+        out.append((end - 1, model.unknown, tuple(int(model.byte_id[b]) for b in unit[end - 1].encode())))
     return out
 
 
+def lattice(model: Pieces, unit: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
+    return [[], *(edges_to(model, unit, end) for end in range(1, len(unit) + 1))]
+
+
 def nbest(model: Pieces, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-    """The n best segmentations of a unit, best first: backward A* under exact forward scores."""
-    edges = lattice(model, unit)
+    """The n best segmentations of a unit, best first: backward A* under exact forward scores.
+
+    Of equal scores the search follows first what has come nearest to the unit's start, then what it found first
+    (the longest edge). A node is left n times at most: no n best paths need more, however many are equal.
+    """
     forward = [0.0]
     for end in range(1, len(unit) + 1):
-        forward.append(max(forward[s] + score for s, score, _ in edges[end]))
+        forward.append(max(forward[s] + score for s, score, _ in edges_to(model, unit, end)))
     found: list[tuple[float, tuple[int, ...]]] = []
-    heap: list[tuple[float, int, int, float, tuple]] = [(-forward[-1], 0, len(unit), 0.0, ())]
+    heap: list[tuple[float, int, int, float, tuple]] = [(-forward[-1], len(unit), 0, 0.0, ())]
+    left = [0] * (len(unit) + 1)
     count = 0
     while heap and len(found) < n:
-        _, _, at, behind, tail = heapq.heappop(heap)
+        _, at, _, behind, tail = heapq.heappop(heap)
+        if left[at] == n:
+            continue
+        left[at] += 1
         if at == 0:
             ids: list[int] = []
             while tail:
@@ -139,9 +159,9 @@ def nbest(model: Pieces, unit: str, n: int) -> list[tuple[float, tuple[int, ...]
                 tail = tail[1]
             found.append((behind, tuple(ids)))
             continue
-        for start, score, ids in edges[at]:
+        for start, score, ids in edges_to(model, unit, at):
             count += 1
-            heapq.heappush(heap, (-(forward[start] + score + behind), count, start, score + behind, (ids, tail)))
+            heapq.heappush(heap, (-(forward[start] + score + behind), start, count, score + behind, (ids, tail)))
     return found
 
 
@@ -173,6 +193,11 @@ class Encoder:
         cut[1:] = self.model.pairs[near] != pair
         cut[offsets[:-1][sizes > 0]] = True
         starts = np.flatnonzero(cut)
+        long = np.flatnonzero(np.diff(np.append(starts, len(codes))) > LONGEST_UNIT)
+        for i in long:
+            cut[starts[i] : starts[i + 1] if i + 1 < len(starts) else len(codes) : LONGEST_UNIT] = True
+        if len(long):
+            starts = np.flatnonzero(cut)
         lengths = np.diff(np.append(starts, len(codes)))
         position = np.arange(len(codes)) - np.repeat(starts, lengths)
         hashed = tv.mix(codes)
@@ -206,7 +231,7 @@ class Encoder:
         sums: list[tuple[float, tuple]] = [(0.0, ())]  # ascending
         if k <= 0:
             return sums
-        least = np.argpartition(losses, k - 1)[:k] if len(losses) > k else np.arange(k)
+        least = np.sort(np.argsort(losses, kind="stable")[:k])
         for i in least:
             if losses[i] == np.inf:
                 continue
@@ -345,23 +370,24 @@ def _lists(ids: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
 
 
-def _encode_batches(model_file: str, n: int):
+def _encode_batches(model_file: str, n: int, at_text: int, kept: list[int]):
     def run(batches):
         encoder = Encoder(pieces(model_file), n)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(at_text).to_pylist()
             at = 0
             while at < len(texts):
                 upto, chars = at, 0
-                while upto < len(texts) and (upto == at or chars + len(texts[upto] or "") < tv.CHUNK_BYTES // 4):
+                while upto < len(texts) and (upto == at or chars + len(texts[upto] or "") < tv.CHUNK_BYTES):
                     chars += len(texts[upto] or "")
                     upto += 1
                 found = encoder.encode([t or "" for t in texts[at:upto]])
                 best = _lists([ids[0] for ids, _ in found])
                 every = _lists([x for ids, _ in found for x in ids])
                 sizes = np.concatenate([[0], np.cumsum([len(ids) for ids, _ in found])]).astype(np.int32)
-                columns = [batch.column(0).slice(at, upto - at), best, pa.array([x for _, x in found], pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(sizes), every)]
-                yield pa.record_batch(columns, names=["row_id", "ids", "nbest_scores", "nbest_ids"])
+                columns = [best, pa.array([x for _, x in found], pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(sizes), every)]
+                rest = batch.slice(at, upto - at)
+                yield pa.record_batch([*(rest.column(i) for i in kept), *columns], names=[*(rest.schema.names[i] for i in kept), *ENCODED])
                 at = upto
 
     return run
@@ -380,11 +406,15 @@ def _decode_batches(model_file: str, at: int):
     return run
 
 
-def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str = MODEL_FILE, n: int = N_BEST) -> DataFrame:
-    """id, ids array<int>, and best first nbest_scores array<double> and nbest_ids array<array<int>> of every text."""
-    rows = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("text"))
-    out = in_batches(rows, _encode_batches(model_file, n), f"row_id {dict(rows.dtypes)['row_id']}, ids array<int>, nbest_scores array<double>, nbest_ids array<array<int>>")
-    return out.withColumnRenamed("row_id", id_col)
+ENCODED = {"ids": "array<int>", "nbest_scores": "array<double>", "nbest_ids": "array<array<int>>"}
+
+
+def encode_column(docs: DataFrame, text_col: str = "text", model_file: str = MODEL_FILE, n: int = N_BEST) -> DataFrame:
+    """docs without the text, and ids array<int>, and best first nbest_scores array<double> and nbest_ids array<array<int>>."""
+    rows = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    kept = [i for i, c in enumerate(docs.columns) if c != text_col and c not in ENCODED]
+    schema = ", ".join([f"`{c}` {t}" for c, t in (rows.dtypes[i] for i in kept)] + [f"{c} {t}" for c, t in ENCODED.items()])
+    return in_batches(rows, _encode_batches(model_file, n, docs.columns.index(text_col), kept), schema)
 
 
 def decode_column(encoded: DataFrame, ids_col: str = "ids", model_file: str = MODEL_FILE) -> DataFrame:

@@ -101,10 +101,10 @@ def test_wrapper_finds_fixed_text(spark):
 
 
 def test_alignment_makes_groups_and_slots():
-    a, b = (html_wrappers.folded(html_wrappers.parse(x)) for x in ("<div><h1>T</h1><p>x</p><p>y</p></div>", "<div><h1>T</h1><p>z</p><ul><li>q</li></ul></div>"))
+    a, b = (html_wrappers.skeleton(html_wrappers.parse(x)) for x in ("<div><h1>T</h1><p>x</p><p>y</p></div>", "<div><h1>T</h1><p>z</p><ul><li>q</li></ul></div>"))
     kids = html_wrappers.aligned(a, b)["c"][0]["c"]
     assert [(k["k"], bool(k.get("r")), bool(k.get("o"))) for k in kids] == [("h1", False, False), ("p", True, False), ("ul", False, True)]
-    assert kids[0]["c"][0]["t"] == "T" and kids[1]["c"][0]["t"] is None
+    assert kids[0]["c"][0]["t"] == html_wrappers.text_hash("T") and kids[1]["c"][0]["t"] is None
 
 
 def slow_own(rows):
