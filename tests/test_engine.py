@@ -183,3 +183,24 @@ def test_nearest_in_blocks(spark, monkeypatch):
 def test_synthetic_reviews_need_something(spark):
     rows = sinks.synthetic_reviews(spark)
     assert rows.count() == 42 and rows.where(tx.need_bearing(F.col("review_text"), F.col("rating"))).count() == 42
+
+
+def test_whole_jobs(spark, tmp_path):
+    from gaplens.operators import jobs
+
+    (tmp_path / "mine.csv").write_text(f"text,stars,date\n{LONG},2,2015-01-01\n{LONG} please,4,2017-05-01\n")
+    made = jobs.custom_app(spark, "My App!", f"file://{tmp_path}/mine.csv", 100, f"file://{tmp_path}/cache", 10, "First big thing\nsmall\nSecond big thing", {"a": 1})
+    assert made["package_name"].startswith("custom.my.app.") and made["reviews"].count() == 2 and made["items"].count() == 2
+    assert (made["job"]["status"], made["job"]["roadmap_source"], len(made["job"]["config_hash"])) == ("queued", "web", 24)
+    drawn = jobs.charts(made["reviews"], 9)
+    assert [x["count"] for x in drawn["reviews_by_period"]] == [1, 0, 1] and drawn["need_bearing"] == {"need_bearing": 2, "other": 0}
+    assert [x["count"] for x in drawn["rating_histogram"]] == [0, 1, 0, 1, 0] and jobs.charts(made["reviews"].limit(0), 9, drawn) is drawn
+    rows = spark.createDataFrame([("1", "a", "completed", store.config_hash({"a": 1}), "2016"), ("2", "a", "completed", store.config_hash({"a": 1}), "2017"), ("3", "a", "failed", store.config_hash({"a": 1}), "2018")], "id string, app_id string, status string, config_hash string, completed_at string")
+    assert [r.id for r in jobs.reusable_job(rows, "a", {"a": 1}).collect()] == ["2"]
+    assert jobs.reusable_job(rows, "a", {"a": 2}).count() == jobs.reusable_job(rows, "a", {"a": 1}, force=True).count() == 0
+    said = spark.createDataFrame([("org.x.antenna", LONG, 4.0, i) for i in range(3)] + [("org.y", LONG, 2.0, 9)], "package string, review_text string, rating double, ord long")
+    inventory, listed = jobs.discovery(said, [], [("antenna", "A/A")], least=2)
+    assert inventory.count() == 2 and [(r.package_name, r.github_repo, r.reviews) for r in listed.collect()] == [("org.x.antenna", "A/A", 3)]
+    jobs.write_discovery(inventory, listed, f"{tmp_path}/found")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/found/all_packages").count() == 2 and spark.read.json(f"{tmp_path}/found/candidates").count() == 1
+    assert jobs.describe(spark, f"file://{tmp_path}/cache")["cache"] is True
