@@ -52,7 +52,7 @@ DIMS = 64
 PER_DIM = 16
 LEAF = 24
 #: A run of more texts is a star; a key of more texts in a batch sends one of them.
-RUN = 2048
+RUN = 512
 BATCH_RUN = 64
 #: A text with at least this share of all rows is hot: there are at most HOT of them.
 HOT = 1000
