@@ -169,10 +169,6 @@ def ml07_k_range(spark, d):
     return spark.createDataFrame(rows, "n int, lo int, hi int, least_size int")
 
 
-def _roadmap(spark, d):
-    return table(spark, d, "benchmark").select("item_id", "text")
-
-
 @query()
 def ml04_svd(spark, d):
     docs = table(spark, d, "benchmark")
@@ -186,23 +182,6 @@ def ml06_kmeans_select(spark, d):
     return found.groupBy("cluster_id").agg(F.count("*").alias("n")).withColumn("k", F.lit(k))
 
 
-def _needy(spark, d):
-    return rv.rating_gate(reviews(spark, d)).where(tx.need_bearing(F.col("review_text"), F.col("rating"))).select(F.col("ord").alias("member_id"), "review_text", "package", "rating")
-
-
-@query()
-def ml09_embed_and_cluster(spark, d):
-    space, found, k = embedding.embed_and_cluster(_needy(spark, d), _roadmap(spark, d), features=400)
-    return found.groupBy("cluster_id").agg(F.count("*").alias("n")).withColumn("k", F.lit(k)).withColumn("components", F.lit(int(space.projection.shape[1])))
-
-
-@query()
-def ml11_matching_space(spark, d):
-    controls = embedding.control_reviews(rv.rating_gate(reviews(spark, d)), ("src1", "src2", "src3")).select(F.col("ord").alias("member_id"), "review_text", "package")
-    space, vectors, threshold = embedding.matching_space(_roadmap(spark, d), controls, features=400)
-    return vectors.agg(F.count("*").alias("items")).withColumn("threshold", F.round(F.lit(threshold), 6)).withColumn("features", F.lit(len(space.columns)))
-
-
 @query(f"WITH {REVIEWS}, {GATED} SELECT package, count(*) AS n FROM gated WHERE package IN ('src1', 'src2', 'src3') AND {NEED_SQL} GROUP BY package")
 def ml13_control_reviews(spark, d):
     return embedding.control_reviews(rv.rating_gate(reviews(spark, d)), ("src1", "src2", "src3")).groupBy("package").agg(F.count("*").alias("n"))
