@@ -264,6 +264,34 @@ SELECT doc_id, n AS n_bytes, h * 64 AS payload_bytes, sha256(payload) AS payload
 FROM media JOIN features USING (doc_id) JOIN tiles USING (doc_id), crc_table
 """
 
+OP11 = rf"""
+WITH rows AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_lowered("coalesce(text, '')")} AS text FROM documents
+), tokens AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM rows
+), kept AS (
+  SELECT lang, term FROM tokens GROUP BY ALL HAVING count(DISTINCT id) >= 30
+), counts AS (
+  SELECT lang, source, term, count(*) AS n FROM tokens SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), grid AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT lang, source FROM rows) g JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), whole AS (
+  SELECT lang, term, 1 + (1000000000 * (sum(n) + 5)) // (sum(sum(n)) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q FROM grid GROUP BY lang, term
+), shares AS (
+  SELECT lang, source, term, n, 1 + (1000000000 * (n + 5)) // (sum(n) OVER w + 5 * count(*) OVER w) AS p FROM grid WINDOW w AS (PARTITION BY lang, source)
+), apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM (SELECT DISTINCT lang, source FROM rows) a JOIN (SELECT DISTINCT lang, source FROM rows) b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source
+), over_share AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM shares JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (FROM pairs UNION ALL FROM over_share)
+QUALIFY part = 'pair' OR rank <= 50
+"""
+
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": OP2,
     "op3_source_mixing": _op3(),
@@ -272,4 +300,5 @@ ORACLES: dict[str, str] = {
     "op8_quality_rules": _op8(),
     "op9_license_scan": _op9(),
     "op10_media_columns": OP10,
+    "op11_source_divergence": OP11,
 }

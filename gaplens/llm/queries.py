@@ -19,6 +19,8 @@ from gaplens.llm.quality_trees import score_quality
 from gaplens.llm.raking import mix_weights
 from gaplens.llm.sentence_spans import dedup_runs
 from gaplens.llm.sentencepiece_nbest import decode_column, encode_column, ids_digest, nbest_digest
+from gaplens.llm.source_divergence import source_divergence
+from gaplens.llm.toxic_passages import score_toxicity
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +73,15 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile", "error")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(documents(spark, sf_dir))
+
+
+def op13_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = score_toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+    return found.withColumn("n_passages", F.size("passages")).drop("passages")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_substring_dedup": op2_substring_dedup,
@@ -82,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_license_scan": op9_license_scan,
     "op10_media_columns": op10_media_columns,
+    "op11_source_divergence": op11_source_divergence,
+    "op13_toxic_passages": op13_toxic_passages,
 }
 
 ORACLE_SQL: dict[str, str] = ORACLES
