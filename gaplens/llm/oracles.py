@@ -292,6 +292,59 @@ SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, so
 QUALIFY part = 'pair' OR rank <= 50
 """
 
+def _op12() -> str:
+    far = "{'c': 1000000000::BIGINT, 'a': '', 'r': ''}"
+    arc = lambda state, cost, letter, line="''": f"{{'c': ({state}.c + {cost})::BIGINT, 'a': {state}.a || '{letter}', 'r': {state}.r || {line}}}"
+    may = lambda when, what: f"CASE WHEN {when} THEN {what} ELSE {far} END"
+    least = lambda *found: f"list_sort([{', '.join(found)}])[1]"
+    line = "chr(10) || o.role || ':' || o.text"
+    as_role = lambda role: f"chr(10) || '{role}:' || o.text"
+    empty = lambda role: f"chr(10) || '{role}:'"
+    kept = lambda state, initial: may(f"NOT must AND initial = '{initial}'", arc(state, "more", "K", line))
+    named = lambda state, role: may("NOT must", arc(state, "3 + more", "R", as_role(role)))
+    user = [x for state in ("n", "s", "a") for x in (kept(state, "u"), named(state, "user"))]
+    return rf"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(0, 256) r(i)
+), drawn AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295, list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT), lambda c, b: xor(t[xor(c & 255, b) + 1], c >> 8), 4294967295)) % 20 AS kind
+  FROM conversations, crc_table
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM drawn
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, role[1] AS initial FROM damaged
+), faults AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
+  FROM ordered
+), counted AS (
+  SELECT conv_id, count(*) AS size, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id
+), steps AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'r': ''}} AS n, {far} AS s, {{'c': 3::BIGINT, 'a': 'I', 'r': chr(10) || 'user:'}} AS u, {{'c': 6::BIGINT, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS a
+  FROM counted
+  UNION ALL
+  SELECT conv_id, i, n, s, u, {least("a", arc("u", 3, "I", empty("assistant")))} AS a FROM (
+    SELECT conv_id, i, n, s, a, {least("u", *(arc(state, 3, "I", empty("user")) for state in ("n", "s", "a")))} AS u FROM (
+      SELECT p.conv_id, o.i, {arc("n", 4, "D")} AS n, {least(arc("s", 4, "D"), kept("n", "s"))} AS s, {least(arc("u", 4, "D"), *user)} AS u, {least(arc("a", 4, "D"), kept("u", "a"), named("u", "assistant"))} AS a
+      FROM steps p JOIN (SELECT conv_id, i, role, text, initial, fault IN ('blank', 'duplicate') AS must, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more FROM faults) o
+      ON o.conv_id IS NOT DISTINCT FROM p.conv_id AND o.i = p.i + 1
+    )
+  )
+), ends AS (
+  SELECT p.conv_id, {least("n", "a")} AS e FROM steps p JOIN counted c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND p.i = c.size
+)
+SELECT t.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(e.c, 0) AS cost, coalesce(e.a, '') AS audit, sha256(coalesce(substring(e.r, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) t LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM t.conv_id LEFT JOIN ends d ON d.conv_id IS NOT DISTINCT FROM t.conv_id
+"""
+
+
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": OP2,
     "op3_source_mixing": _op3(),
@@ -301,4 +354,5 @@ ORACLES: dict[str, str] = {
     "op9_license_scan": _op9(),
     "op10_media_columns": OP10,
     "op11_source_divergence": OP11,
+    "op12_conversation_repair": _op12(),
 }

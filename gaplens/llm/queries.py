@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaplens.llm.common import documents
+from gaplens.llm.conversation_repair import repair_conversations
 from gaplens.llm.html_wrappers import extract_main
 from gaplens.llm.licenses import scan_licenses
 from gaplens.llm.line_dedup import dedup_lines
@@ -77,6 +78,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(documents(spark, sf_dir))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(documents(spark, sf_dir, "conversations"))
+
+
 def op13_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = score_toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
     return found.withColumn("n_passages", F.size("passages")).drop("passages")
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_media_columns": op10_media_columns,
     "op11_source_divergence": op11_source_divergence,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_toxic_passages": op13_toxic_passages,
 }
 
