@@ -48,15 +48,16 @@ BLOCK = 256
 SLICE = 4096
 #: A term is dense if so many times its sources are more than all sources: about where a pair of entries costs as much as the row of a tile.
 DENSE = 4
-#: (group, term) counts a task holds before it sends them, and characters of their terms.
-HELD, HELD_BYTES = 200_000, 16 << 20
+#: (group, term) counts a task holds before it sends them, and bytes of the terms it has read for them.
+HELD, HELD_BYTES = 400_000, 64 << 20
+DOCS = 1 << 44
 
 _TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, text) to (lang, source, term, n, docs), summed over what the task holds; a group also has a row without a term."""
-    held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+    held: dict[tuple[str, str], dict[bytes, int]] = {}  # occurrences, and documents times DOCS
     size = weight = 0
     for batch in batches:
         for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -69,22 +70,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for term, n in own.items():
                     term = term.lower()  # of bytes: A-Z only
                     lower[term] = lower.get(term, 0) + n
+                before = len(terms)
                 for term, n in lower.items():
-                    entry = terms.get(term)
-                    if entry is None:
-                        terms[term] = [n, 1]
-                        size += 1
-                        weight += len(term)
-                    else:
-                        entry[0] += n
-                        entry[1] += 1
+                    terms[term] = terms.get(term, 0) + n + DOCS
+                if len(terms) > before:
+                    size += len(terms) - before
+                    weight += sum(map(len, lower))
             if size >= HELD or weight >= HELD_BYTES:
                 yield from _sent(held)
                 held, size, weight = {}, 0, 0
     yield from _sent(held)
 
 
-def _sent(held: dict[tuple[str, str], dict[bytes, list[int]]]) -> Iterator[pa.RecordBatch]:
+def _sent(held: dict[tuple[str, str], dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
     for (lang, source), terms in held.items():
         n = len(terms) + 1
         yield pa.record_batch(
@@ -92,8 +90,8 @@ def _sent(held: dict[tuple[str, str], dict[bytes, list[int]]]) -> Iterator[pa.Re
                 pa.array([lang] * n, pa.string()),
                 pa.array([source] * n, pa.string()),
                 pa.array([None, *(t.decode() for t in terms)], pa.string()),
-                pa.array([0, *(x[0] for x in terms.values())], pa.int64()),
-                pa.array([0, *(x[1] for x in terms.values())], pa.int64()),
+                pa.array([0, *(x % DOCS for x in terms.values())], pa.int64()),
+                pa.array([0, *(x // DOCS for x in terms.values())], pa.int64()),
             ],
             names=["lang", "source", "term", "n", "docs"],
         )
@@ -172,8 +170,8 @@ def term_counts(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     parts = in_batches(docs.select(text("lang"), text("source"), text("text")), _counted, "lang string, source string, term string, n long, docs long")
     counts = parts.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("d")).where(F.col("term").isNull() | (F.col("d") >= least)).select(F.col("lang").alias("l"), F.col("term").alias("t"))
-    return saved(counts.join(kept, (F.col("lang") == F.col("l")) & F.col("term").eqNullSafe(F.col("t")), "left_semi").select("lang", "source", "term", "n"))
+    everywhere = F.sum("docs").over(Window.partitionBy("lang", "term"))  # a row a source: the texts are read once
+    return saved(counts.withColumn("d", everywhere).where(F.col("term").isNull() | (F.col("d") >= least)).select("lang", "source", "term", "n"))
 
 
 def source_divergence(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP, scale: int = SCALE, smooth: int = SMOOTH) -> DataFrame:
