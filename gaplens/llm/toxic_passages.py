@@ -57,7 +57,7 @@ CUTOFF = 0.5
 PEAKS = 0.9
 MOST = 60.0
 #: Rows of counts a task holds before it sends them.
-HELD = 1 << 20
+HELD = 1 << 18
 LEAST = float(-np.log(-np.log1p(-1.0 / SIGNIFICANT)))
 
 _letter = np.zeros(256, bool)
