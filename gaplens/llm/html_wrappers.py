@@ -33,6 +33,7 @@ import hashlib
 import html
 import json
 import re
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from typing import Any
 
@@ -50,7 +51,10 @@ MOST_KEYS = 50
 #: Pages to a bucket of the first folding, and buckets to one of the next.
 BUCKET = 4096
 FAN = 64
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|button)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
+#: Attributes by their quotes, in bounded pieces; failing that a tag ends at its first '>', so reading a page takes time in proportion to it.
+_QUOTED = r"""(?:[^'">]{1,512}+|"[^"]{0,2048}+"|'[^']{0,2048}+'){0,64}+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|button)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)({_QUOTED})>|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
+_REST = re.compile("(?s).+()()()()()()()")
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 # Block elements, and tags and class words of furniture.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -62,21 +66,49 @@ WORDS = frozenset(
     "ad ads advert advertisement sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar side aside notice notices cookie cookies consent "
     "popup modal newsletter subscribe share social related comment comments replies disqus search login pagination contentinfo complementary".split()
 )
+ADVERTS = frozenset("ad ads advert advertisement sponsored promo".split())
+LOOSE = frozenset("header side notice notices share social related navigation menu masthead banner sponsor ad ads promo".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset(("article", "main"))
 
 
+def _marked(tag: str, words: list[str]) -> bool:
+    """Whether a block of this tag and these class words is furniture by itself.
+
+    Words count whole; of one joined by - or _ the first and the last part do, but for those that also name parts of an
+    article (LOOSE) beside a word that is none of WORDS. Any block may be an advert; `side` says something only alone.
+    """
+    if tag in FURNITURE:
+        return True
+    named = {w for w in words if w != "side" or len(words) == 1}
+    joined = [re.split("[-_]+", w) for w in words if "-" in w or "_" in w]
+    named |= {p for parts in joined for p in (parts[0], parts[-1]) if p not in LOOSE or WORDS.issuperset(parts)}
+    return not ADVERTS.isdisjoint(named) or (tag in CONTAINERS and not WORDS.isdisjoint(named))
+
+
 class Block:
     __slots__ = ("children", "key", "linked", "marked", "tag")
 
     def __init__(self, tag: str, marks: str = ""):
         words = marks.lower().split()
-        self.tag, self.marked = tag, tag in FURNITURE or (tag in CONTAINERS and not WORDS.isdisjoint(words))
+        self.tag, self.marked = tag, _marked(tag, words)
         self.key = ".".join([tag, *(w for w in words if not any(c.isdigit() for c in w))])
         self.children: list[Block | str] = []
         self.linked = 0  # characters of its own texts in links
 
 
+def _tokens(page: str) -> Iterator[re.Match]:
+    """Tokens up to the last '>', behind which no tag ends, and what is left as one text unless a comment or script is open there."""
+    end = page.rfind(">") + 1
+    last = None
+    for last in _TOKEN.finditer(page, 0, end):
+        yield last
+    raw = last is not None and (last.group(1) or last.group(0).startswith("<!--"))
+    if raw and not re.search(r"(?:-->|</[a-zA-Z]+\s*>)\Z", last.group(0)[-24:]):
+        return
+    yield from _REST.finditer(re.split(r"<!--|<(?:script|style|noscript|template|svg|iframe|textarea|select|button)\b", page[end:], maxsplit=1, flags=re.I)[0])
+
+
 def parse(page: str) -> Block:
     """The tree of blocks; children are blocks and non-empty texts in page order."""
     root = Block("")
@@ -93,9 +125,9 @@ def parse(page: str) -> Block:
             stack[-1].linked += min(linked, len(text))
         linked = 0
 
-    for m in _TOKEN.finditer(page):
-        tag = m.group(3)
-        if tag is None:
+    for m in _tokens(page):
+        closes, tag, given = (m.group(2), m.group(3), m.group(4)) if m.group(3) else m.group(5, 6, 7)
+        if not tag:
             token = m.group(0)
             if m.group(1) or token.startswith("<!--"):
                 pending.append(" ")
@@ -105,13 +137,13 @@ def parse(page: str) -> Block:
             continue
         tag = tag.lower()
         if tag == "a":
-            in_link = not m.group(2)
+            in_link = not closes
         if tag == "br":
             pending.append(" ")
         if tag not in BLOCKS:
             continue
         flush()
-        if m.group(2):
+        if closes:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
                     del stack[depth:]
@@ -119,10 +151,10 @@ def parse(page: str) -> Block:
             continue
         while stack[-1].tag in LEAF and (stack[-1].tag == tag or tag not in ("ul", "ol", "dl", "p", "table", "div") or stack[-1].tag == "p"):
             stack.pop()
-        marks = " ".join(a or b or c for a, b, c in _MARK.findall(m.group(4))) if "=" in m.group(4) else ""
+        marks = " ".join(a or b or c for a, b, c in _MARK.findall(given)) if "=" in given else ""
         block = Block(tag, marks)
         stack[-1].children.append(block)
-        if tag not in VOID and not m.group(4).endswith("/"):
+        if tag not in VOID and not given.endswith("/"):
             stack.append(block)
     flush()
     return root
@@ -255,10 +287,10 @@ def aligned(a: Node, b: Node) -> Node:
 
 
 def plan(wrapper: Node) -> dict[str, Any]:
-    """path: keys from the root to the main region; keep: keys of its children, null for all; fixed: hashes of texts to cut."""
+    """path: keys from the root to the main region; drop: keys of its children that are no part of it; fixed: hashes of texts to cut."""
     if wrapper["n"] < MIN_PAGES:
-        return {"path": _main_path(wrapper), "keep": None, "fixed": []}
-    node, path, keep = wrapper, [], None
+        return {"path": _main_path(wrapper), "drop": [], "fixed": []}
+    node, path, drop = wrapper, [], []
     while True:
         kids = _members(node)
         slots = [x for x in kids if not _furniture(x["k"]) and "=" not in x["k"]]
@@ -274,15 +306,15 @@ def plan(wrapper: Node) -> dict[str, Any]:
         node, path = best, [*path, best["k"]]
     if path and _tag(node["k"]) not in MAIN:
         wanted = [x["k"] for x in slots if (x["k"] == "#" or _tag(x["k"]) in LEAF or 10 * x["m"] >= total) and 10 * x["a"] <= 6 * max(x["m"], 1)]
-        keep = wanted if len(wanted) < len(slots) else None
-    fixed, mass, work = [], 0, [node]
+        drop = sorted({x["k"] for x in slots} - set(wanted))
+    fixed, mass, work = [], 0, [node] if not path or _tag(path[-1]) not in MAIN else []  # an article's lines are its own, whatever its neighbours say
     while work:
         x = work.pop()
         if "=" in x["k"] and 10 * x["n"] >= 9 * wrapper["n"] and wrapper["n"] >= MIN_PAGES:
             fixed.append(int(x["k"].rsplit("=", 1)[1]))
             mass += x["m"]
         work += x["c"]
-    return {"path": path, "keep": keep, "fixed": sorted(fixed) if 5 * mass <= node["m"] else []}
+    return {"path": path, "drop": drop, "fixed": sorted(fixed) if 5 * mass <= node["m"] else []}
 
 
 def _members(node: Node) -> list[Node]:
@@ -307,7 +339,7 @@ def _tag(key: str) -> str:
 
 def _furniture(key: str) -> bool:
     words = key.split("=", 1)[0].split(".")
-    return words[0] in FURNITURE or (words[0] in CONTAINERS and not WORDS.isdisjoint(words[1:]))
+    return _marked(words[0], words[1:])
 
 
 def main_text(page: str | None, given: dict[str, Any] | None = None) -> str:
@@ -319,20 +351,25 @@ def main_text(page: str | None, given: dict[str, Any] | None = None) -> str:
     if not found:
         given = plan(skeleton(root))
         found = _at(root, given["path"])
-    fixed, keep = set(given["fixed"]), given["keep"]
+    fixed, drop = set(given["fixed"]), set(given["drop"])
     out: list[str] = []
     for region in found:
-        work: list[Block | str] = [x for x in reversed(region.children) if keep is None or ("#" if isinstance(x, str) else x.key) in keep]
+        work: list[Block | str] = [x for x in reversed(region.children) if ("#" if isinstance(x, str) else x.key) not in drop]
         while work:
             item = work.pop()
             if isinstance(item, str):
                 if not fixed or text_hash(item) not in fixed:
                     out.append(item)
-            elif not item.marked or (item.tag == "header" and region.tag in MAIN):
+            elif not item.marked or (region.tag in MAIN and _titles(item)):
                 work += reversed(item.children)
     return "\n".join(out)
 
 
+def _titles(block: Block) -> bool:
+    """A header of the article itself: the tag, or a block named so that holds its title."""
+    return block.tag == "header" or ("header" in block.key.split(".")[1:] and any(not isinstance(x, str) and x.tag in ("h1", "h2") for x in block.children))
+
+
 def _at(root: Block, path: list[str]) -> list[Block]:
     found = [root]
     for key in path:
