@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaplens.functions import text as tx
 from gaplens.functions.text import CLOSED_STATES
 from gaplens.operators import gaps, matching
 from gaplens.operators import reviews as rv
@@ -124,12 +125,27 @@ def rebuilt_confidence(weights: dict[str, float]) -> Column:
     return F.round(100 * sum((F.lit(w) * F.col(k) for k, w in weights.items()), F.lit(0.0)), 2)
 
 
-def members_of(rows: DataFrame, key: Column, clusters: DataFrame) -> DataFrame:
-    """Rows whose id, as text, is in any cluster's list of ids."""
-    ids = clusters.select(F.explode("ids").alias("__id")).distinct()
+def members_of(rows: DataFrame, key: Column, members: DataFrame) -> DataFrame:
+    """Rows whose id, as text, is that of a member (cluster_id, member_id) of any cluster."""
+    ids = members.select(F.col("member_id").cast("string").alias("__id")).distinct()
     return rows.join(ids, key.cast("string") == F.col("__id"), "left_semi")
 
 
+def first_members(rows: DataFrame, group: str, member: str, most: int) -> DataFrame:
+    """(group, ids): the first ids of each group in order; the others are left behind before any shuffle gathers a group."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(member))
+    first = rows.select(group, member).withColumn("__place", place).where(F.col("__place") <= most)
+    return first.groupBy(group).agg(F.array_sort(F.collect_list(member)).alias("ids"))  # `most` at most
+
+
+def cluster_payload(members: DataFrame, texts: DataFrame, most: int = 12) -> DataFrame:
+    """(cluster_id, size, need_share, ids): how many members bear a need (one without a text or rating row counts as none), and the first ids of each."""
+    need = F.coalesce(tx.need_bearing(F.col("review_text"), F.col("rating")), F.lit(False))
+    said = members.select("cluster_id", "member_id").join(texts.select("member_id", "review_text", "rating"), "member_id", "left")
+    shares = said.groupBy("cluster_id").agg(F.countDistinct("member_id").alias("size"), F.round(F.avg(need.cast("double")), 6).alias("need_share"))
+    return shares.join(first_members(members, "cluster_id", "member_id", most), "cluster_id")
+
+
 def review_evidence(cited: DataFrame, reviews: DataFrame) -> DataFrame:
     """(cluster_id, pos, evidence_id, source_type, title, snippet, url): cited reviews that exist, in cited order."""
     rows = cited.select("cluster_id", F.posexplode("ids").alias("pos", "review_id")).join(reviews, "review_id")
@@ -154,13 +170,13 @@ def grouped_evidence(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("cluster_id", "source_type").agg(F.count("*").alias("n")).withColumn("place", place)
 
 
-def calibration(probes: DataFrame) -> DataFrame:
-    """One row over probes (positive, hit, s1, s2): hits, least true score, greatest runner-up and negative, overlap, threshold and margin.
+def calibration(probes: DataFrame, *by: str) -> DataFrame:
+    """One row over probes (positive, hit, s1, s2), or one for each value of `by`: hits, least true score, greatest runner-up and negative, overlap, threshold and margin.
 
     The threshold lies midway between true and negative scores, or just under the least true one where they overlap.
     """
     true = F.col("positive") & F.col("hit")
-    out = probes.agg(
+    out = probes.groupBy(*by).agg(
         F.count_if(true).alias("hits"),
         F.min(F.when(true, F.col("s1"))).alias("min_true"),
         F.max(F.when(true, F.col("s2"))).alias("max_runner"),
@@ -170,16 +186,7 @@ def calibration(probes: DataFrame) -> DataFrame:
     overlap = F.coalesce(F.col("max_negative") >= F.col("min_true"), F.lit(False))
     midway = F.when(~overlap & F.col("max_negative").isNotNull(), (F.col("min_true") + F.col("max_negative")) / 2).otherwise(F.col("min_true") - 0.001)
     margin = F.greatest(F.lit(0.0), F.round(F.coalesce(F.col("least_margin") - 0.003, F.lit(0.0)), 3))
-    return out.select("hits", "min_true", "max_runner", "max_negative", overlap.alias("overlap"), F.round(midway, 3).alias("threshold"), margin.alias("margin"))
-
-
-def expected_rank(members: DataFrame, items: DataFrame, expected: DataFrame) -> DataFrame:
-    """(member_id, expected_id, place): how many items are nearer to a probe than the expected one, or as near with a lesser id, and one."""
-    own = members.join(expected, "member_id").join(items.select(F.col("item_id").alias("expected_id"), F.col("embedding").alias("__e")), "expected_id")
-    aim = own.select("member_id", "expected_id", F.round(matching.dot(F.col("embedding"), F.col("__e")), 12).alias("aim"))
-    every = matching.nearest(members, items, items.count()).select("member_id", "item_id", F.round("sim", 12).alias("sim"))  # the stated probes against all items
-    better = (F.col("sim") > F.col("aim")) | ((F.col("sim") == F.col("aim")) & (F.col("item_id") <= F.col("expected_id")))
-    return every.join(aim, "member_id").groupBy("member_id", "expected_id").agg(F.count_if(better).alias("place"))
+    return out.select(*by, "hits", "min_true", "max_runner", "max_negative", overlap.alias("overlap"), F.round(midway, 3).alias("threshold"), margin.alias("margin"))
 
 
 def summary_sentence(source: Column, n: Column, verdict: Column, need: Column) -> Column:

@@ -1,175 +1,68 @@
-"""Lexical embedding and clustering: TF-IDF, truncated SVD, k-means with model selection, matching spaces and null models."""
+"""Clusters of reviews in a lexical space, null models of control packages, and the matching space kept between jobs."""
 
 from __future__ import annotations
 
+import json
+import uuid
+from dataclasses import dataclass
 from typing import Any
 
-import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaplens.functions.text import need_bearing, unit
-from gaplens.operators import matching, terms
+from gaplens.operators import clusters, matching
+from gaplens.operators.clusters import adaptive_k_range, min_cluster_size
+from gaplens.operators.lexical import COMPONENTS, SEED, Space
+from gaplens.sources import sinks
+from gaplens.sources.shared import settled
 
-# Components, seed, the control packages of a null model; fewer restarts than the 10 of a single-node library.
-COMPONENTS = 256
-SEED = 42
-RESTARTS = 2
-CONTROLS = ("com.frostwire.android", "org.ppsspp.ppsspp", "org.xbmc.kore")
+__all__ = ["COMPONENTS", "CONTROLS", "SEED", "MatchingSpace", "Space", "adaptive_k_range", "cluster", "control_reviews", "embed_and_cluster", "matching_space", "min_cluster_size", "null_clusters", "null_scores", "roadmap_hash"]
 
+# The control packages of a null model, and how its scores are made.
+CONTROLS = ("com.ichi2.anki", "org.isoron.uhabits", "org.wordpress.android")
+METHOD = "review_agree_mean_top1"
 
-def adaptive_k_range(n: int) -> tuple[int, int]:
-    """Least and greatest number of clusters tried for n reviews."""
-    if n < 8:
-        return 2, 2
-    most = max(2, min(14, n // 4))
-    return min(2 if n < 40 else 3 if n < 80 else 4, most), most
 
+def _kept(found: DataFrame, key: str, groups: dict[int, str], n: dict[int, int], name: str | None) -> DataFrame:
+    """Members of clusters of their group's least size; a group under it, or without any such cluster, is whole where it is a control."""
+    least = F.lit(0)
+    for g, size in n.items():
+        least = F.when(F.col("group") == g, min(min_cluster_size(size), size)).otherwise(least)
+    sizes = found.groupBy("group", "cluster_id").agg(F.count("*").alias("__n")).where(F.col("__n") >= least)
+    kept = found.join(F.broadcast(sizes.drop("__n")), ["group", "cluster_id"], "left_semi")  # at most 14 clusters a group
+    named = F.lit(None).cast("string")
+    for g, value in groups.items():
+        named = F.when(F.col("group") == g, F.lit(value)).otherwise(named)
+    return kept.select(*([named.alias(name)] if name else []), key, "embedding", "cluster_id")
 
-def min_cluster_size(n: int) -> int:
-    return 3 if n < 40 else 4 if n < 90 else 5
 
+def cluster(vectors: DataFrame, key: str = "member_id") -> tuple[DataFrame, int]:
+    """(key, embedding, cluster_id) and k: the best cosine silhouette over the adaptive range, the least k on ties.
 
-class Space:
-    """A fitted lexical space: terms with their idf, and the right singular vectors of the fitted corpus.
-
-    The vocabulary is bounded by `features`, so V, features x components numbers, and the Gram matrix of a corpus fit the driver.
+    Clusters under the least size are dropped; fewer members than that are one cluster.
     """
+    found, chosen = cluster_groups(vectors, F.lit("all"), key)
+    return found.drop("group"), chosen["all"].k if "all" in chosen else 0
 
-    def __init__(self, vocabulary: DataFrame, projection: np.ndarray, columns: dict[str, int], grams: str):
-        self.vocabulary, self.projection, self.columns, self.grams = vocabulary, projection, columns, grams
-
-    @classmethod
-    def fit(cls, docs: DataFrame, key: str, text: str, grams: str = "char_wb", features: int = 1_000, components: int = COMPONENTS) -> Space:
-        """From a corpus: its TF-IDF rows and the leading eigenvectors of their Gram matrix, summed over partitions."""
-        clean = docs.select(F.col(key).alias("id"), F.coalesce(F.nullif(F.trim(text), F.lit("")), F.lit(" ")).alias("text"))
-        n = clean.count()
-        vocabulary = terms.vocabulary(clean, "id", _terms(grams), n, features)
-        names = [r["term"] for r in vocabulary.select("term").orderBy("term").collect()]  # at most `features`
-        columns = {t: i for i, t in enumerate(names)}
-        space = cls(vocabulary, np.zeros((len(names), 0)), columns, grams)
-        k = min(components, max(2, len(names) - 1), max(2, n - 1))
-        rows = space.weights(clean)
-        gram = _gram(rows, len(names))
-        values, vectors = np.linalg.eigh(gram) if len(names) else (np.zeros(0), np.zeros((0, 0)))
-        order = np.argsort(-values, kind="stable")[:k]
-        order = order[values[order] > 1e-10 * max(1e-300, float(values.max(initial=0)))]
-        signs = np.sign(vectors[np.abs(vectors[:, order]).argmax(0), order]) if len(order) else np.zeros(0)
-        space.projection = vectors[:, order] * signs
-        return space
-
-    def weights(self, docs: DataFrame) -> DataFrame:
-        """(id, places array<int>, weights array<double>) of every document: its unit TF-IDF row in the space's columns."""
-        found = terms.weighed(docs, "id", _terms(self.grams), self.vocabulary)
-        numbered = self.vocabulary.sparkSession.createDataFrame(sorted(self.columns.items()) or [("", 0)], "term string, place int")
-        return found.join(F.broadcast(numbered), "term").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "weight"))).alias("row"))  # at most `features` terms
-
-    def transform(self, docs: DataFrame, key: str, text: str) -> DataFrame:
-        """(key, embedding): unit vectors of any documents; one without a known term is a zero vector."""
-        clean = docs.select(F.col(key).alias("id"), F.coalesce(F.nullif(F.trim(text), F.lit("")), F.lit(" ")).alias("text"))
-        projection = self.projection
-
-        def run(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                out = []
-                for row in batch.column(1).to_pylist():
-                    v = np.zeros(projection.shape[1])
-                    for x in row or ():
-                        v += projection[x["place"]] * x["weight"]
-                    norm = np.linalg.norm(v)
-                    out.append((v / norm if norm > 0 else v).tolist())
-                yield pa.record_batch([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["id", "embedding"])
-
-        rows = clean.select("id").join(self.weights(clean), "id", "left")
-        return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, embedding array<double>").withColumnRenamed("id", key)
-
-
-def _terms(grams: str) -> Column:
-    return terms.char_terms(F.col("text")) if grams == "char_wb" else terms.word_terms(F.col("text"))
-
-
-def _gram(rows: DataFrame, width: int) -> np.ndarray:
-    """The sum of outer products of sparse rows: each partition adds its own matrix, the driver adds those."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        total = np.zeros((width, width))
-        for batch in batches:
-            dense = np.zeros((len(batch), width))
-            for i, row in enumerate(batch.column(0).to_pylist()):
-                for x in row:
-                    dense[i, x["place"]] = x["weight"]
-            total += dense.T @ dense
-        at = np.argwhere(np.triu(total))
-        yield pa.record_batch([pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(total[at[:, 0], at[:, 1]])], names=["i", "j", "v"])
-
-    out = np.zeros((width, width))
-    sums = rows.select("row").mapInArrow(run, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
-    for batch in sums.toArrow().to_batches():  # at most features**2 / 2 numbers
-        i, j, v = (c.to_numpy() for c in batch.columns)
-        out[i, j] = v
-    return out + np.triu(out, 1).T
-
-
-def _kmeans(points: DataFrame, k: int) -> DataFrame:
-    """The best of RESTARTS runs by cost: points with their label."""
-    models = [KMeans(k=k, seed=SEED + i, featuresCol="__v", predictionCol="label").fit(points) for i in range(RESTARTS)]
-    return min(models, key=lambda m: m.summary.trainingCost).transform(points)
 
+def cluster_groups(vectors: DataFrame, group: F.Column, key: str = "member_id", name: str = "group") -> tuple[DataFrame, dict[str, clusters.Choice]]:
+    """The same for every group of vectors, all in the same passes: (group, key, embedding, cluster_id), and what was chosen for each."""
+    rows, names, n = clusters.prepared(vectors, group, key)
+    chosen = clusters.by_silhouette(rows, n)
+    found = _kept(clusters.labelled(rows, chosen), key, names, n, name)
+    alone = clusters.Choice(1, -1.0, [], [])  # type: ignore[arg-type]
+    return found, {names[g]: chosen.get(g, alone) for g in n}
 
-def cluster(vectors: DataFrame, key: str = "member_id") -> tuple[DataFrame, int]:
-    """(key, embedding, cluster_id, k): k by the best cosine silhouette over the adaptive range, the least k on ties.
 
-    Clusters under the least size are dropped; fewer members than that are one cluster.
-    """
-    n = vectors.count()
-    least = min_cluster_size(n)
-    if n < least:
-        return vectors.withColumn("cluster_id", F.lit(0)), 1
-    points = vectors.withColumn("__v", array_to_vector(F.col("embedding").cast("array<double>"))).persist()  # read by every model
-    low, high = adaptive_k_range(n)
-    judge = ClusteringEvaluator(featuresCol="__v", predictionCol="label", metricName="silhouette", distanceMeasure="cosine")
-    best, best_k, best_score = None, low, -2.0
-    for k in range(low, high + 1):
-        found = _kmeans(points, k)
-        if found.select("label").distinct().count() < 2:
-            continue
-        score = judge.evaluate(found)
-        if score > best_score:
-            best, best_k, best_score = found, k, score
-    found = _kmeans(points, low) if best is None else best
-    kept = found.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("label")
-    return found.join(kept, "label", "left_semi").select(key, "embedding", F.col("label").alias("cluster_id")), best_k
-
-
-def null_clusters(vectors: DataFrame, key: str = "member_id") -> DataFrame:
-    """Groups of control reviews: k by the greatest mean size of clusters that are large enough, else the least k; all as one if none is."""
-    n = vectors.count()
-    least = min_cluster_size(n)
-    if n < least:
-        return vectors.withColumn("cluster_id", F.lit(0))
-    points = vectors.withColumn("__v", array_to_vector(F.col("embedding").cast("array<double>"))).persist()  # read by every model
-    low, high = adaptive_k_range(n)
-    best, best_score = None, -1.0
-    for k in range(low, high + 1):
-        found = _kmeans(points, k)
-        sizes = [r["n"] for r in found.groupBy("label").agg(F.count("*").alias("n")).collect()]  # k rows
-        if len(sizes) < 2 or max(sizes) < least:
-            continue
-        score = float(np.mean([s for s in sizes if s >= least]))
-        if score > best_score:
-            best, best_score = found, score
-    found = _kmeans(points, low) if best is None else best
-    kept = found.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("label")
-    if not kept.limit(1).count():
-        return vectors.withColumn("cluster_id", F.lit(0))
-    return found.join(kept, "label", "left_semi").select(key, "embedding", F.col("label").alias("cluster_id"))
+def null_clusters(vectors: DataFrame, group: F.Column | None = None, key: str = "member_id", name: str = "package") -> DataFrame:
+    """(name, key, embedding, cluster_id) of control reviews, all packages in the same passes: k by the greatest mean size of clusters that are large enough, else the least k; a package without one is whole."""
+    rows, names, n = clusters.prepared(vectors, F.lit("all") if group is None else group, key)
+    chosen = clusters.by_mean_size(rows, n)
+    least = {g: min_cluster_size(m) for g, m in n.items()}
+    whole = [g for g, m in n.items() if g not in chosen or not any(s >= least[g] for s in chosen[g].sizes)]
+    found = clusters.labelled(rows, {g: c for g, c in chosen.items() if g not in whole})
+    return _kept(found, key, names, n, name)
 
 
 def control_reviews(reviews: DataFrame, packages: tuple[str, ...] = CONTROLS) -> DataFrame:
@@ -177,32 +70,115 @@ def control_reviews(reviews: DataFrame, packages: tuple[str, ...] = CONTROLS) ->
     return reviews.where(F.col("package").isin(*packages)).where(need_bearing(F.col("review_text"), F.col("rating")))
 
 
-def embed_and_cluster(reviews: DataFrame, roadmap: DataFrame, features: int = 1_000) -> tuple[Space, DataFrame, int]:
-    """The space of reviews and roadmap texts together, and the clustered reviews alone, with their vectors."""
-    corpus = reviews.select(F.concat(F.lit("r"), F.col("member_id").cast("string")).alias("id"), F.col("review_text").alias("t")).unionByName(roadmap.select(F.concat(F.lit("i"), F.col("item_id").cast("string")).alias("id"), F.col("text").alias("t")))
-    space = Space.fit(corpus, "id", "t", features=features)
-    found, k = cluster(space.transform(reviews, "member_id", "review_text"))
-    return space, found, k
+def _corpus(reviews: DataFrame, roadmap: DataFrame) -> DataFrame:
+    said = reviews.select(F.concat(F.lit("r"), F.col("member_id").cast("string")).alias("id"), F.col("review_text").alias("t"))
+    return said.unionByName(roadmap.select(F.concat(F.lit("i"), F.col("item_id").cast("string")).alias("id"), F.col("text").alias("t")))
+
+
+def embed_and_cluster(reviews: DataFrame, roadmap: DataFrame, features: int | None = None, grams: str = "char_wb") -> tuple[Space, DataFrame, clusters.Choice]:
+    """The space of reviews (member_id, review_text) and roadmap texts (item_id, text) together, the clustered reviews alone with their vectors, and the choice of k."""
+    space = Space.fit(_corpus(reviews, roadmap), "id", "t", grams, features)
+    found, chosen = cluster_groups(space.transform(reviews, "member_id", "review_text"), F.lit("all"))
+    return space, found.drop("group"), chosen.get("all", clusters.Choice(0, -1.0, [], []))  # type: ignore[arg-type]
+
+
+def null_scores(groups: DataFrame, items: DataFrame) -> DataFrame:
+    """(package, cluster_id, score): the mean similarity of those who voted for each control cluster's item, whatever their share; 0 without items."""
+    keyed = groups.withColumn("cluster_id", F.struct("package", "cluster_id"))
+    votes = matching.plurality(matching.top1(keyed, items)).select("cluster_id", "score")
+    every = keyed.select("cluster_id").distinct().join(votes, "cluster_id", "left")
+    return every.select("cluster_id.package", "cluster_id.cluster_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def matching_space(roadmap: DataFrame, controls: DataFrame, percentile: float = 0.95, floor: float = 0.16, features: int = 1_000) -> tuple[Space, DataFrame, float]:
-    """The space of a roadmap and control reviews, the roadmap's vectors, and the score that controls seldom reach."""
-    corpus = controls.select(F.concat(F.lit("r"), F.col("member_id").cast("string")).alias("id"), F.col("review_text").alias("t")).unionByName(roadmap.select(F.concat(F.lit("i"), F.col("item_id").cast("string")).alias("id"), F.col("text").alias("t")))
-    space = Space.fit(corpus, "id", "t", features=features)
-    items = space.transform(roadmap, "item_id", "text")
-    scores = None
-    for (package,) in controls.select("package").distinct().orderBy("package").collect():  # the control packages
-        groups = null_clusters(space.transform(controls.where(F.col("package") == package), "member_id", "review_text"))
-        part = matching.plurality(matching.top1(groups, items)).select("score")
-        scores = part if scores is None else scores.union(part)
-    threshold = floor if scores is None else matching.null_threshold(scores, percentile, floor)
-    return space, items, threshold
+@dataclass
+class MatchingSpace:
+    """A lexical space, the roadmap's vectors in it, the control clusters' scores and the threshold that they set."""
+
+    space: Space
+    items: DataFrame
+    scores: DataFrame
+    threshold: float
+    percentile: float
+    roadmap_hash: str
+    fitted: bool
+
+    def match(self, members: DataFrame, text: str = "review_text") -> DataFrame:
+        """The vote of clusters (member_id, cluster_id, text) with `accepted` by agreement and `fires` by the threshold."""
+        vectors = settled(self.space.transform(members, "member_id", text).join(members.select("member_id", "cluster_id"), "member_id"))
+        return matching.plurality(matching.top1(vectors, self.items)).withColumn("fires", F.col("accepted") & (F.col("score") >= self.threshold))
+
+
+def roadmap_hash(roadmap: DataFrame) -> str:
+    """16 hex digits that change with any text of the roadmap, in order of its items."""
+    text = F.trim(F.coalesce("text", F.lit("")))
+    one = roadmap.where(text != "").select(F.struct("item_id", F.sha1("text")).alias("s"))
+    found = one.agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["col2"]), "").alias("all")).select(F.substring(F.sha1("all"), 1, 16)).first()  # 40 characters an item of one roadmap
+    return found[0]
+
+
+def matching_space(roadmap: DataFrame, controls: DataFrame, percentile: float = 0.95, floor: float = 0.16, features: int | None = None, root: str | None = None) -> MatchingSpace:
+    """The space of a roadmap (item_id, text) and control reviews (package, member_id, review_text), and the score that controls seldom reach.
+
+    With a root folder it is kept under the roadmap's hash and read again by later jobs, unless the
+    percentile differs, a table is missing or their checksums do not match; then it is fitted anew.
+    """
+    spark = roadmap.sparkSession
+    texts = roadmap.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    key = roadmap_hash(roadmap)
+    if root is not None and (kept := _load(spark, f"{root.rstrip('/')}/{key}", percentile, key)) is not None:
+        return kept
+    space = Space.fit(_corpus(controls, texts), "id", "t", features=features)
+    items = settled(space.transform(texts, "item_id", "text"))
+    vectors = space.transform(controls, "member_id", "review_text").join(controls.select("member_id", "package"), "member_id")
+    scores = settled(null_scores(settled(null_clusters(vectors, F.col("package"))), items))
+    threshold = matching.exact_percentile(scores, "score", percentile)
+    made = MatchingSpace(space, items, scores, floor if threshold is None else threshold, percentile, key, True)
+    if root is None:
+        return made
+    _save(made, f"{root.rstrip('/')}/{key}")
+    kept = _load(spark, f"{root.rstrip('/')}/{key}", percentile, key)
+    return made if kept is None else MatchingSpace(**{**kept.__dict__, "fitted": True})
+
+
+_TABLES = ("terms", "slices", "items", "scores")
+
+
+def _digest(df: DataFrame) -> str:
+    """Row count and a sum of row hashes: one pass, whatever the order, and no row on the driver."""
+    return "-".join(str(x) for x in df.agg(F.count("*"), F.sum(F.xxhash64(*[F.col(c) if t != "array<double>" else F.to_json(c) for c, t in sorted(df.dtypes)]).cast("decimal(20,0)"))).first())
+
+
+def _save(made: MatchingSpace, path: str) -> None:
+    """Four tables in a folder of their own and, last, the description that names it: readers of an older version keep theirs, a job lost between them changes nothing."""
+    spark = made.items.sparkSession
+    tables = dict(zip(_TABLES, (made.space.terms, made.space.slices, made.items, made.scores), strict=True))
+    version, digests = uuid.uuid4().hex, {}
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{version}/{name}")
+        digests[name] = _digest(spark.read.parquet(f"{path}/{version}/{name}"))
+    meta = {"method": METHOD, "version": version, "percentile": made.percentile, "threshold": made.threshold, "roadmap_hash": made.roadmap_hash, "features": made.space.features, "components": made.space.components, "digests": digests}
+    sinks.swap(spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "meta string").coalesce(1), f"{path}/meta")
+
+
+def _load(spark: SparkSession, path: str, percentile: float, key: str) -> MatchingSpace | None:
+    if not sinks.exists(spark, f"{path}/meta"):
+        return None
+    meta: dict[str, Any] = json.loads(spark.read.parquet(f"{path}/meta").first()[0])
+    if (meta.get("method"), meta.get("percentile"), meta.get("roadmap_hash")) != (METHOD, percentile, key):
+        return None
+    folder = f"{path}/{meta['version']}"
+    if not all(sinks.exists(spark, f"{folder}/{name}/_SUCCESS") for name in _TABLES):
+        return None
+    tables = {name: spark.read.parquet(f"{folder}/{name}") for name in _TABLES}
+    if {name: _digest(df) for name, df in tables.items()} != meta["digests"]:
+        return None
+    space = Space(tables["terms"], tables["slices"], meta["features"], meta["components"])
+    return MatchingSpace(space, tables["items"], tables["scores"], meta["threshold"], percentile, key, False)
 
 
 def describe(space: Space, threshold: float) -> dict[str, Any]:
-    return {"features": len(space.columns), "components": int(space.projection.shape[1]), "threshold": threshold}
+    return {"features": space.features, "components": space.components, "threshold": threshold}
 
 
 def as_unit(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return vectors.withColumn(column, unit(F.col(column)))
-

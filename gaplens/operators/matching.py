@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import bisect
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -11,59 +12,100 @@ from pyspark.sql import functions as F
 
 from gaplens.functions.text import dot, unit
 
-#: Items of a block as a matrix take about this many bytes; members are held against it ROWS at a time.
+#: A block of items and a chunk of members take about this many bytes as a matrix; ROWS members are held against a block at a time.
 BLOCK_BYTES = 16 << 20
 ROWS = 4096
 #: A range of so many values is read whole by an exact percentile.
 PERCENTILE_ROWS = 100_000
 
 
-def _nearest(ids: np.ndarray, matrix: np.ndarray, k: int):
-    """Rows (member_id, cluster_id, embedding) to their k nearest of the items; equal similarities (to 12 places) go to the least id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(batch.column(2).is_valid())
-            if not len(batch) or not len(ids):
-                continue
-            vectors = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
-            for first in range(0, len(batch), ROWS):
-                part = batch.slice(first, ROWS)
-                sims = vectors[first : first + ROWS] @ matrix.T
-                keys = np.round(sims, 12)
-                top = min(k, len(ids))
-                at = np.argsort(-keys, axis=1, kind="stable")[:, :top] if top > 1 else keys.argmax(1)[:, None]
-                size = at.shape[1]
-                yield pa.record_batch(
-                    [part.column(0).take(pa.array(np.repeat(np.arange(len(part)), size))), part.column(1).take(pa.array(np.repeat(np.arange(len(part)), size))), pa.array(ids[at].ravel()), pa.array(np.take_along_axis(sims, at, 1).ravel())],
-                    names=["member_id", "cluster_id", "item_id", "sim"],
-                )
+def _vectors(table: pa.Table, column: str = "embedding") -> np.ndarray:
+    return table[column].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(table), -1)
+
+
+def met(members: DataFrame, items: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Rows that `run` makes of every chunk of members (member_id, embedding, ...) and block of items (item_id, embedding): a nested loop of blocks.
+
+    Both are dealt by hash, members once for each block and items once for each chunk; a task holds one of each, sorted by nothing.
+    """
+    given = items.where("embedding is not null").select("item_id", "embedding")
+    asked = members.where("embedding is not null")
+    n, width = given.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    m = asked.count()
+    count = lambda rows: max(1, -(-rows * 8 * width // BLOCK_BYTES))
+    spread = min(members.sparkSession.sparkContext.defaultParallelism, -(-m // ROWS))
+    blocks, chunks = count(n), max(count(m), spread, 1)
+    numbers = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    left = asked.withColumn("__chunk", F.pmod(F.xxhash64("member_id"), F.lit(chunks)).cast("int")).withColumn("__block", numbers(blocks))
+    right = given.withColumn("__block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")).withColumn("__chunk", numbers(chunks))
+    key = ("__block", "__chunk")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, schema)
+
+
+def _nearest(k: int):
+    """A chunk's k nearest items of a block; equal similarities (to 12 places) go to the least id."""
+
+    def run(members: pa.Table, items: pa.Table) -> pa.Table:
+        items = items.sort_by("item_id")
+        top = min(k, len(items))
+        parts = []
+        matrix = _vectors(items) if len(items) else None
+        for first in range(0, len(members) if top else 0, ROWS):
+            part = members.slice(first, ROWS)
+            sims = _vectors(part) @ matrix.T
+            keys = np.round(sims, 12)
+            at = np.argsort(-keys, axis=1, kind="stable")[:, :top] if top > 1 else keys.argmax(1)[:, None]
+            rows = pa.array(np.repeat(np.arange(len(part)), top))
+            parts.append(pa.table([part["member_id"].take(rows), part["cluster_id"].take(rows), items["item_id"].take(pa.array(at.ravel())), pa.array(np.take_along_axis(sims, at, 1).ravel())], names=["member_id", "cluster_id", "item_id", "sim"]))
+        if parts:
+            return pa.concat_tables(parts)
+        return pa.table([members["member_id"].slice(0, 0), members["cluster_id"].slice(0, 0), items["item_id"].slice(0, 0), pa.array([], pa.float64())], names=["member_id", "cluster_id", "item_id", "sim"])
 
     return run
 
 
 def nearest(members: DataFrame, items: DataFrame, k: int = 1) -> DataFrame:
-    """(member_id, cluster_id, item_id, sim, place): the k items nearest to each member, by matrix products over blocks of items.
+    """(member_id, cluster_id, item_id, sim, place): the k items nearest to each member, by matrix products of blocks.
 
-    A block holds as many items as fit BLOCK_BYTES; with several, each gives its k best and one aggregation by member keeps the best of those.
+    Each block of items gives its k best; one aggregation by member keeps the best of those.
     """
-    n, width = items.agg(F.count("embedding"), F.max(F.size("embedding"))).first()
-    blocks = max(1, -(-n * 8 * (width or 1) // BLOCK_BYTES))
     types = dict(members.dtypes)
     schema = f"member_id {types['member_id']}, cluster_id {types['cluster_id']}, item_id {dict(items.dtypes)['item_id']}, sim double"
-    found = None
-    for b in range(blocks):
-        block = items.where(F.col("embedding").isNotNull()).where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", "embedding").toArrow().sort_by("item_id")  # BLOCK_BYTES or so
-        vectors = block["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(block), -1) if len(block) else np.zeros((0, 1))
-        part = members.select("member_id", "cluster_id", "embedding").mapInArrow(_nearest(block["item_id"].to_numpy(), vectors, k), schema)
-        found = part if found is None else found.union(part)
+    found = met(members.select("member_id", "cluster_id", "embedding"), items, _nearest(k), schema)
     best = F.struct((-F.round("sim", 12)).alias("s"), "item_id", "sim")
-    if blocks == 1 and k == 1:
-        return found.withColumn("place", F.lit(1))
+    if k == 1:
+        return found.groupBy("member_id", "cluster_id").agg(F.min(best).alias("b")).select("member_id", "cluster_id", "b.item_id", "b.sim", F.lit(1).alias("place"))
     ranked = found.groupBy("member_id", "cluster_id").agg(F.slice(F.array_sort(F.collect_list(best)), 1, k).alias("b"))  # k of each block
     return ranked.select("member_id", "cluster_id", F.posexplode("b").alias("at", "b")).select("member_id", "cluster_id", "b.item_id", "b.sim", (F.col("at") + 1).alias("place"))
 
 
+def _beaten(members: pa.Table, items: pa.Table) -> pa.Table:
+    """How many items of a block are nearer than each member's expected one, or as near with an id that is not greater."""
+    items = items.sort_by("item_id")
+    counts = np.zeros(len(members), np.int64)
+    ids = {x: i for i, x in enumerate(items["item_id"].to_pylist())}
+    order = items["item_id"].to_pylist()
+    for first in range(0, len(members) if len(items) else 0, ROWS):
+        part = members.slice(first, ROWS)
+        sims = np.round(_vectors(part) @ _vectors(items).T, 12)
+        aim = part["aim"].to_numpy()[:, None]
+        upto = np.array([ids[x] + 1 if x in ids else bisect.bisect_right(order, x) for x in part["expected_id"].to_pylist()])
+        counts[first : first + ROWS] = (sims > aim).sum(1) + ((sims == aim) & (np.arange(len(items))[None, :] < upto[:, None])).sum(1)
+    return pa.table([members["member_id"], members["expected_id"], pa.array(counts)], names=["member_id", "expected_id", "n"])
+
+
+def expected_rank(members: DataFrame, items: DataFrame, expected: DataFrame) -> DataFrame:
+    """(member_id, expected_id, place): how many items are nearer to a probe than the expected one, or as near with a lesser id, and one.
+
+    A block of items answers with one count a probe, so no pair of a probe and an item leaves a task.
+    """
+    own = members.join(expected, "member_id").join(items.select(F.col("item_id").alias("expected_id"), F.col("embedding").alias("__e")), "expected_id")
+    aim = own.select("member_id", "expected_id", F.col("embedding").cast("array<double>").alias("embedding"), F.round(dot(F.col("embedding"), F.col("__e")), 12).alias("aim"))
+    types = dict(aim.dtypes)
+    counts = met(aim, items, _beaten, f"member_id {types['member_id']}, expected_id {types['expected_id']}, n long")
+    return counts.groupBy("member_id", "expected_id").agg(F.sum("n").alias("place"))
+
+
 def top1(members: DataFrame, items: DataFrame) -> DataFrame:
     """The nearest item of each member, the least id on ties."""
     return nearest(members, items).drop("place")
@@ -168,6 +210,6 @@ def fire_rate(votes: DataFrame, group: Column, threshold: float) -> DataFrame:
 
 
 def separation(rates: DataFrame, real: str = "real") -> DataFrame:
-    """The real group's mean score less that of all control groups together."""
-    mean = lambda wanted: F.sum(F.when(wanted, F.col("mean_top1") * F.col("clusters"))) / F.sum(F.when(wanted, F.col("clusters")))
+    """The real group's fire rate less the mean of the control groups' rates."""
+    mean = lambda wanted: F.avg(F.when(wanted, F.col("fired") / F.col("clusters")))
     return rates.agg(F.round(mean(F.col("kind") == real) - mean(F.col("kind") != real), 6).alias("separation"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaplens.functions import text as tx
 from gaplens.operators.records import CLOSE_DATE, is_junk, mentions_product, product_tokens
@@ -44,6 +46,40 @@ def classified(title: Column, snippet: Column, page: Column) -> Column:
     )
 
 
+_SECTION = re.compile(r"<(/?)(article|main|section)\b[^>]*>", re.IGNORECASE)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def sections(html: pd.Series) -> pd.Series:
+    """What the article, main and section elements of each page hold, by where they begin, inner ones as well as outer ones; an open one ends with the page."""
+
+    def cut(page: str | None) -> list[str]:
+        found: list[list[int]] = []
+        open_: list[tuple[str, int]] = []
+        for tag in _SECTION.finditer(page or ""):
+            name = tag[2].lower()
+            if not tag[1]:
+                open_.append((name, len(found)))
+                found.append([tag.end(), len(page)])
+            elif any(n == name for n, _ in open_):  # it ends the nearest of its name and what was left open within
+                while open_:
+                    n, at = open_.pop()
+                    found[at][1] = tag.start()
+                    if n == name:
+                        break
+        return [page[a:b] for a, b in found]
+
+    return html.map(cut)
+
+
+def page_source(pages: DataFrame, name: str, package: str = "", repo: str | None = None, domains: tuple[str, ...] = ()) -> DataFrame:
+    """(source_url, text, title) of the pages (url, html) that may speak for a product and do: an allowed host, a mention, and sentences that are about it."""
+    title = F.trim(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1))
+    allowed = pages.where(tx.host_allowed(F.col("url"), name, repo, domains)).select("url", "html", title.alias("title"))
+    found = allowed.select(F.col("url").alias("source_url"), relevant_text(F.col("html"), F.col("title"), F.col("url"), name, package).alias("text"), "title")
+    return found.where("text is not null")
+
+
 def relevant_text(html: Column, title: Column, url: Column, name: str, package: str = "") -> Column:
     """What a page says of a product, 6000 characters at most; null if nothing.
 
@@ -54,11 +90,11 @@ def relevant_text(html: Column, title: Column, url: Column, name: str, package:
     says = lambda text: mentions_product(F.concat_ws(" ", title, text, url), name, package)
     bare = F.regexp_replace(html, r"(?is)<(script|style|noscript|svg)[^>]*>.*?</(script|style|noscript|svg)>", " ")
     plain = lambda part: F.trim(F.regexp_replace(F.regexp_replace(part, r"(?s)<[^>]*>", " "), r"[ \t\n\r\f\x0B]+", " "))
-    parts = F.regexp_extract_all(bare, F.lit(r"(?is)<(?:article|main|section)\b[^>]*>(.*?)</(?:article|main|section)\s*>"), F.lit(1))
-    sections = F.transform(F.when(F.size(parts) > 0, parts).otherwise(F.array(bare)), plain)
+    parts = sections(bare)
+    texts = F.transform(F.when(F.size(parts) > 0, parts).otherwise(F.array(bare)), plain)
     none = F.array().cast("array<string>")
     of_section = lambda s: F.when((s != "") & says(F.substring(s, 1, 2000)), F.filter(tx.sentences(s), says)).otherwise(none)
-    kept = F.flatten(F.transform(sections, of_section))
+    kept = F.flatten(F.transform(texts, of_section))
     whole = F.substring(plain(bare), 1, 4000)
     named = F.lower(title).contains(name.lower())
     if package:
@@ -140,9 +176,12 @@ def web_roadmap(hits: DataFrame, key: str, name: str, package: str = "", pages:
     """A roadmap for each key from its search hits (ord, url, title, body, page): relevant addresses once, the first `pages` of them
     classified, lists of `most` at most."""
     relevant = hits.where(F.trim("url") != "").where(~tx.host_denied(F.col("url"))).where(mentions_product(F.concat_ws(" ", "title", "body", "url"), name, package, strict=True))
-    first = relevant.groupBy(key, F.trim("url").alias("url")).agg(F.min_by(F.struct("ord", "title", "body", "page"), F.col("ord")).alias("h"))
-    listed = first.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("h.ord", "url", "h.title", "h.body", "h.page"))), 1, pages).alias("hits"))  # a product's search hits
-    rows = listed.select(key, F.posexplode("hits").alias("place", "h"))
+    first = relevant.groupBy(key, F.trim("url").alias("__url")).agg(F.min("ord").alias("ord"))  # neither texts nor pages travel to be ranked
+    place = F.row_number().over(Window.partitionBy(key).orderBy("ord", "__url"))
+    chosen = first.withColumn("__place", place).where(F.col("__place") <= pages)
+    hit = F.struct("ord", F.trim("url").alias("url"), "title", "body", "page").alias("h")
+    rows = relevant.withColumn("__url", F.trim("url")).join(chosen, [key, "ord", "__url"])
+    rows = rows.select(key, (F.col("__place") - 1).alias("place"), hit).dropDuplicates([key, "place"])
     page = F.coalesce("h.page", F.lit(""))
     rows = rows.where((page == "") | mentions_product(F.concat_ws(" ", "h.title", F.substring(page, 1, 1500), "h.url"), name, package, strict=True))
     rows = rows.withColumn("c", classified(F.col("h.title"), F.col("h.body"), page))

@@ -101,7 +101,7 @@ def catalog(rows: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def rebuilt_catalog(inventory: DataFrame, known: DataFrame) -> DataFrame:
-    """Catalog rows from an inventory of texts: typed, named, with known repositories; `place` orders them by reviews."""
+    """Catalog rows from an inventory of texts: typed, named, with known repositories."""
     rows = known_repos(inventory, known)
     name = F.coalesce(_blank(F.col("app_name")), tx.spaced_name(F.col("package_name")))
     out = rows.select(
@@ -143,6 +143,11 @@ def config_hash(settings: dict[str, Any]) -> str:
     return sha256(json.dumps(settings, sort_keys=True).encode()).hexdigest()[:24]
 
 
+def config_digest(settings: Column, names: list[str]) -> Column:
+    """24 hex digits of a struct of settings, whatever the order of its fields: they are written by name."""
+    return F.substring(F.sha2(F.to_json(F.struct(*[settings[n].alias(n) for n in sorted(names)])), 256), 1, 24)
+
+
 def merged_metadata(old: Column, new: Column) -> Column:
     """Two maps as one; the incoming value wins."""
     return F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k)), new)

@@ -18,8 +18,8 @@ def char_terms(text: Column, least: int = 3, most: int = 5) -> Column:
         starts = F.when(F.length(word) >= n, F.sequence(F.lit(1), F.length(word) - (n - 1))).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: word.substr(i, F.lit(n)))
 
-    padded = lambda w: F.concat(F.lit(" "), w, F.lit(" "))
-    return F.flatten(F.transform(tokens, lambda w: F.concat(*[grams(padded(w), n) for n in range(least, most + 1)])))
+    padded = F.transform(tokens, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))  # once a word, not once a gram
+    return F.flatten(F.transform(padded, lambda w: F.concat(*[grams(w, n) for n in range(least, most + 1)])))
 
 
 # Words that a keyword fallback leaves out; a longer list of common English words for terms, which is a parameter.

@@ -165,7 +165,7 @@ def agg16_fire_rate(spark, d):
     return _rates(spark, d)
 
 
-@query(f"WITH {_RATES} SELECT round(max(mean_top1) FILTER (kind = 'real') - max(mean_top1) FILTER (kind = 'control'), 6) AS separation FROM rates")
+@query(f"WITH {_RATES} SELECT round(avg(fired / clusters) FILTER (kind = 'real') - avg(fired / clusters) FILTER (kind <> 'real'), 6) AS separation FROM rates")
 def agg16_separation(spark, d):
     return matching.separation(_rates(spark, d))
 
@@ -189,13 +189,13 @@ def agg17_calibration(spark, d):
 def joi17_expected_rank(spark, d):
     first = table(spark, d, "embeddings").where("vec_id % 10 = 0").groupBy(F.col("label").alias("cluster_id")).agg(F.min("vec_id").alias("expected_id"))
     people = members(spark, d)
-    return analysis.expected_rank(people, items(spark, d), people.join(first, "cluster_id").select("member_id", "expected_id"))
+    return matching.expected_rank(people, items(spark, d), people.join(first, "cluster_id").select("member_id", "expected_id"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE vec_id % 10 <> 0 AND label < 5)")
 def joi02_cluster_members(spark, d):
-    ids = members(spark, d).where("cluster_id < 5").groupBy("cluster_id").agg(F.collect_list(F.col("member_id").cast("string")).alias("ids"))  # a cluster's members
-    return analysis.members_of(table(spark, d, "documents").select("doc_id"), F.col("doc_id"), ids).select("doc_id")
+    people = plain_members(spark, d).where("cluster_id < 5")
+    return analysis.members_of(table(spark, d, "documents").select("doc_id"), F.col("doc_id"), people).select("doc_id")
 
 
 @query("SELECT vec_id AS member_id, len(embedding)::INTEGER AS dims, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 10 <> 0")
@@ -207,7 +207,7 @@ def joi03_member_vectors(spark, d):
 
 @query(f"WITH {REVIEWS}, f AS (SELECT label AS cluster_id, vec_id FROM embeddings WHERE vec_id % 10 <> 0 QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 12) SELECT cluster_id, ord AS review_id, substring(review_text, 1, 400) AS sample FROM f JOIN reviews ON ord = vec_id")
 def joi05_sample_lookup(spark, d):
-    cited = members(spark, d).groupBy("cluster_id").agg(F.slice(F.array_sort(F.collect_list("member_id")), 1, 12).alias("ids"))  # a cluster's members
+    cited = analysis.first_members(plain_members(spark, d), "cluster_id", "member_id", 12)
     rows = cited.select("cluster_id", F.explode("ids").alias("ord")).join(reviews(spark, d), "ord")
     return rows.select("cluster_id", F.col("ord").alias("review_id"), F.substring("review_text", 1, 400).alias("sample"))
 
@@ -219,7 +219,7 @@ def dom07_evidence(spark, d):
 
 def _evidence(spark, d):
     people, plans = members(spark, d), items(spark, d)
-    cited = people.groupBy("cluster_id").agg(F.slice(F.array_sort(F.collect_list("member_id")), 1, 3).alias("ids"))  # a cluster's members
+    cited = analysis.first_members(people, "cluster_id", "member_id", 3)
     said = reviews(spark, d).select(F.col("ord").alias("review_id"), "review_text")
     source = F.when(F.col("item_id") % 20 == 0, "github").otherwise("web")
     matched = analysis.cluster_match(people, analysis.split_items(plans, end())[0]).join(plans.select("item_id", F.col("title").alias("text"), "url"), "item_id").withColumn("source", source)
@@ -276,7 +276,8 @@ def agg13_need_split(spark, d):
     return rv.need_split(rows, F.count_if("need_bearing"))
 
 
-@query("SELECT '2020-02-02' AS window_start, '2020-02-02' AS window_end, 0::BIGINT AS dated")
+@query("""WITH d AS (SELECT doc_id, DATE '2014-01-01' + (doc_id * 7 % 1500)::INTEGER AS day FROM documents), w AS (SELECT day, CASE WHEN doc_id % 3 = 0 THEN strftime(day, '%B %d %Y') WHEN doc_id % 11 = 0 THEN 'nan' ELSE strftime(day, '%Y-%m-%d') END AS written FROM d)
+SELECT coalesce(strftime(min(day), '%Y-%m-%d'), '2020-02-02') AS window_start, coalesce(strftime(max(day), '%Y-%m-%d'), '2020-02-02') AS window_end, count(day) AS dated FROM w WHERE written = 'never'""")
 def agg05_empty_window(spark, d):
     return rv.review_window(reviews(spark, d).where("created_at = 'never'"), F.lit("2020-02-02").cast("timestamp"))
 
@@ -311,3 +312,11 @@ def ui06_significant(spark, d):
     k = F.col("o_orderkey")
     v = F.when(k % 10 == 0, F.lit(0.0)).otherwise(F.col("o_totalprice") / F.pow(F.lit(10.0), (k % 7).cast("double")) * F.when(k % 2 == 0, 1).otherwise(-1))
     return table(spark, d, "orders").select("o_orderkey", tx.significant(v).alias("shown"))
+
+
+@query(f"""WITH {REVIEWS}, {GATED}, m AS (SELECT label AS cluster_id, vec_id FROM embeddings WHERE vec_id % 10 <> 0), n AS (SELECT ord, {NEED_SQL} AS need FROM gated)
+SELECT cluster_id, count(*) AS size, round(avg(CASE WHEN need THEN 1.0::DOUBLE ELSE 0 END), 6) AS need_share, array_to_string(list(vec_id ORDER BY vec_id)[1:12], ',') AS ids FROM m LEFT JOIN n ON ord = vec_id GROUP BY cluster_id""")
+def agg01_cluster_payload(spark, d):
+    said = rv.rating_gate(reviews(spark, d)).select(F.col("ord").alias("member_id"), "review_text", "rating")
+    found = analysis.cluster_payload(plain_members(spark, d), said)
+    return found.withColumn("ids", F.array_join(F.transform("ids", lambda x: x.cast("string")), ","))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaplens.functions import text as tx
-from gaplens.operators import gaps, matching, records, terms
+from gaplens.operators import gaps, matching, records, store, terms
 from gaplens.operators import reviews as rv
 from gaplens.sources.tables import items, members, reviews, table
 
@@ -105,7 +105,7 @@ def jsn02_bounds(spark, d):
 
 @query
 def hsh03_config_hash(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.substring(F.sha2(F.to_json(F.struct("c_custkey", "c_mktsegment", "c_name")), 256), 1, 24).alias("hash"))
+    return table(spark, d, "customer").select("c_custkey", store.config_digest(F.struct("c_name", "c_custkey", "c_mktsegment"), ["c_name", "c_custkey", "c_mktsegment"]).alias("hash"))
 
 
 @query

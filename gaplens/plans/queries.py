@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gaplens.functions import text as tx
 from gaplens.operators import gaps, matching, tables
 from gaplens.operators import reviews as rv
-from gaplens.plans import analysis, registry, store, talk, web
+from gaplens.plans import analysis, models, registry, store, talk, web
 from gaplens.plans.catalog import CATALOG_QUERIES, WINDOW_END
 from gaplens.sources.tables import items, members, reviews, table
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaplens.functions import text as tx
-from gaplens.operators import chat, embedding, records, terms
+from gaplens.operators import analysis, chat, embedding, records, terms
 from gaplens.operators import reviews as rv
 from gaplens.plans.oracle import GATED, NEED_SQL, REVIEWS
 from gaplens.plans.registry import WS, query
@@ -90,11 +90,12 @@ def str12_evidence_pack(spark, d):
     return rows.select("o_orderkey", pack.alias("pack"))
 
 
-@query("SELECT source, concat_ws(chr(10), 'Extract the latent need (the unspoken goal) behind these reviews.', 'Roadmap mode: none', 'Preliminary verdict: UNVERIFIED', 'Cluster keywords: a, b', 'Closest roadmap item (or null): null', 'Reviews (with ids): ' || string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id), 'Return JSON: latent_need, verdict, confidence (0-100), one_sentence_summary, cited_review_ids (a subset of the given ids).') AS prompt FROM documents GROUP BY source")
+@query("SELECT source, concat_ws(chr(10), 'Extract the latent need (the unspoken goal) behind these reviews.', 'Roadmap mode: none', 'Preliminary verdict: UNVERIFIED', 'Cluster keywords: a, b', 'Closest roadmap item (or null): null', 'Reviews (with ids): ' || string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (r <= 12), 'Return JSON: latent_need, verdict, confidence (0-100), one_sentence_summary, cited_review_ids (a subset of the given ids).') AS prompt FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) GROUP BY source")
 def str13_extraction_prompt(spark, d):
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")  # a cluster's reviews
-    prompt = chat.extraction_prompt(F.col("ids"), F.lit(None).cast("string"), F.lit("UNVERIFIED"), "none", F.array(F.lit("a"), F.lit("b")))
-    return table(spark, d, "documents").groupBy("source").agg(ids.alias("ids")).select("source", prompt.alias("prompt"))
+    first = analysis.first_members(table(spark, d, "documents"), "source", "doc_id", 12)
+    ids = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
+    prompt = chat.extraction_prompt(ids, F.lit(None).cast("string"), F.lit("UNVERIFIED"), "none", F.array(F.lit("a"), F.lit("b")))
+    return first.select("source", prompt.alias("prompt"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 101)::DOUBLE ELSE round(0.6::DOUBLE * (o_orderkey % 101) + 0.4::DOUBLE * (o_custkey % 101), 2) END AS confidence FROM orders")
@@ -111,8 +112,8 @@ def win05_representative(spark, d):
 
 @query("SELECT source, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (r <= 12) AS twelve, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (r <= 3) AS three FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) GROUP BY source")
 def win07_first_of_group(spark, d):
-    ids = F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string"))  # a cluster's reviews
-    return table(spark, d, "documents").groupBy("source").agg(ids.alias("ids")).select("source", F.array_join(F.slice("ids", 1, 12), ",").alias("twelve"), F.array_join(F.slice("ids", 1, 3), ",").alias("three"))
+    ids = analysis.first_members(table(spark, d, "documents"), "source", "doc_id", 12).withColumn("ids", F.transform("ids", lambda x: x.cast("string")))
+    return ids.select("source", F.array_join("ids", ",").alias("twelve"), F.array_join(F.slice("ids", 1, 3), ",").alias("three"))
 
 
 _STOPS = (
@@ -163,25 +164,6 @@ def agg02_fallback_keywords(spark, d):
     return terms.fallback_keywords(table(spark, d, "documents"), "lang", "text")
 
 
-@query("SELECT n, lo, hi, least_size FROM (VALUES (5, 2, 2, 3), (8, 2, 2, 3), (39, 2, 9, 3), (40, 3, 10, 4), (79, 3, 14, 4), (80, 4, 14, 4), (90, 4, 14, 5), (5000, 4, 14, 5)) t(n, lo, hi, least_size)")
-def ml07_k_range(spark, d):
-    rows = [(n, *embedding.adaptive_k_range(n), embedding.min_cluster_size(n)) for n in (5, 8, 39, 40, 79, 80, 90, 5000)]
-    return spark.createDataFrame(rows, "n int, lo int, hi int, least_size int")
-
-
-@query()
-def ml04_svd(spark, d):
-    docs = table(spark, d, "benchmark")
-    space = embedding.Space.fit(docs, "item_id", "text")
-    return space.transform(docs, "item_id", "text").select("item_id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
-
-
-@query()
-def ml06_kmeans_select(spark, d):
-    found, k = embedding.cluster(members(spark, d).select("member_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding")))
-    return found.groupBy("cluster_id").agg(F.count("*").alias("n")).withColumn("k", F.lit(k))
-
-
 @query(f"WITH {REVIEWS}, {GATED} SELECT package, count(*) AS n FROM gated WHERE package IN ('src1', 'src2', 'src3') AND {NEED_SQL} GROUP BY package")
 def ml13_control_reviews(spark, d):
     return embedding.control_reviews(rv.rating_gate(reviews(spark, d)), ("src1", "src2", "src3")).groupBy("package").agg(F.count("*").alias("n"))

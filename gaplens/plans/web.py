@@ -44,9 +44,8 @@ def fil13_host_deny(spark, d):
     return links(spark, d).select("page_id", tx.host_denied(F.col("u")).alias("denied"))
 
 
-@query(
-    "SELECT page_id, page_id % 7 IN (0, 1, 3) AS junk FROM pages"
-)
+@query("""WITH u AS (SELECT page_id, lower(CASE page_id % 7 WHEN 0 THEN 'https://www.CleanTechnica.com/x' WHEN 1 THEN 'https://podcasts.apple.com/us/podcast/saas-1' WHEN 2 THEN 'https://podcasts.apple.com/de/podcast/saas' WHEN 3 THEN 'http://a.flying-phoenix.dev' ELSE url END) AS u FROM pages)
+SELECT page_id, coalesce(contains(u, 'cleantechnica.com') OR contains(u, 'cartelinsider.com') OR contains(u, 'thespinoff.co.nz') OR contains(u, 'flying-phoenix.dev') OR contains(u, 'podcasts.apple.com/us/podcast/saas'), false) AS junk FROM u""")
 def fil14_junk_hosts(spark, d):
     kind = F.col("page_id") % 7
     url = F.when(kind == 0, "https://www.CleanTechnica.com/x").when(kind == 1, "https://podcasts.apple.com/us/podcast/saas-1").when(kind == 2, "https://podcasts.apple.com/de/podcast/saas").when(kind == 3, "http://a.flying-phoenix.dev").otherwise(F.col("url"))

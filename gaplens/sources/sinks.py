@@ -26,6 +26,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """Addresses of a table's Parquet files, by name; the table itself if it is one file."""
+    target, fs = _path(spark, path)
+    if fs.getFileStatus(target).isFile():
+        return [path]
+    found, listing = [], fs.listFiles(target, True)
+    while listing.hasNext():
+        name = listing.next().getPath().toString()
+        if name.endswith(".parquet") and not name.rsplit("/", 1)[-1].startswith(("_", ".")):
+            found.append(name)
+    return sorted(found)
+
+
 def swap(df: DataFrame, path: str) -> None:
     """Replace a table by rows that may come from it: written beside it, then renamed, so a lost job leaves the old one.
 
@@ -144,6 +157,34 @@ def _checksum(terms: list[tuple[int, str, float]], projection: list[list[float]]
     return sha256(json.dumps([terms, [list(map(float, v)) for v in projection], threshold]).encode()).hexdigest()
 
 
+def write_calibration(ranks: DataFrame, stats: DataFrame, probes: DataFrame, items: DataFrame, path: str, mode: str = "char_wb", distractors: int = 12) -> None:
+    """The outcome of a calibration as one JSON document: the recommended space, its figures, the items that its probes find, some that they do not, and the probes.
+
+    A probe takes part if the space finds its item. Probes are a stated set, distractors the first few by id.
+    """
+    hit = ranks.where((F.col("mode") == mode) & (F.col("top1") == F.col("expected_id"))).select("probe_id", "expected_id")
+    shown = items.select("item_id", F.substring("text", 1, 800).alias("text"), *(["title"] if "title" in items.columns else [F.substring("text", 1, 120).alias("title")]))
+    matched = shown.join(hit.select(F.col("expected_id").alias("item_id")).distinct(), "item_id")
+    others = shown.join(matched.select("item_id"), "item_id", "left_anti").orderBy("item_id").limit(distractors)
+    listed = lambda df, *columns: F.sort_array(F.collect_list(F.struct(*columns)))
+    kept = matched.unionByName(others).agg(listed(matched, F.col("item_id").cast("string").alias("id"), "title", "text").alias("items"))
+    asked = probes.join(hit, "probe_id", "left").drop("expected_id") if "expected_id" not in probes.columns else probes.join(hit.select("probe_id", F.lit(True).alias("found")), "probe_id", "left")
+    of = lambda wanted, *columns: F.sort_array(F.array_compact(F.collect_list(F.when(wanted, F.struct(*columns)))))
+    said = asked.agg(
+        of(F.col("found"), F.col("probe_id").cast("string").alias("id"), "text", F.col("expected_id").cast("string").alias("expected_item_id")).alias("probes"),
+        of(F.col("expected_id").isNull(), F.col("probe_id").cast("string").alias("id"), "text").alias("negative_probes"),
+    )
+    own = F.col("mode") == mode
+    one = lambda c: F.max(F.when(own, F.col(c)))
+    notes = stats.agg(
+        F.max(F.when(F.col("recommended"), F.col("mode"))).alias("vectorizer_mode_recommended"),
+        *[F.max(F.when(F.col("mode") == m, F.col("hits"))).alias(f"{n}_correct") for m, n in (("char_wb", "char_wb"), ("union", "union"), ("word", "word"))],
+        one("threshold").alias("threshold_recommended"), one("margin").alias("margin_recommended"), one("min_true").alias("min_true_top1"), one("max_runner").alias("max_runner_up"), one("max_negative").alias("max_negative_top1"), one("overlap").alias("overlap_true_vs_negative"),
+    ).crossJoin(items.agg(F.count("*").alias("n_roadmap_items")))  # one row each
+    figures = F.struct("char_wb_correct", "union_correct", "word_correct", "min_true_top1", "max_runner_up", "max_negative_top1", "overlap_true_vs_negative", "n_roadmap_items")
+    notes.crossJoin(kept).crossJoin(said).select("vectorizer_mode_recommended", "threshold_recommended", "margin_recommended", figures.alias("calibration_notes"), "items", "probes", "negative_probes").coalesce(1).write.mode("overwrite").json(path)  # one row each
+
+
 def merge_into(spark: SparkSession, path: str, new: DataFrame, key: str) -> None:
     """Upsert by a natural key; the first write makes the table."""
     swap(upsert(spark.read.parquet(path), new, key) if exists(spark, path) else new, path)

@@ -116,27 +116,6 @@ def test_roadmap_resolution(given, want):
     assert pages.resolve(*given) == want
 
 
-def test_space_is_a_truncated_svd(spark):
-    texts = ["sync fails on the phone", "sync never works", "dark mode please", "please add a dark mode", "widgets are missing", "the widgets fail"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    space = embedding.Space.fit(docs, "id", "text", features=300)
-    rows = space.transform(docs, "id", "text").orderBy("id").collect()
-    found = np.array([r.embedding for r in rows])
-    assert np.allclose(np.linalg.norm(found, axis=1), 1) and found.shape[1] == min(256, len(texts) - 1)
-    weights = np.zeros((len(texts), len(space.columns)))
-    for r in space.weights(docs).collect():
-        for x in r.row:
-            weights[r.id, x.place] = x.weight
-    u, sv, _ = np.linalg.svd(weights, full_matrices=False)
-    want = (u * sv)[:, : found.shape[1]]
-    want /= np.linalg.norm(want, axis=1, keepdims=True)
-    assert np.allclose(want @ want.T, found @ found.T, atol=1e-6)
-    sims = found @ found.T
-    assert sims[0, 1] > sims[0, 2] and sims[2, 3] > sims[2, 4]
-    none = space.transform(spark.createDataFrame([(1, "zzzz"), (2, None)], "id long, text string"), "id", "text").collect()
-    assert all(not any(r.embedding) for r in none)
-
-
 def test_clusters_keep_their_least_size(spark):
     rng = np.random.default_rng(1)
     points = [(i, (np.eye(8)[i % 3] + rng.normal(scale=0.02, size=8)).tolist()) for i in range(30)]
