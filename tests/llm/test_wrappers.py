@@ -1,6 +1,9 @@
 """Wrappers decide the main text: hosts without article elements, furniture without class words, deep and wide pages."""
 
+import time
+
 import numpy as np
+import pytest
 
 from gaplens.llm import html_wrappers as hw
 from gaplens.llm.common import documents
@@ -28,12 +31,13 @@ def test_hosts_without_articles(spark):
     assert extracted(spark, rows) == want
 
 
-def test_constant_lines_inside_articles_go_but_copies_stay(spark):
+def test_constant_lines_inside_articles_stay(spark):
+    """An article's line is its own even if all pages of the host have it; until round 2 such lines were cut."""
     rows, want = [], {}
     for k in range(9):
         p = words(60)
-        rows.append((k, "http://a.example/", f"<body><article><h1>H {k}</h1><p>{p}</p><p>Read more on our front page.</p></article></body>"))
-        want[k] = f"H {k}\n{p}"
+        rows.append((k, "http://a.example/", f"<body><article><h1>H {k}</h1><p>{p}</p><h2>Conclusion</h2><blockquote>Shared words.</blockquote></article></body>"))
+        want[k] = f"H {k}\n{p}\nConclusion\nShared words."
     same = words(80)
     for k in range(20, 26):  # near copies of one article are no template
         rows.append((k, "http://b.example/", f"<body><article><p>{same}</p><p>Edition {k}</p></article></body>"))
@@ -89,3 +93,35 @@ def test_share_of_pages_the_wrapper_changes(spark):
     by_host = {r.page_id: r.text for r in hw.extract_main(pages).collect()}
     alone = {r.page_id: hw.main_text(r.html) for r in pages.collect()}
     assert sum(by_host[i] != alone[i] for i in alone) == 0
+
+
+def test_lists_of_many_keys_keep_their_text(spark):
+    rows, want = [], {}
+    for k in range(6):
+        lines = [words(14) for _ in range(60)]
+        rows.append((k, "http://k.example/", "<body><div class=text>" + "".join(f"<p class=c{chr(97 + j // 26)}{chr(97 + j % 26)}>{x}</p>" for j, x in enumerate(lines)) + "<div class=box><a href=1>One link</a> <a href=2>Two links</a></div></div></body>"))
+        want[k] = lines
+    got = extracted(spark, rows)
+    assert all(got[k].split("\n")[:60] == want[k] for k in want)
+
+
+def test_joined_class_words_and_headers_of_articles():
+    page = (
+        '<article><div class="header"><h1>Title</h1></div><p>a</p><section class="side effects"><p>fx</p></section><div class="comment-list"><p>c</p></div>'
+        '<div class="social-share">s</div><div class="cookie-banner">k</div><p class="ad">ad</p></article>'
+    )
+    assert hw.main_text(page) == "Title\na\nfx"
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<b ", "<a '\"", "<p x='", "<!-", "</a ", '<a b="c>'])
+@pytest.mark.parametrize("tail", ["", ">", '">'])
+def test_hostile_pages_take_linear_time(piece, tail):
+    start = time.process_time()
+    hw.main_text(piece * (1_000_000 // len(piece)) + tail)
+    assert time.process_time() - start < 5
+
+
+def test_open_scripts_and_comments_hide_the_rest():
+    assert hw.main_text("<article><p>x</p></article><script>var a=1;") == "x"
+    assert hw.main_text("<p>x</p> tail <!-- c") == "x\ntail"
+    assert hw.main_text("<p>x</p> tail < 3") == "x\ntail < 3"
