@@ -26,13 +26,13 @@ SEED = 42
 FEATURES = {"char_wb": (("char", 40_000),), "word": (("word", 20_000),), "union": (("word", 12_000), ("char", 30_000))}
 #: Directions tried beyond the components, and passes over the corpus; fewer where the directions span it before.
 EXTRA = 32
-PASSES = 5
+PASSES = 3
 #: Singular values below this share of the greatest are none.
 LEAST = 1e-7
 #: Places of a slice of a matrix, rows multiplied together, cells that are worth a task of their own, rows of a chunk that is projected together.
 SLICE = 1024
-ROWS = 128
-TASK_CELLS = 1 << 24
+ROWS = 256
+TASK_CELLS = 1 << 21
 CHUNK = 20_000
 
 
