@@ -340,3 +340,29 @@ def test_sections_may_be_nested(spark):
     web = spark.createDataFrame([("https://finenotes.org/a", said), ("https://else.net/a", said), (None, said), ("https://finenotes.org/b", None)], "url string, html string")
     (row,) = pages.page_source(web, "Fine Notes").collect()
     assert row.source_url == "https://finenotes.org/a" and row.title == "Fine Notes news" and row.text.count("draw maps of caves") == 2
+
+
+def test_a_job_from_reviews_to_stored_gaps(spark, tmp_path):
+    from gaplens.operators import jobs
+
+    (tmp_path / "calls").mkdir()
+    said = sinks.synthetic_reviews(spark)
+    roadmap = spark.createDataFrame([(0, "Dark mode"), (1, "Better sync")], "item_id long, text string")
+    root = f"file://{tmp_path}/job"
+
+    def model(prompt):
+        import json
+
+        first = prompt.split("ids): ", 1)[1].split(",")[0]
+        return json.dumps({"latent_need": f"Need of {first}", "verdict": "IGNORED", "confidence": 90, "confidence_justification": "j", "one_sentence_summary": "s", "cited_review_ids": [first, "999"]})
+
+    n = jobs.run(spark, "one", said, roadmap, root, model, top=3)
+    rows = spark.read.parquet(f"{root}/gaps").orderBy("rank").collect()
+    assert n == 3 and [r["rank"] for r in rows] == [1, 2, 3] and {r.verdict for r in rows} == {"UNVERIFIED"}
+    assert all(r.llm_used and r.need == f"Need of {r.cited[0]}" and len(r.cited) == 1 for r in rows)
+    assert [r.insight for r in rows] == sorted((r.insight for r in rows), reverse=True) and all(r.keywords for r in rows)
+    evidence = spark.read.parquet(f"{root}/gap_evidence").collect()
+    assert {e.gap_id for e in evidence} == {r.gap_id for r in rows} and all(e.source_type == "review" and e.snippet for e in evidence)
+    assert jobs.run(spark, "two", said, roadmap, root, None, top=2) == 2
+    both = spark.read.parquet(f"{root}/gaps").groupBy("job_id").agg(F.count("*").alias("n"), F.max(F.col("llm_used").cast("int")).alias("used"), F.min(F.length("need")).alias("least")).collect()
+    assert {r.job_id: (r.n, r.used) for r in both} == {"one": (3, 1), "two": (2, 0)} and all(r.least > 0 for r in both)
