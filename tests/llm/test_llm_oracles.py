@@ -13,7 +13,7 @@ KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VA
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in ("documents", "labels"):
+    for name in ("documents", "labels", "conversations"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SF}/{name}.parquet')")
     return con
 
