@@ -73,11 +73,49 @@ def sections(html: pd.Series) -> pd.Series:
 
 
 def page_source(pages: DataFrame, name: str, package: str = "", repo: str | None = None, domains: tuple[str, ...] = ()) -> DataFrame:
-    """(source_url, text, title) of the pages (url, html) that may speak for a product and do: an allowed host, a mention, and sentences that are about it."""
+    """(source_url, text, title) of the pages (url, html) that may speak for a product and do: an allowed host, a mention, and sentences that are about it.
+
+    The steps are columns of their own, so none is worked out twice.
+    """
     title = F.trim(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1))
-    allowed = pages.where(tx.host_allowed(F.col("url"), name, repo, domains)).select("url", "html", title.alias("title"))
-    found = allowed.select(F.col("url").alias("source_url"), relevant_text(F.col("html"), F.col("title"), F.col("url"), name, package).alias("text"), "title")
-    return found.where("text is not null")
+    rows = pages.where(tx.host_allowed(F.col("url"), name, repo, domains)).select("url", title.alias("title"), _bare(F.col("html")).alias("bare"))
+    rows = rows.withColumn("texts", _texts(F.col("bare"), sections(F.col("bare"))))
+    rows = rows.withColumn("kept", _kept(F.col("texts"), F.col("title"), F.col("url"), name, package))
+    rows = rows.withColumn("found", F.when(F.size("kept") > 0, F.col("kept")).otherwise(_fallback(F.col("bare"), F.col("title"), F.col("url"), name, package)))
+    return rows.where(F.size("found") > 0).select(F.col("url").alias("source_url"), F.substring(F.array_join("found", " "), 1, 6000).alias("text"), "title")
+
+
+def _bare(html: Column) -> Column:
+    return F.regexp_replace(html, r"(?is)<(script|style|noscript|svg)[^>]*>.*?</(script|style|noscript|svg)>", " ")
+
+
+def _plain(part: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(part, r"(?s)<[^>]*>", " "), r"[ \t\n\r\f\x0B]+", " "))
+
+
+def _texts(bare: Column, parts: Column) -> Column:
+    return F.transform(F.when(F.size(parts) > 0, parts).otherwise(F.array(bare)), _plain)
+
+
+def _says(title: Column, url: Column, name: str, package: str):
+    return lambda text: mentions_product(F.concat_ws(" ", title, text, url), name, package)
+
+
+def _kept(texts: Column, title: Column, url: Column, name: str, package: str) -> Column:
+    """Sentences that mention the product, of the sections that do."""
+    says = _says(title, url, name, package)
+    return F.flatten(F.transform(texts, lambda s: F.when((s != "") & says(F.substring(s, 1, 2000)), F.filter(tx.sentences(s), says)).otherwise(F.array().cast("array<string>"))))
+
+
+def _fallback(bare: Column, title: Column, url: Column, name: str, package: str) -> Column:
+    """Of the first 20 sentences of a page whose title names the product, those with a token or a plan word."""
+    says = _says(title, url, name, package)
+    whole = F.substring(_plain(bare), 1, 4000)
+    named = F.lower(title).contains(name.lower())
+    if package:
+        named = named | F.lower(F.concat(title, url)).contains(package.lower())
+    wanted = lambda s: (hints(s, PAGE_PLAN) | _any_token(s, name, package)) & says(s)
+    return F.when(named & says(F.substring(whole, 1, 500)), F.filter(F.slice(tx.sentences(whole), 1, 20), wanted)).otherwise(F.array().cast("array<string>"))
 
 
 def relevant_text(html: Column, title: Column, url: Column, name: str, package: str = "") -> Column:
@@ -86,22 +124,9 @@ def relevant_text(html: Column, title: Column, url: Column, name: str, package:
     Sentences that mention it, of the article, main and section elements that mention it (of the whole page without such
     elements); failing those, of the first 20 sentences of a page whose title names it the ones with a token or a plan word.
     """
-    title = F.coalesce(title, F.lit(""))
-    says = lambda text: mentions_product(F.concat_ws(" ", title, text, url), name, package)
-    bare = F.regexp_replace(html, r"(?is)<(script|style|noscript|svg)[^>]*>.*?</(script|style|noscript|svg)>", " ")
-    plain = lambda part: F.trim(F.regexp_replace(F.regexp_replace(part, r"(?s)<[^>]*>", " "), r"[ \t\n\r\f\x0B]+", " "))
-    parts = sections(bare)
-    texts = F.transform(F.when(F.size(parts) > 0, parts).otherwise(F.array(bare)), plain)
-    none = F.array().cast("array<string>")
-    of_section = lambda s: F.when((s != "") & says(F.substring(s, 1, 2000)), F.filter(tx.sentences(s), says)).otherwise(none)
-    kept = F.flatten(F.transform(texts, of_section))
-    whole = F.substring(plain(bare), 1, 4000)
-    named = F.lower(title).contains(name.lower())
-    if package:
-        named = named | F.lower(F.concat(title, url)).contains(package.lower())
-    wanted = lambda s: (hints(s, PAGE_PLAN) | _any_token(s, name, package)) & says(s)
-    fallback = F.when(says(F.substring(whole, 1, 500)) & named, F.filter(F.slice(tx.sentences(whole), 1, 20), wanted)).otherwise(none)
-    found = F.when(F.size(kept) > 0, kept).otherwise(fallback)
+    title, bare = F.coalesce(title, F.lit("")), _bare(html)
+    kept = _kept(_texts(bare, sections(bare)), title, url, name, package)
+    found = F.when(F.size(kept) > 0, kept).otherwise(_fallback(bare, title, url, name, package))
     return F.when(F.size(found) > 0, F.substring(F.array_join(found, " "), 1, 6000))
 
 
