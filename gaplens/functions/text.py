@@ -79,7 +79,7 @@ def evidence_id(prefix: str, url: Column) -> Column:
 
 def sentences(text: Column, least: int = 40, most: int = 320) -> Column:
     parts = F.split(text, r"(?<=[.!?])[ \t\n\r\f\x0B]+")
-    return F.filter(F.transform(parts, F.trim), lambda s: F.length(s).between(least, most))
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: F.length(s).between(least, most))  # F.trim itself would take the place as what to trim
 
 
 def html_text(html: Column) -> Column:
@@ -172,9 +172,9 @@ def python_repr(text: Column) -> Column:
 
 
 def unique(items: Column) -> Column:
-    """Each text of an array once, the first of those that differ in case and outer space only."""
+    """Each text of an array once as it stands, the first of those that differ in case and outer space only."""
     plain = F.transform(items, lambda x: F.lower(F.trim(x)))
-    return F.transform(F.filter(items, lambda x, i: F.array_position(plain, F.lower(F.trim(x))) == i + 1), F.trim)
+    return F.filter(items, lambda x, i: F.array_position(plain, F.lower(F.trim(x))) == i + 1)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -183,3 +183,11 @@ def test_whole_jobs(spark, tmp_path):
     jobs.write_discovery(inventory, listed, f"{tmp_path}/found")
     assert spark.read.option("header", True).csv(f"{tmp_path}/found/all_packages").count() == 2 and spark.read.json(f"{tmp_path}/found/candidates").count() == 1
     assert jobs.describe(spark, f"file://{tmp_path}/cache")["cache"] is True
+
+
+def test_sentences_and_lists_keep_their_digits(spark):
+    said = [f"{i % 10}{i % 10} shows of the feed sorted by hand ended with {i % 10}{i % 10}" for i in range(12)]
+    row = spark.createDataFrame([(". ".join(said), said)], "text string, items array<string>")
+    got = row.select(tx.sentences(F.col("text")).alias("s"), tx.unique(F.col("items")).alias("u")).first()
+    assert got["s"] == [f"{s}." for s in said[:-1]] + said[-1:]
+    assert got["u"] == said[:10]
