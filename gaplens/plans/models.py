@@ -163,7 +163,7 @@ def dom06_extraction(spark, d):
 @query("SELECT doc_id, source, lang FROM documents WHERE source = 'src3' ORDER BY doc_id LIMIT 2000")
 def src04_remote_scan(spark, d):
     renamed = f"{shared_dir(spark)}/remote-{uuid.uuid4().hex}"
-    table(spark, d, "documents").select("doc_id", F.col("source").alias("app_id"), "lang").write.parquet(renamed)
+    table(spark, d, "documents").select("doc_id", F.col("source").alias("app_id"), "lang").orderBy("doc_id").write.parquet(renamed)  # a set in order of its ids, as a scan by file expects
     return scan_remote(spark, renamed, "src3", 500)[0].withColumnRenamed("app_id", "source")
 
 

@@ -191,3 +191,23 @@ def test_sentences_and_lists_keep_their_digits(spark):
     got = row.select(tx.sentences(F.col("text")).alias("s"), tx.unique(F.col("items")).alias("u")).first()
     assert got["s"] == [f"{s}." for s in said[:-1]] + said[-1:]
     assert got["u"] == said[:10]
+
+
+def test_scan_takes_the_first_hits(spark, tmp_path):
+    path = f"{tmp_path}/set"
+    rows = spark.range(0, 4000, 1, 4).select(F.lit("p").alias("package"), "id")
+    rows.where("id >= 1000").coalesce(1).write.parquet(path)
+    rows.where("id < 1000").repartition(3, "id").write.parquet(path, mode="append")
+    files = sinks.data_files(spark, path)
+    first = [r["id"] for f in files for r in spark.read.parquet(f).coalesce(1).collect()]
+    for limit in (1, 100, 300):
+        assert sorted(r["id"] for r in tables.scan_remote(spark, path, "p", limit)[0].repartition(5).collect()) == sorted(first[: 4 * limit])
+
+
+def test_remote_scan_of_more_hits_than_wanted(spark, tmp_path):
+    from gaplens.plans import models
+
+    docs = spark.range(9000).select((9000 - F.col("id")).alias("doc_id"), F.concat(F.lit("src"), F.col("id") % 3 + 1).alias("source"), F.lit("en").alias("lang"))
+    docs.repartition(6, "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted(r["doc_id"] for r in docs.where("source = 'src3'").collect())[:2000]
+    assert sorted(r["doc_id"] for r in models.src04_remote_scan(spark, str(tmp_path)).collect()) == want
