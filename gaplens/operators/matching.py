@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from gaplens.functions.text import dot, unit
 
-#: A block of items and a chunk of members take about this many bytes as a matrix; ROWS members are held against a block at a time.
+#: A block of items and a chunk of members take about this many bytes as a matrix; a chunk has ROWS members or more where there are tasks to spare.
 BLOCK_BYTES = 16 << 20
 ROWS = 4096
+#: Similarities that a task holds at a time, whatever the sizes of its chunk and block.
+CELLS = 1 << 20
 #: A range of so many values is read whole by an exact percentile.
 PERCENTILE_ROWS = 100_000
 
@@ -26,7 +28,8 @@ def _vectors(table: pa.Table, column: str = "embedding") -> np.ndarray:
 def met(members: DataFrame, items: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """Rows that `run` makes of every chunk of members (member_id, embedding, ...) and block of items (item_id, embedding): a nested loop of blocks.
 
-    Both are dealt by hash, members once for each block and items once for each chunk; a task holds one of each, sorted by nothing.
+    Both are dealt by hash, members once for each block and items once for each chunk; a task holds one of each, sorted by nothing,
+    and `run` looks at CELLS of their pairs at a time.
     """
     given = items.where("embedding is not null").select("item_id", "embedding")
     asked = members.where("embedding is not null")
@@ -42,24 +45,29 @@ def met(members: DataFrame, items: DataFrame, run: Callable[[pa.Table, pa.Table]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, schema)
 
 
+def _tiles(members: pa.Table, matrix: np.ndarray):
+    """(first member, last, similarities) of CELLS pairs at a time."""
+    rows = max(1, CELLS // max(1, len(matrix)))
+    for first in range(0, len(members) if len(matrix) else 0, rows):
+        part = members.slice(first, rows)
+        yield first, first + len(part), _vectors(part) @ matrix.T
+
+
 def _nearest(k: int):
     """A chunk's k nearest items of a block; equal similarities (to 12 places) go to the least id."""
 
     def run(members: pa.Table, items: pa.Table) -> pa.Table:
         items = items.sort_by("item_id")
         top = min(k, len(items))
-        parts = []
-        matrix = _vectors(items) if len(items) else None
-        for first in range(0, len(members) if top else 0, ROWS):
-            part = members.slice(first, ROWS)
-            sims = _vectors(part) @ matrix.T
-            keys = np.round(sims, 12)
-            at = np.argsort(-keys, axis=1, kind="stable")[:, :top] if top > 1 else keys.argmax(1)[:, None]
-            rows = pa.array(np.repeat(np.arange(len(part)), top))
-            parts.append(pa.table([part["member_id"].take(rows), part["cluster_id"].take(rows), items["item_id"].take(pa.array(at.ravel())), pa.array(np.take_along_axis(sims, at, 1).ravel())], names=["member_id", "cluster_id", "item_id", "sim"]))
-        if parts:
-            return pa.concat_tables(parts)
-        return pa.table([members["member_id"].slice(0, 0), members["cluster_id"].slice(0, 0), items["item_id"].slice(0, 0), pa.array([], pa.float64())], names=["member_id", "cluster_id", "item_id", "sim"])
+        at, best = np.zeros((len(members), top), np.int64), np.zeros((len(members), top))
+        for first, last, sims in _tiles(members, _vectors(items)) if top else ():
+            keys, row = np.round(sims, 12), np.arange(last - first)
+            for place in range(top):
+                at[first:last, place] = keys.argmax(1)
+                best[first:last, place] = sims[row, at[first:last, place]]
+                keys[row, at[first:last, place]] = -np.inf
+        rows = pa.array(np.repeat(np.arange(len(members) if top else 0), top))
+        return pa.table([members["member_id"].take(rows), members["cluster_id"].take(rows), items["item_id"].take(pa.array(at.ravel())), pa.array(best.ravel())], names=["member_id", "cluster_id", "item_id", "sim"])
 
     return run
 
@@ -83,14 +91,13 @@ def _beaten(members: pa.Table, items: pa.Table) -> pa.Table:
     """How many items of a block are nearer than each member's expected one, or as near with an id that is not greater."""
     items = items.sort_by("item_id")
     counts = np.zeros(len(members), np.int64)
-    ids = {x: i for i, x in enumerate(items["item_id"].to_pylist())}
     order = items["item_id"].to_pylist()
-    for first in range(0, len(members) if len(items) else 0, ROWS):
-        part = members.slice(first, ROWS)
-        sims = np.round(_vectors(part) @ _vectors(items).T, 12)
-        aim = part["aim"].to_numpy()[:, None]
-        upto = np.array([ids[x] + 1 if x in ids else bisect.bisect_right(order, x) for x in part["expected_id"].to_pylist()])
-        counts[first : first + ROWS] = (sims > aim).sum(1) + ((sims == aim) & (np.arange(len(items))[None, :] < upto[:, None])).sum(1)
+    aims = members["aim"].to_numpy()
+    upto = np.array([bisect.bisect_right(order, x) for x in members["expected_id"].to_pylist()], np.int64)
+    for first, last, sims in _tiles(members, _vectors(items)) if order else ():
+        np.round(sims, 12, out=sims)
+        aim = aims[first:last, None]
+        counts[first:last] = (sims > aim).sum(1) + ((sims == aim) & (np.arange(len(order))[None, :] < upto[first:last, None])).sum(1)
     return pa.table([members["member_id"], members["expected_id"], pa.array(counts)], names=["member_id", "expected_id", "n"])
 
 

@@ -211,3 +211,25 @@ def test_remote_scan_of_more_hits_than_wanted(spark, tmp_path):
     docs.repartition(6, "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
     want = sorted(r["doc_id"] for r in docs.where("source = 'src3'").collect())[:2000]
     assert sorted(r["doc_id"] for r in models.src04_remote_scan(spark, str(tmp_path)).collect()) == want
+
+
+def test_pairs_are_held_a_tile_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    vectors = lambda n: pa.array(list(rng.normal(size=(n, 4)).round(1)), pa.list_(pa.float64()))
+    members = pa.table({"member_id": range(3000), "cluster_id": [0] * 3000, "embedding": vectors(3000), "expected_id": [7] * 3000, "aim": [0.5] * 3000})
+    items = pa.table({"item_id": range(6000), "embedding": vectors(6000)})
+    sims = np.round(matching._vectors(members) @ matching._vectors(items).T, 12)
+    want = np.argsort(-sims, axis=1, kind="stable")[:, :3]
+    beaten = (sims > 0.5).sum(1) + ((sims == 0.5) & (np.arange(6000) < 8)).sum(1)
+    tracemalloc.start()
+    got = matching._nearest(3)(members, items)["item_id"].to_numpy().reshape(-1, 3)
+    found = matching._beaten(members, items)["n"].to_numpy()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == want).all() and (found == beaten).all()
+    assert peak < sims.nbytes / 2
+    assert len(matching._nearest(3)(members, items.slice(0, 0))) == 0 and len(matching._nearest(3)(members, items.slice(0, 2))) == 6000
