@@ -90,12 +90,11 @@ def str12_evidence_pack(spark, d):
     return rows.select("o_orderkey", pack.alias("pack"))
 
 
-@query("SELECT source, concat_ws(chr(10), 'Extract the latent need (the unspoken goal) behind these reviews.', 'Roadmap mode: none', 'Preliminary verdict: UNVERIFIED', 'Cluster keywords: a, b', 'Closest roadmap item (or null): null', 'Reviews (with ids): ' || string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (r <= 12), 'Return JSON: latent_need, verdict, confidence (0-100), one_sentence_summary, cited_review_ids (a subset of the given ids).') AS prompt FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) GROUP BY source")
+@query("SELECT source, concat_ws(chr(10), 'Extract the latent need (the unspoken goal) behind these reviews.', 'Roadmap mode: none', 'Preliminary verdict: UNVERIFIED', 'Cluster keywords: a, b', 'Closest roadmap item (or null): null', 'Reviews (with ids): ' || string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id), 'Return JSON: latent_need, verdict, confidence (0-100), one_sentence_summary, cited_review_ids (a subset of the given ids).') AS prompt FROM documents GROUP BY source")
 def str13_extraction_prompt(spark, d):
-    first = analysis.first_members(table(spark, d, "documents"), "source", "doc_id", 12)
-    ids = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
-    prompt = chat.extraction_prompt(ids, F.lit(None).cast("string"), F.lit("UNVERIFIED"), "none", F.array(F.lit("a"), F.lit("b")))
-    return first.select("source", prompt.alias("prompt"))
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")  # all ids of a source are its row's result
+    prompt = chat.extraction_prompt(F.col("ids"), F.lit(None).cast("string"), F.lit("UNVERIFIED"), "none", F.array(F.lit("a"), F.lit("b")))
+    return table(spark, d, "documents").groupBy("source").agg(ids.alias("ids")).select("source", prompt.alias("prompt"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 101)::DOUBLE ELSE round(0.6::DOUBLE * (o_orderkey % 101) + 0.4::DOUBLE * (o_custkey % 101), 2) END AS confidence FROM orders")

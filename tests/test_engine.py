@@ -233,3 +233,13 @@ def test_pairs_are_held_a_tile_at_a_time():
     assert (got == want).all() and (found == beaten).all()
     assert peak < sims.nbytes / 2
     assert len(matching._nearest(3)(members, items.slice(0, 0))) == 0 and len(matching._nearest(3)(members, items.slice(0, 2))) == 6000
+
+
+def test_extraction_prompt_names_every_review(spark, tmp_path):
+    from gaplens.plans import talk
+
+    spark.range(60).select((60 - F.col("id")).alias("doc_id"), F.concat(F.lit("src"), F.col("id") % 2).alias("source")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["source"]: r["prompt"] for r in talk.str13_extraction_prompt(spark, str(tmp_path)).collect()}
+    assert got.keys() == {"src0", "src1"}
+    for source, first in (("src0", 2), ("src1", 1)):
+        assert f"Reviews (with ids): {','.join(map(str, range(first, 61, 2)))}\n" in got[source]
