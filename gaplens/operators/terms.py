@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaplens.sources.shared import settled
+
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
@@ -31,11 +33,23 @@ ENGLISH_STOPS = (
 ).split()
 
 
+def word_tokens(text: Column, stops: tuple[str, ...] | list[str] = ENGLISH_STOPS) -> Column:
+    """Words of two letters or more that are no stop words."""
+    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(list(stops)))
+
+
+def _pairs(tokens: Column, pair) -> Column:
+    """What `pair` makes of each two neighbours; null for fewer than two tokens."""
+    return F.when(F.size(tokens) > 1, F.zip_with(F.slice(tokens, F.lit(1), F.size(tokens) - 1), F.slice(tokens, F.lit(2), F.size(tokens) - 1), pair))
+
+
+def _with_pairs(tokens: Column) -> Column:
+    return F.concat(tokens, F.coalesce(_pairs(tokens, lambda a, b: F.concat(a, F.lit(" "), b)), F.array().cast("array<string>")))
+
+
 def word_terms(text: Column, stops: tuple[str, ...] | list[str] = ENGLISH_STOPS) -> Column:
     """Words of two letters or more that are no stop words, and the pairs of neighbours among them."""
-    tokens = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(list(stops)))
-    pairs = F.when(F.size(tokens) > 1, F.zip_with(F.slice(tokens, F.lit(1), F.size(tokens) - 1), F.slice(tokens, F.lit(2), F.size(tokens) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
-    return F.concat(tokens, F.coalesce(pairs, F.array().cast("array<string>")))
+    return _with_pairs(word_tokens(text, stops))
 
 
 def vocabulary(df: DataFrame, key: str, terms: Column, n: int, features: int) -> DataFrame:
@@ -65,15 +79,23 @@ def union_tfidf(df: DataFrame, key: str, text: str, words: int = 12_000, chars:
 
 def keywords(df: DataFrame, group: str, key: str, text: str, top: int = 8, features: int = 500) -> DataFrame:
     """(group, place, term): the terms of greatest mean TF-IDF over a group's texts, each group a corpus of its own; the first in the alphabet on ties."""
-    found = word_terms(F.col(text))
     n = df.groupBy(group).agg(F.count("*").alias("n"))
-    counts = df.select(group, key, F.explode(found).alias("term")).groupBy(group, key, "term").agg(F.count("*").alias("tf"))
-    stats = counts.groupBy(group, "term").agg(F.sum("tf").alias("total"), F.count("*").alias("docs"))
+    tokens = settled(df.select(group, key, word_tokens(F.col(text)).alias("tokens")))
+    words_ = tokens.select(group, F.explode("tokens").alias("term")).groupBy(group, "term").agg(F.count("*").alias("total"))
+    # A pair is no commoner than its words: one among the first `features` terms has two of the first `features` words or their ties.
+    common = settled(words_.withColumn("p", F.rank().over(Window.partitionBy(group).orderBy(F.desc("total")))).where(F.col("p") <= features).select(group, "term", "total"))
+    pair = tokens.select(group, F.explode(_pairs(F.col("tokens"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("t")).select(group, "t.a", "t.b")
+    for side in ("a", "b"):
+        pair = pair.join(common.select(group, F.col("term").alias(side)), [group, side])
+    pairs = pair.groupBy(group, "a", "b").agg(F.count("*").alias("total")).select(group, F.concat("a", F.lit(" "), "b").alias("term"), "total")
     place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("total"), "term"))
-    known = stats.withColumn("p", place).where(F.col("p") <= features).join(n, group).select(group, "term", "n", (F.log((1.0 + F.col("n")) / (1 + F.col("docs"))) + 1).alias("idf"))
-    raw = counts.join(known, [group, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    norms = raw.groupBy(group, key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    mean = raw.join(norms, [group, key]).groupBy(group, "term").agg((F.sum(F.col("w") / F.col("norm")) / F.max("n")).alias("score"))
+    known = settled(common.unionByName(pairs).withColumn("p", place).where(F.col("p") <= features).select(group, "term"))
+    found = tokens.select(group, key, F.explode(_with_pairs(F.col("tokens"))).alias("term")).join(known, [group, "term"])
+    counts = settled(found.groupBy(group, key, "term").agg(F.count("*").alias("tf")))
+    idf = counts.groupBy(group, "term").agg(F.count("*").alias("docs")).join(n, group).select(group, "term", "n", (F.log((1.0 + F.col("n")) / (1 + F.col("docs"))) + 1).alias("idf"))
+    raw = counts.join(idf, [group, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
+    rows = raw.groupBy(group, key).agg(F.max("n").alias("n"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("term", "w")).alias("row"))  # `features` terms at most
+    mean = rows.select(group, "n", "norm", F.explode("row").alias("r")).groupBy(group, "r.term").agg((F.sum(F.col("r.w") / F.col("norm")) / F.max("n")).alias("score"))
     best = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(F.round("score", 9)), "term"))
     return mean.withColumn("place", best).where(F.col("place") <= top).select(group, "place", "term")
 

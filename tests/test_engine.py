@@ -243,3 +243,17 @@ def test_extraction_prompt_names_every_review(spark, tmp_path):
     assert got.keys() == {"src0", "src1"}
     for source, first in (("src0", 2), ("src1", 1)):
         assert f"Reviews (with ids): {','.join(map(str, range(first, 61, 2)))}\n" in got[source]
+
+
+def test_keywords_count_only_pairs_of_common_words(spark, monkeypatch):
+    from gaplens.operators import terms
+
+    kept = []
+    real = terms.settled
+    monkeypatch.setattr(terms, "settled", lambda df: kept.append(real(df)) or kept[-1])
+    texts = [("g", i, f"rare{i:02d} dark mode dark mode sync rare{i:02d}b") for i in range(40)] + [("h", 99, "one"), ("h", 100, None), ("g", 101, "")]
+    docs = spark.createDataFrame(texts, "source string, doc_id long, text string")
+    got = {(r["source"], r["place"]): r["term"] for r in terms.keywords(docs, "source", "doc_id", "text", top=4, features=5).collect()}
+    assert got == {("g", 1): "dark", ("g", 2): "dark mode", ("g", 3): "mode", ("g", 4): "mode dark", ("h", 1): "one"}
+    assert [df.columns for df in kept][1:] == [["source", "term", "total"], ["source", "term"], ["source", "doc_id", "term", "tf"]]
+    assert kept[2].where("source = 'g'").count() == 5 and kept[3].count() == 5 * 40 + 1
