@@ -116,20 +116,22 @@ SIGNED_SQL = "doc_id long, n long, d1 long, d2 long, keys array<long>, vector bi
 
 
 def _signatures(k: int, threshold: Fraction, singles: frozenset[int]):
-    """Rows of documents, and of each task's slices of the count sketch. The classes in `singles` have one shingle a group."""
+    """Rows of documents, and of each task's slices of the count sketch. The classes in `singles` have one shingle a group.
+
+    The keys themselves are not among the rows: they take more room than the texts, which `_emitted` reads again.
+    """
     size = group_size(threshold)
 
     def run(batches):
         sketch = np.zeros(SKETCH, np.int64)
         seen: dict[tuple[int, int], bool] = {}
         for batch in batches:
-            n, d1, d2, lists, sizes, vectors, thin = [], [], [], [], [], [], []
+            n, d1, d2, vectors, thin = [], [], [], [], []
             for s in shingle_sets(batch.column(1), k):
                 a, b = (int(tv.mix(s, x).sum(dtype=np.uint64)) if len(s) else 0 for x in (11, 12))
                 n.append(len(s))
                 d1.append(a)
                 d2.append(b)
-                sizes.append(0)
                 vectors.append(None)
                 thin.append(None)
                 if not len(s) or (a, b) in seen or not most_differences(len(s), threshold):
@@ -143,13 +145,9 @@ def _signatures(k: int, threshold: Fraction, singles: frozenset[int]):
                 thin[-1] = next((c for c, x in zip(classes, parts, strict=True) if len(x) < least), None)
                 for x in parts:
                     np.add.at(sketch, _slot(x), 1)
-                lists += [np.array([len(parts[0])], np.uint64), *parts]
-                sizes[-1] = 1 + sum(map(len, parts))
                 vectors[-1] = count_vector(s, n_dims(len(s))).astype("<u4").tobytes()
-            flat = np.concatenate(lists).view(np.int64) if lists else np.zeros(0, np.int64)
-            at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             digests = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (d1, d2)]
-            columns = [batch.column(0), pa.array(n, pa.int64()), *digests, pa.ListArray.from_arrays(at, pa.array(flat)), pa.array(vectors, pa.binary()), pa.array(thin, pa.int32())]
+            columns = [batch.column(0), pa.array(n, pa.int64()), *digests, pa.nulls(len(n), SIGNED.field("keys").type), pa.array(vectors, pa.binary()), pa.array(thin, pa.int32())]
             yield pa.record_batch(columns, schema=SIGNED)
         if sketch.any():
             width = SKETCH // SLICES
@@ -160,50 +158,49 @@ def _signatures(k: int, threshold: Fraction, singles: frozenset[int]):
     return run
 
 
-def _emitted(sketch: np.ndarray, threshold: Fraction):
+def _emitted(sketch: np.ndarray, k: int, threshold: Fraction, singles: frozenset[int]):
     """(key, text, head) of the d + 1 rarest groups of each text and class. With a head it is a link, dealt out by a key of its own."""
+    size = group_size(threshold)
 
     def run(batches):
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            texts, ns, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            flat = lists.flatten().to_numpy().view(np.uint64)
-            at = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
             keys, docs = [], []
-            for i in range(len(texts)):
-                mine = flat[at[i] : at[i + 1]]
-                most = most_differences(int(ns[i]), threshold) + 1
-                for part in _by_class(mine):
+            for s in shingle_sets(batch.column(0), k):
+                most = most_differences(len(s), threshold) + 1
+                if not len(s) or most == 1:
+                    continue
+                own = tuple(int(tv.mix(s, x).sum(dtype=np.uint64)) for x in (11, 12))
+                if own in seen:
+                    continue
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen.add(own)
+                for c in _classes(len(s), threshold):
+                    part = group_keys(s, c, 0 if c in singles else size)
                     took = part[np.lexsort((part, sketch[_slot(part)]))[:most]] if len(part) > most else part
                     keys.append(took)
-                    docs.append(np.full(len(took), texts[i]))
+                    docs.append(np.full(len(took), own[0], np.uint64))
             if not keys:
                 continue
-            key, doc = np.concatenate(keys), np.concatenate(docs)
+            key, doc = np.concatenate(keys), np.concatenate(docs).view(np.int64)
             order = np.argsort(key, kind="stable")
             key, doc = key[order], doc[order]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            size = np.diff(np.append(first, len(key)))
-            head = np.repeat(doc[first], size)
-            link = np.repeat(size > BATCH_RUN, size)
+            sizes = np.diff(np.append(first, len(key)))
+            head = np.repeat(doc[first], sizes)
+            link = np.repeat(sizes > BATCH_RUN, sizes)
             link[first] = False
             yield pa.record_batch([pa.array(key[~link].view(np.int64)), pa.array(doc[~link]), pa.nulls(int((~link).sum()), pa.int64())], names=["key", "text", "head"])
             if link.any():
                 pairs = np.unique(np.stack([doc[link], head[link]], 1), axis=0)
                 pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-                own = tv.mix(pairs[:, 0].copy().view(np.uint64), 6).view(np.int64)
-                yield pa.record_batch([pa.array(own), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["key", "text", "head"])
+                own_keys = tv.mix(pairs[:, 0].copy().view(np.uint64), 6).view(np.int64)
+                yield pa.record_batch([pa.array(own_keys), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["key", "text", "head"])
 
     return run
 
 
-def _by_class(mine: np.ndarray) -> list[np.ndarray]:
-    """The keys of a document's one or two size classes: a list begins with the length of the first."""
-    if not len(mine):
-        return []
-    cut = int(mine[0])
-    return [x for x in (mine[1 : 1 + cut], mine[1 + cut :]) if len(x)]
-
-
 def _runs(batches):
     """(run, text, head) from emitted rows in the order of key, head and text: the texts of each run of 2 to RUN texts,
     named by its members, so that equal runs have one name; links to the first text of longer ones."""
@@ -389,8 +386,8 @@ def _pairs(threshold: Fraction):
     return run
 
 
-def _blocks(threshold: Fraction):
-    """Rows (cluster, a, b, side, label, doc_id, shingles) sorted by block, in; links, out."""
+def _blocks(threshold: Fraction, k: int):
+    """Rows (cluster, a, b, side, label, doc_id, text) sorted by block, in; links, out. Texts take less room on disk than their shingles."""
     p, q = threshold.numerator, threshold.denominator
 
     def done(rows, sets):
@@ -409,24 +406,23 @@ def _blocks(threshold: Fraction):
     def run(batches):
         rows, sets = [], []
         for batch in batches:
-            for row, text in zip(zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True), batch.column(6), strict=True):
+            for row, s in zip(zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True), shingle_sets(batch.column(6), k), strict=True):
                 if rows and row[:3] != rows[-1][:3]:
                     yield from done(rows, sets)
                     rows, sets = [], []
                 rows.append(row)
-                sets.append(np.frombuffer(text.as_buffer(), np.uint64))
+                sets.append(s)
         if rows:
             yield from done(rows, sets)
 
     return run
 
 
-def _set_bytes(k: int):
+def _sized(k: int):
     def run(batches):
         for batch in batches:
-            sets = list(shingle_sets(batch.column(2), k))
-            columns = [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.record_batch(columns, names=["doc_id", "cluster", "n", "shingles"])
+            n = pa.array([len(s) for s in shingle_sets(batch.column(2), k)], pa.int64())
+            yield pa.record_batch([batch.column(0), batch.column(1), n, batch.column(2)], names=["doc_id", "cluster", "n", "text"])
 
     return run
 
@@ -439,26 +435,27 @@ def _part(k: str, salt: int = 0) -> Column:
     return F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(k)).cast("int")
 
 
-def linked(sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """Links (src, dst) that connect the documents of each cluster as all its links would; sets: (doc_id, cluster, n, shingles)."""
+def linked(sets: DataFrame, threshold: Fraction, shingle: int) -> DataFrame:
+    """Links (src, dst) that connect the documents of each cluster as all its links would; sets: (doc_id, cluster, n, text)."""
 
     def joined(placed: DataFrame) -> DataFrame:
         block = ["cluster", "a", "b"]
-        rows = placed.select(*block, "side", "label", "doc_id", "shingles").repartition(*block).sortWithinPartitions(*block, "side", "doc_id")
-        return saved(in_batches(rows, _blocks(threshold), "src long, dst long"))
+        rows = placed.select(*block, "side", "label", "doc_id", "text").repartition(*block).sortWithinPartitions(*block, "side", "doc_id")
+        return saved(in_batches(rows, _blocks(threshold, shingle), "src long, dst long"))
 
     def single(rows: DataFrame, part: Column) -> DataFrame:
-        return rows.select("cluster", part.alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"), F.col("doc_id").alias("label"), "doc_id", "shingles")
+        return rows.select("cluster", part.alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"), F.col("doc_id").alias("label"), "doc_id", "text")
 
     large = saved(sets.groupBy("cluster").agg(_n_blocks()).where("k > 1"))
     n_large = large.count()
     found = joined(single(sets.join(small(large, 16, n_large), "cluster", "left").withColumn("k", F.coalesce("k", F.lit(1))), _part("k")))
     if not n_large:
         return found
-    rows = saved(sets.join(small(large, 16, n_large), "cluster"))
-    before, level = rows.count(), 0
+    rows = sets.join(small(large, 16, n_large), "cluster")
+    before, level, labelled = rows.count(), 0, None
     while True:
         names = components(found)
+        released(labelled)
         labelled = saved(rows.join(names, F.col("doc_id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "doc_id")).select(*rows.columns, "label"))
         heads = labelled.where("doc_id = label")
         n, level = heads.count(), level + 1
@@ -499,13 +496,13 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         thin |= more
     sketch = np.zeros(SKETCH, np.int64)
     width = SKETCH // SLICES
-    slices = signed.where("n < 0").select("n", F.posexplode("keys").alias("i", "c")).groupBy("n", "i").agg(F.sum("c").alias("c"))
-    for r in slices.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("s")).collect():  # SKETCH numbers in all
-        sketch[(-1 - r["n"]) * width : (-r["n"]) * width] = [x["c"] for x in r["s"]]
+    slices = signed.where("n < 0").select("n", F.posexplode("keys").alias("i", "c")).groupBy("n", "i").agg(F.sum("c").alias("c")).where("c > 0")
+    n, i, c = (x.to_numpy() for x in slices.toArrow().columns)  # SKETCH numbers in all, as Arrow: rows of Python would take tens of MB
+    sketch[(-1 - n) * width + i] = c
     rows = signed.where("n >= 0").select("doc_id", "n", "d1", "d2")
     texts = saved(signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("vector").alias("vector")))
     # d1 stands for the text up to here; should two texts share one, both come back from the join.
-    emitted = in_batches(signed.where(F.size("keys") > 0).select("d1", "n", "keys"), _emitted(sketch, threshold), "key long, text long, head long")
+    emitted = in_batches(docs.select("text"), _emitted(sketch, shingle, threshold, thin), "key long, text long, head long")
     dealt = emitted.repartition("key").sortWithinPartitions("key", "head", "text")
     runs = saved(in_batches(dealt, _runs, "run long, text long, head long"))
     named = texts.where("rep is not null and vector is not null").select(F.col("d1").alias("text"), F.col("rep").alias("doc_id"), "n", "vector")
@@ -516,12 +513,13 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     stars = stars.join(reps.toDF("text", "src"), "text").join(reps.toDF("head", "dst"), "head").select("src", "dst")
     edges = in_batches(members, _pairs(threshold), "src long, dst long").union(stars)
     clusters = saved(components(edges).selectExpr("node as doc_id", "component as cluster"))
-    sets = in_batches(docs.join(small(clusters, 16), "doc_id").select("doc_id", "cluster", "text"), _set_bytes(shingle), "doc_id long, cluster long, n long, shingles binary")
-    sets = saved(sets.where("n > 0").dropDuplicates(["doc_id", "cluster", "shingles"]))
+    released(runs)
+    sets = in_batches(docs.join(small(clusters, 16), "doc_id").select("doc_id", "cluster", "text"), _sized(shingle), "doc_id long, cluster long, n long, text string")
+    sets = saved(sets.where("n > 0").dropDuplicates(["doc_id", "cluster", "text"]))
     # Rows of one id with several texts share a component through it.
     mixed = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x <> y").select("doc_id")
     same_id = rows.join(mixed, "doc_id").join(texts.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"]).select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
-    found = components(linked(sets, threshold).union(same_id))
+    found = components(linked(sets, threshold, shingle).union(same_id))
     labelled = texts.join(found, texts["rep"] == found["node"], "left").where("copies > 1 or component is not null")
     labelled = saved(labelled.select("d1", "d2", "n", "copies", F.coalesce("component", "rep").alias("c")))
     total = rows.count()

@@ -191,3 +191,22 @@ def test_common_keys_and_ids_with_several_texts(spark, monkeypatch):
     assert {r.component_id for r in out if r.doc_id is not None and r.doc_id < 100} == {0}
     assert {r.component_id for r in out if r.doc_id is not None and r.doc_id >= 100} == {100}
     assert [r.component_id for r in out if r.doc_id is None] == [0]
+
+
+def test_no_table_takes_more_room_than_the_texts(spark, monkeypatch):
+    """The groups of all texts are worked out where they are wanted: kept, they take more room than the texts."""
+    from pathlib import Path
+
+    from gaplens.llm import ngram_join as nj
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    own, sizes = nj.saved, []
+
+    def saved(df):
+        out = own(df)
+        sizes.append(sum(p.stat().st_size for p in Path(out.inputFiles()[0].removeprefix("file://")).parent.glob("*.parquet")) if out.inputFiles() else 0)
+        return out
+
+    monkeypatch.setattr(nj, "saved", saved)
+    ngram_components(docs, shingle=5, percent=80).count()
+    assert max(sizes) < sum(p.stat().st_size for p in Path("/root/testdata/sf0.01").rglob("documents.parquet*") if p.is_file()) / 2
