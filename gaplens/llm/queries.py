@@ -19,15 +19,14 @@ from gaplens.llm.quality_rules import quality_verdicts
 from gaplens.llm.quality_trees import score_quality
 from gaplens.llm.raking import mix_weights
 from gaplens.llm.sentence_spans import dedup_runs
-from gaplens.llm.sentencepiece_nbest import decode_column, encode_column, ids_digest, nbest_digest
+from gaplens.llm.sentencepiece_nbest import decode_column, encode_column
 from gaplens.llm.source_divergence import source_divergence
 from gaplens.llm.toxic_passages import score_toxicity
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode_column(documents(spark, sf_dir).select("doc_id", "text")).withColumn("nbest_sha256", nbest_digest())
-    decoded = decode_column(encoded.drop("nbest_ids"))
-    return decoded.select("doc_id", "nbest_sha256", F.size("ids").alias("n_pieces"), ids_digest().alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.transform("nbest_scores", lambda x: F.round(x, 4)).alias("nbest_scores"))
+    decoded = decode_column(encode_column(documents(spark, sf_dir).select("doc_id", "text"), digest=True))
+    return decoded.select("doc_id", "nbest_sha256", F.size("ids").alias("n_pieces"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), F.transform("nbest_scores", lambda x: F.round(x, 4)).alias("nbest_scores"))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ through, those named as the results are replaced.
 from __future__ import annotations
 
 import functools
+import hashlib
 import heapq
 
 import numpy as np
@@ -47,6 +48,8 @@ KNOWN_UNITS = 1_000_000
 LONGEST_UNIT = 1 << 16
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
+#: Pairs of characters below this are looked up in a dense table.
+NEAR = 0x250
 _NONE = -1e300
 
 
@@ -80,6 +83,14 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         self.unknown = float(min(self.score[i] for i in self.ids.values())) - 10
         self.pairs = np.array(sorted({ord(a) << 21 | ord(b) for p in self.ids for a, b in zip(p, p[1:], strict=False)}), np.int64)
+        self.near = np.zeros((NEAR, NEAR), bool)
+        a, b = self.pairs >> 21, self.pairs & ((1 << 21) - 1)
+        inside = (a < NEAR) & (b < NEAR)
+        self.near[a[inside], b[inside]] = True
+        self.near = self.near.ravel()
+        digits = len(str(max(0, size - 1))) + 1
+        self.written = np.array([b"%d " % i for i in range(size)], f"S{digits}")
+        self.n_written = np.array([len(b) for b in self.written.tolist()], np.int64)
         keys = np.array([self._hash(p) for p in self.ids], np.uint64)
         self._tables(keys, np.fromiter(self.ids.values(), np.int64))
 
@@ -89,29 +100,50 @@ class Pieces:
         return int((tv.mix(u) * tv.powers(len(u))).sum(dtype=np.uint64))
 
     def _tables(self, keys: np.ndarray, ids: np.ndarray) -> None:
-        """Open tables without chains: what finds its slot taken goes to the next table."""
+        """Open tables without chains: what finds its slot taken goes to the next table, and the slot says so."""
         self.tables = []
         while len(keys):
-            bits = max(8, int(len(keys) * 32).bit_length())
+            bits = max(8, int(len(keys) * 8).bit_length())
             multiplier = np.uint64((2 * len(self.tables) + 1) * 0xD6E8FEB86659FD93 % 2**64)
             slot = ((keys * multiplier) >> np.uint64(64 - bits)).astype(np.int64)
             _, first = np.unique(slot, return_index=True)
-            table_key, table_id = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+            table_key, table_id, more = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32), np.zeros(1 << bits, bool)
             table_key[slot[first]], table_id[slot[first]] = keys[first], ids[first]
-            self.tables.append((multiplier, np.uint64(64 - bits), table_key, table_id))
             rest = np.ones(len(keys), bool)
             rest[first] = False
+            more[slot[rest]] = True
+            self.tables.append((multiplier, np.uint64(64 - bits), table_key, table_id, more))
             keys, ids = keys[rest], ids[rest]
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Piece ids of substring hashes, -1 where there is none."""
-        out = np.full(keys.shape, -1, np.int32)
-        for multiplier, shift, table_key, table_id in self.tables:
+        shape, keys = keys.shape, keys.ravel()
+        out, left = np.full(keys.shape, -1, np.int32), None
+        for multiplier, shift, table_key, table_id, more in self.tables:
             slot = ((keys * multiplier) >> shift).astype(np.int64)
-            hit = (table_key[slot] == keys) & (table_id[slot] >= 0)
-            out[hit] = table_id[slot][hit]
+            hit = table_key[slot] == keys
+            at = np.flatnonzero(hit)
+            out[at if left is None else left[at]] = table_id[slot[at]]
+            on = np.flatnonzero(more[slot] & ~hit)
+            keys, left = keys[on], on if left is None else left[on]
+            if not len(keys):
+                break
+        return out.reshape(shape)
+
+    def joined(self, pair: np.ndarray) -> np.ndarray:
+        """Whether two characters (a << 21 | b) stand side by side in some piece."""
+        a, b = pair >> 21, pair & ((1 << 21) - 1)
+        out = self.near[np.minimum(a, NEAR - 1) * NEAR + np.minimum(b, NEAR - 1)]
+        far = np.flatnonzero((a >= NEAR) | (b >= NEAR))
+        if len(far):
+            place = np.minimum(np.searchsorted(self.pairs, pair[far]), len(self.pairs) - 1)
+            out[far] = self.pairs[place] == pair[far]
         return out
 
+    def text_of(self, ids: np.ndarray) -> bytes:
+        """Ids in decimal, a space after each."""
+        return self.written[ids].tobytes().translate(None, b"\0")
+
 
 @functools.cache
 def pieces(model_file: str) -> Pieces:
@@ -179,18 +211,19 @@ class Encoder:
         self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.texts: dict[int, list[tuple[float, np.ndarray]]] = {}
 
-    def encode(self, texts: list[str]) -> list[tuple[list[np.ndarray], list[float]]]:
-        """(ids, scores) of the n best segmentations of each text."""
+    def encode(self, texts: list[str], digest: bool = False) -> list[tuple]:
+        """(ids, scores) of the n best segmentations of each text; with `digest` (the best one's ids, scores, the digest of that one, of all)."""
         joined = "".join([SPACE + t.replace(" ", SPACE) for t in texts if t])
         sizes = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         offsets = np.concatenate([[0], np.cumsum(sizes)])
         if not len(codes):
-            return [([np.zeros(0, np.int32)], [0.0]) for _ in texts]
+            none = np.zeros(0, np.int32)
+            empty = hashlib.sha256(b"").hexdigest()
+            return [(none, [0.0], empty, empty) if digest else ([none], [0.0]) for _ in texts]
         pair = (codes[:-1].astype(np.int64) << 21) | codes[1:].astype(np.int64)
-        near = np.minimum(np.searchsorted(self.model.pairs, pair), len(self.model.pairs) - 1)
         cut = np.ones(len(codes), bool)
-        cut[1:] = self.model.pairs[near] != pair
+        cut[1:] = ~self.model.joined(pair)
         cut[offsets[:-1][sizes > 0]] = True
         starts = np.flatnonzero(cut)
         long = np.flatnonzero(np.diff(np.append(starts, len(codes))) > LONGEST_UNIT)
@@ -222,16 +255,36 @@ class Encoder:
             at = np.append(ends[a:b] - size[a:b], ends[b - 1] if b > a else 0) - id_bounds[i]
             best = float(self.score[rows[a:b]].sum()) if b > a else 0.0
             merged = self._merged(losses[a:b], rows[a:b], joined, starts[a:b], lengths[a:b])
-            out.append(([self._replaced(mine, at, rows[a:b], changes) for _, changes in merged], [best - x for x, _ in merged]))
+            scores = [best - x for x, _ in merged]
+            if digest:
+                out.append((mine, scores, *self._digests(mine, at, rows[a:b], [changes for _, changes in merged])))
+            else:
+                out.append(([self._replaced(mine, at, rows[a:b], changes) for _, changes in merged], scores))
         return out
 
+    def _digests(self, ids: np.ndarray, at: np.ndarray, rows: np.ndarray, every: list[tuple]) -> tuple[str, str]:
+        """`ids_digest` of the first segmentation and `nbest_digest` of all; what they share is written once."""
+        whole = self.model.text_of(ids)
+        ends = np.concatenate([[0], np.cumsum(self.model.n_written[ids])]) if len(every) > 1 else None
+        texts = []
+        for changes in every:
+            parts, done = [], 0
+            for unit, choice in sorted(changes):
+                parts += [whole[done : int(ends[at[unit]])], self.model.text_of(self.texts[int(rows[unit])][choice][1])]
+                done = int(ends[at[unit + 1]])
+            texts.append((b"".join(parts) + whole[done:] if parts else whole)[:-1])
+        return hashlib.sha256(texts[0]).hexdigest(), hashlib.sha256(b"\n".join(texts)).hexdigest()
+
     def _merged(self, losses: np.ndarray, rows: np.ndarray, joined: str, starts: np.ndarray, lengths: np.ndarray) -> list[tuple[float, tuple]]:
         """(loss against the best, ((unit, choice), ...)) of the n best: each unit of least loss takes one of its own n best."""
         k = min(self.n - 1, len(losses))
         sums: list[tuple[float, tuple]] = [(0.0, ())]  # ascending
         if k <= 0:
             return sums
-        least = np.sort(np.argsort(losses, kind="stable")[:k])
+        last = np.partition(losses, k - 1)[k - 1]
+        near = np.flatnonzero(losses <= last)  # in order of their places; of those equal to the last, the first ones
+        under = losses[near] < last
+        least = np.sort(np.concatenate([near[under], near[~under][: k - int(under.sum())]]))
         for i in least:
             if losses[i] == np.inf:
                 continue
@@ -370,7 +423,9 @@ def _lists(ids: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
 
 
-def _encode_batches(model_file: str, n: int, at_text: int, kept: list[int]):
+def _encode_batches(model_file: str, n: int, at_text: int, kept: list[int], digest: bool = False):
+    names = list(DIGESTED if digest else ENCODED)
+
     def run(batches):
         encoder = Encoder(pieces(model_file), n)
         for batch in batches:
@@ -381,13 +436,16 @@ def _encode_batches(model_file: str, n: int, at_text: int, kept: list[int]):
                 while upto < len(texts) and (upto == at or chars + len(texts[upto] or "") < tv.CHUNK_BYTES):
                     chars += len(texts[upto] or "")
                     upto += 1
-                found = encoder.encode([t or "" for t in texts[at:upto]])
-                best = _lists([ids[0] for ids, _ in found])
-                every = _lists([x for ids, _ in found for x in ids])
-                sizes = np.concatenate([[0], np.cumsum([len(ids) for ids, _ in found])]).astype(np.int32)
-                columns = [best, pa.array([x for _, x in found], pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(sizes), every)]
+                found = encoder.encode([t or "" for t in texts[at:upto]], digest)
+                best = _lists([x[0] if digest else x[0][0] for x in found])
+                scores = pa.array([x[1] for x in found], pa.list_(pa.float64()))
+                if digest:
+                    columns = [best, scores, pa.array([x[2] for x in found]), pa.array([x[3] for x in found])]
+                else:
+                    sizes = np.concatenate([[0], np.cumsum([len(ids) for ids, _ in found])]).astype(np.int32)
+                    columns = [best, scores, pa.ListArray.from_arrays(pa.array(sizes), _lists([x for ids, _ in found for x in ids]))]
                 rest = batch.slice(at, upto - at)
-                yield pa.record_batch([*(rest.column(i) for i in kept), *columns], names=[*(rest.schema.names[i] for i in kept), *ENCODED])
+                yield pa.record_batch([*(rest.column(i) for i in kept), *columns], names=[*(rest.schema.names[i] for i in kept), *names])
                 at = upto
 
     return run
@@ -407,14 +465,19 @@ def _decode_batches(model_file: str, at: int):
 
 
 ENCODED = {"ids": "array<int>", "nbest_scores": "array<double>", "nbest_ids": "array<array<int>>"}
+DIGESTED = {"ids": "array<int>", "nbest_scores": "array<double>", "ids_sha256": "string", "nbest_sha256": "string"}
 
 
-def encode_column(docs: DataFrame, text_col: str = "text", model_file: str = MODEL_FILE, n: int = N_BEST) -> DataFrame:
-    """docs without the text, and ids array<int>, and best first nbest_scores array<double> and nbest_ids array<array<int>>."""
+def encode_column(docs: DataFrame, text_col: str = "text", model_file: str = MODEL_FILE, n: int = N_BEST, digest: bool = False) -> DataFrame:
+    """docs without the text, and ids array<int>, and best first nbest_scores array<double> and nbest_ids array<array<int>>.
+
+    With `digest` the tasks that segment a text also hash its lists: ids_sha256 and nbest_sha256 (see `ids_digest`, `nbest_digest`) stand for nbest_ids.
+    """
+    made = DIGESTED if digest else ENCODED
     rows = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    kept = [i for i, c in enumerate(docs.columns) if c != text_col and c not in ENCODED]
-    schema = ", ".join([f"`{c}` {t}" for c, t in (rows.dtypes[i] for i in kept)] + [f"{c} {t}" for c, t in ENCODED.items()])
-    return in_batches(rows, _encode_batches(model_file, n, docs.columns.index(text_col), kept), schema)
+    kept = [i for i, c in enumerate(docs.columns) if c != text_col and c not in made]
+    schema = ", ".join([f"`{c}` {t}" for c, t in (rows.dtypes[i] for i in kept)] + [f"{c} {t}" for c, t in made.items()])
+    return in_batches(rows, _encode_batches(model_file, n, docs.columns.index(text_col), kept, digest), schema)
 
 
 def decode_column(encoded: DataFrame, ids_col: str = "ids", model_file: str = MODEL_FILE) -> DataFrame:

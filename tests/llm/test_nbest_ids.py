@@ -4,7 +4,7 @@ import hashlib
 
 import numpy as np
 
-from gaplens.llm.sentencepiece_nbest import MODEL_FILE, decode_column, encode_column, lattice, nbest_digest, pieces
+from gaplens.llm.sentencepiece_nbest import MODEL_FILE, decode_column, encode_column, ids_digest, lattice, nbest_digest, pieces
 
 TEXTS = ["the cat", "ab cd", "été", "日x a", None, "", "a thing"]
 
@@ -39,3 +39,13 @@ def test_every_segmentation_decodes_to_its_text(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     flat = encode_column(docs).selectExpr("doc_id", "explode(nbest_ids) as ids")
     assert [r.decoded for r in decode_column(flat).orderBy("doc_id").collect()] == [t for t in texts for _ in range(4)]
+
+
+def test_digests_come_with_the_segmentations(spark):
+    """Hashed where a text is segmented, they are those of the lists, which need not leave the task."""
+    texts = [*TEXTS, "\u0394 \u65e5\u672c \U0001f600 x" * 3, "The quick brown fox jumps over the lazy dog. " * 20, " ", "a", "zz" * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    plain = encode_column(docs).withColumn("a", ids_digest()).withColumn("b", nbest_digest()).orderBy("doc_id").collect()
+    found = encode_column(docs, digest=True)
+    assert "nbest_ids" not in found.columns
+    assert [(r.ids, r.nbest_scores, r.ids_sha256, r.nbest_sha256) for r in found.orderBy("doc_id").collect()] == [(r.ids, r.nbest_scores, r.a, r.b) for r in plain]
