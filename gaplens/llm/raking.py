@@ -73,21 +73,22 @@ def _shares(cells: DataFrame, dim: str, given: dict[str, float] | None, flatten:
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]], flatten: float = FLATTEN, rounds: int = ROUNDS) -> DataFrame:
     """cells (DIMS, tokens) and `weight`: their tokens raked to the target shares."""
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    shares = {d: small(saved(_shares(cells, d, targets.get(d), flatten)), 200) for d in DIMS}
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for d in DIMS:
+        now = now.join(small(saved(_shares(cells, d, targets.get(d), flatten)), 200).withColumnRenamed("share", f"__share_{d}"), d, "left")
+    now = saved(now)
     for i in range(rounds):
-        worst = F.lit(0.0)
-        for d in DIMS:
-            factors = now.groupBy(d).agg(F.sum("weight").alias("w")).join(shares[d], d, "left")
+        for d in DIMS:  # saved each time: a step's plan reads its cells twice, so three in one plan would read them eight times
+            factors = now.groupBy(d).agg(F.sum("weight").alias("w"), F.first(f"__share_{d}").alias("share"))  # one share a value
             factors = factors.select(d, F.when(F.col("w") > 0, F.coalesce("share", F.lit(0.0)) * total / F.col("w")).otherwise(F.lit(0.0)).alias("__f"))
-            now = now.join(factors, d)
-            now = now.withColumn("weight", F.col("weight") * F.col("__f")).withColumn(f"__off_{d}", F.abs(F.col("__f") - 1)).drop("__f")
-        now = saved(now)
+            fresh = now.drop(f"__off_{d}").join(factors, d)
+            fresh = saved(fresh.withColumn("weight", F.col("weight") * F.col("__f")).withColumn(f"__off_{d}", F.abs(F.col("__f") - 1)).drop("__f"))
+            released(now)
+            now = fresh
         worst = now.where("weight > 0").agg(F.max(F.greatest(*[F.col(f"__off_{d}") for d in DIMS]))).first()[0]
-        now = now.drop(*[f"__off_{d}" for d in DIMS])
         if worst is None or (i and worst < TOLERANCE):
             break
-    return now
+    return now.select(*cells.columns, "weight")
 
 
 def calibrated(raked: DataFrame, keep: float) -> DataFrame:
