@@ -143,25 +143,35 @@ def _starts(rows: DataFrame, most: dict[int, int], restarts: int) -> dict[tuple[
 
 
 def _pass(rows: DataFrame, runs: list[Run]) -> None:
-    """Counts, sums and cost of each run's clusters at its centroids."""
-    of = {}
+    """Counts, sums and cost of each run's clusters at its centroids; the centroids of a group's runs are one matrix."""
+    of: dict[int, list[int]] = {}
     for i, r in enumerate(runs):
-        of.setdefault(r.group, []).append((i, r.centroids))
+        of.setdefault(r.group, []).append(i)
+    places = {g: np.cumsum([0, *(len(runs[i].centroids) for i in mine)]) for g, mine in of.items()}
+    stacked = {g: np.concatenate([runs[i].centroids for i in mine]) for g, mine in of.items()}
 
     def run(batches):
-        total: dict[int, np.ndarray] = {}
+        total: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for g, _, x in _split(batch):
-                for i, centroids in of.get(g, ()):
-                    far = _distances(x, centroids)
-                    label = far.argmin(1)
-                    hot = np.zeros((len(centroids), len(x)))
-                    hot[label, np.arange(len(x))] = 1
-                    part = np.concatenate([(hot @ x).ravel(), hot.sum(1), [far[np.arange(len(x)), label].sum()]])
-                    total[i] = total[i] + part if i in total else part
-        yield from partials(total)
-
-    found = summed(rows, run)
+                if g not in of:
+                    continue
+                at, far, every = places[g], _distances(x, stacked[g]), np.arange(len(x))
+                hot, cost = np.zeros((len(stacked[g]), len(x))), np.zeros(len(of[g]))
+                for j in range(len(of[g])):
+                    label = at[j] + far[:, at[j] : at[j + 1]].argmin(1)
+                    hot[label, every] = 1
+                    cost[j] = far[every, label].sum()
+                part = (hot @ x, hot.sum(1), cost)
+                total[g] = tuple(a + b for a, b in zip(total[g], part, strict=True)) if g in total else part
+        parts = {}
+        for g, (sums, counts, cost) in total.items():
+            for j, i in enumerate(of[g]):
+                mine = slice(places[g][j], places[g][j + 1])
+                parts[i] = np.concatenate([sums[mine].ravel(), counts[mine], cost[j : j + 1]])
+        yield from partials(parts)
+
+    found = summed(rows, run, 8 * sum(r.centroids.size + len(r.centroids) + 1 for r in runs))
     for i, r in enumerate(runs):
         k, width = r.centroids.shape
         r.sums, r.counts, r.cost = found[i][: k * width].reshape(k, width), found[i][k * width : -1], float(found[i][-1])
@@ -294,12 +304,16 @@ def labelled(rows: DataFrame, choices: dict[int, Choice]) -> DataFrame:
 
 
 def prepared(vectors: DataFrame, group: Column, key: str) -> tuple[DataFrame, dict[int, str], dict[int, int]]:
-    """(rows (group, hash, embedding, key), name of each group number, size of each), written once; groups are few by contract."""
-    named = vectors.select(group.cast("string").alias("__g"), F.col("embedding").cast("array<double>").alias("embedding"), F.col(key).alias(key)).where("embedding is not null")
+    """(rows (group, hash, embedding, key), name of each group number, size of each), written once; groups are few by contract.
+
+    Vectors are worked out once, before their groups are asked for, and dealt evenly, as every pass reads all of them.
+    """
+    spread = vectors.sparkSession.sparkContext.defaultParallelism
+    named = settled(vectors.select(group.cast("string").alias("__g"), F.col("embedding").cast("array<double>").alias("embedding"), F.col(key).alias(key)).where("embedding is not null").repartition(spread))
     names = [r["__g"] for r in named.select("__g").distinct().orderBy("__g").collect()]
     number = F.lit(-1)
     for i, name in enumerate(names):
         number = F.when(F.col("__g").eqNullSafe(F.lit(name)), i).otherwise(number)
-    rows = settled(named.select(number.cast("int").alias("group"), F.xxhash64(key).alias("hash"), "embedding", key))
+    rows = named.select(number.cast("int").alias("group"), F.xxhash64(key).alias("hash"), "embedding", key)
     n = {r["group"]: r["n"] for r in rows.groupBy("group").agg(F.count("*").alias("n")).collect()}
     return rows, dict(enumerate(names)), n

@@ -11,7 +11,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,11 +28,11 @@ EXTRA = 32
 PASSES = 3
 #: Singular values below this share of the greatest are none.
 LEAST = 1e-7
-#: Places of a slice of a matrix, rows multiplied together, cells that are worth a task of their own, rows of a chunk that is projected together.
+#: Places of a slice of a matrix, rows multiplied together, cells that are worth a task of their own, rows that are projected together.
 SLICE = 1024
 ROWS = 256
 TASK_CELLS = 1 << 21
-CHUNK = 20_000
+CHUNK = 2048
 
 
 def _clean(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -48,69 +47,129 @@ def _found(kind: str) -> Column:
     return terms.char_terms(F.col("text")) if kind == "char" else terms.word_terms(F.col("text"))
 
 
+def _units(docs: DataFrame, blocks: list[str]) -> DataFrame:
+    """(id, block, unit, n): what a document's terms are read from, each once with its count: padded words for characters, the terms themselves for words."""
+    out = None
+    for block in blocks:
+        found = terms.padded_words(F.col("text")) if block == "char" else terms.word_terms(F.col("text"))
+        part = docs.select("id", F.lit(block).alias("block"), F.explode(found).alias("unit")).groupBy("id", "block", "unit").agg(F.count("*").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return settled(out)
+
+
+def _terms_of(units: DataFrame, *kept: str) -> DataFrame:
+    """(block, term, kept columns): a row for every term in a unit."""
+    found = F.when(F.col("block") == "char", terms.word_grams(F.col("unit"))).otherwise(F.array("unit"))
+    return units.select("block", F.explode(found).alias("term"), *kept)
+
+
+def _counted(units: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(id, places array<int>, tf array<double>): 1 + the logarithm of each known term's count; a document without any is no row.
+
+    Each different unit is taken apart once and meets the documents as a list of places, so terms are counted by number, where their document lies.
+    """
+    known = _terms_of(units.select("block", "unit").distinct(), "unit").join(F.broadcast(vocabulary.select("block", "term", "place")), ["block", "term"])  # at most FEATURES rows
+    lists = known.groupBy("block", "unit", "place").agg(F.count("*").alias("m")).groupBy("block", "unit").agg(F.collect_list(F.struct("place", "m")).alias("p"))  # a word's terms
+    lists = lists.select("block", "unit", F.col("p.place").alias("places"), F.col("p.m").cast("array<int>").alias("m"))
+    met = units.join(lists, ["block", "unit"]).groupBy("id").agg(F.collect_list(F.struct("n", "places", "m")).alias("row"))  # a document's words
+    return met.mapInArrow(_merged, f"id {dict(units.dtypes)['id']}, places array<int>, tf array<double>")
+
+
+def _merged(batches):
+    """The counts of a document's terms from its words' lists, ROWS documents at a time."""
+    lengths = lambda x: x.value_lengths().to_numpy(zero_copy_only=False)
+    values = lambda x: x.flatten().to_numpy(zero_copy_only=False)
+    for whole in batches:
+        for first in range(0, len(whole), ROWS):
+            batch = whole.slice(first, ROWS)
+            words = batch.column(1).flatten()
+            n, places, m = (words.field(i) for i in range(3))
+            inside = lengths(places)
+            doc = np.repeat(np.repeat(np.arange(len(batch)), lengths(batch.column(1))), inside)
+            at, cell = np.unique(doc << 32 | values(places), return_inverse=True)
+            tf = 1 + np.log(np.bincount(cell, np.repeat(n.to_numpy(), inside) * values(m), len(at)))
+            ends = pa.array(np.searchsorted(at, np.arange(len(batch) + 1) << 32).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array((at & 0xFFFFFFFF).astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(tf))], names=["id", "places", "tf"])
+
+
+def _weighed(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(id, places, weights) of counted documents: tf times idf; each block of terms over its own norm, then the row over its own."""
+    known = vocabulary.select("place", "idf", (F.col("block") == "word").alias("word")).orderBy("place").toArrow()  # at most FEATURES rows
+    idf, word = known["idf"].to_numpy(), known["word"].to_numpy().astype(np.int64)
+
+    def run(batches):
+        for batch in batches:
+            places, tf = batch.column(1), batch.column(2)
+            at = places.flatten().to_numpy(zero_copy_only=False)
+            part = 2 * np.repeat(np.arange(len(batch)), places.value_lengths().to_numpy(zero_copy_only=False)) + word[at]  # a document's block
+            w = tf.flatten().to_numpy(zero_copy_only=False) * idf[at]
+            squares = np.bincount(part, w * w, 2 * len(batch))
+            blocks = (np.bincount(part, minlength=2 * len(batch)) > 0).reshape(-1, 2).sum(1)  # every block has norm 1, so the row's is the root of their number
+            w = w / np.sqrt(squares)[part] / np.sqrt(blocks)[part // 2]
+            sizes = pa.array(np.concatenate([[0], np.cumsum(places.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), places, pa.ListArray.from_arrays(sizes, pa.array(w, pa.float64()))], names=["id", "places", "weights"])
+
+    return counts.mapInArrow(run, f"id {dict(counts.dtypes)['id']}, places array<int>, weights array<double>")
+
+
 @dataclass
 class Space:
-    """A fitted space. `terms`: (block, term, place, idf); `slices`: (slice, data) of the projection, SLICE places each, row by row."""
+    """A fitted space. `terms`: (block, term, place, idf); `slices`: (slice, data) of the projection, SLICE places each, row by row; `rows`: the weights of the corpus where it was fitted here."""
 
     terms: DataFrame
     slices: DataFrame
     features: int
     components: int
+    rows: DataFrame | None = None
 
     @classmethod
     def fit(cls, docs: DataFrame, key: str, text: str, grams: str = "char_wb", features: int | None = None, components: int = COMPONENTS) -> Space:
         """From a corpus; `features` replaces the terms kept of a space of one kind."""
         clean = settled(_clean(docs, key, text))
         n = clean.count()
+        units = _units(clean, [block for block, _ in FEATURES[grams]])
+        totals = _terms_of(units.groupBy("block", "unit").agg(F.sum("n").alias("total")), "total").groupBy("block", "term").agg(F.sum("total").alias("total"))
         parts = []
         for block, most in FEATURES[grams]:
             most = features if features is not None and len(FEATURES[grams]) == 1 else most
-            parts.append(terms.vocabulary(clean, "id", _found(block), n, most).select(F.lit(block).alias("block"), "term", "idf"))
+            parts.append(totals.where(F.col("block") == block).orderBy(F.desc("total"), "term").limit(most).select("block", "term"))
         kept = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         place = F.row_number().over(Window.orderBy("block", "term")) - 1  # at most FEATURES rows
-        vocabulary = settled(kept.select("block", "term", place.alias("place"), "idf"))
+        placed = settled(kept.select("block", "term", place.alias("place")))
+        counts = settled(_counted(units, placed))
+        documents = counts.select(F.explode("places").alias("place")).groupBy("place").agg(F.count("*").alias("docs"))
+        vocabulary = settled(placed.join(documents, "place").select("block", "term", "place", (F.log(F.lit(1.0 + n) / (1 + F.col("docs"))) + 1).alias("idf")))
         width = vocabulary.count()
-        rows = settled(weights(clean, "id", "text", vocabulary))
+        rows = settled(_weighed(counts, vocabulary))
         cells = rows.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
-        rows = rows.coalesce(max(1, -(-cells // TASK_CELLS)))  # a task's partial sum is a whole matrix: no more of them than the work asks for
+        # A task's partial sum is a whole matrix: no more of them than the work asks for, nor than run at a time.
+        tasks = max(1, min(-(-cells // TASK_CELLS), docs.sparkSession.sparkContext.defaultParallelism))
         wanted = min(components, max(2, width - 1), max(2, n - 1))
-        projection = _projection(rows, width, wanted)
+        projection = _projection(rows.coalesce(tasks), width, wanted)
         data = [(s, bytearray(projection[s * SLICE : (s + 1) * SLICE].tobytes())) for s in range(-(-width // SLICE))]
         slices = settled(docs.sparkSession.createDataFrame(data, "slice int, data binary"))
-        return cls(vocabulary, slices, width, projection.shape[1])
+        return cls(vocabulary, slices, width, projection.shape[1], rows)
 
     def weights(self, docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-        return weights(_clean(docs, key, text), "id", "text", self.terms)
+        return weights(_clean(docs, key, text), self.terms)
 
     def transform(self, docs: DataFrame, key: str, text: str) -> DataFrame:
-        """(key, embedding): unit vectors of any documents; one without a known term is a zero vector, also if its text is null.
-
-        Chunks of documents meet the projection's slices in one task each; neither passes the driver.
-        """
+        """(key, embedding): unit vectors of any documents; one without a known term is a zero vector, also if its text is null."""
         clean = _clean(docs, key, text)
-        rows = clean.select("id").join(weights(clean, "id", "text", self.terms), "id", "left")
-        chunks = max(1, -(-clean.count() // CHUNK))
-        kind = dict(rows.dtypes)["id"]
-        chunk = F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk")
-        sides = self.slices.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"), "slice", "data")
-        out = rows.select(chunk, "id", "places", "weights").groupBy("chunk").cogroup(sides.groupBy("chunk")).applyInPandas(_projected(self.components), f"id {kind}, embedding array<double>")
-        return out.withColumnRenamed("id", key)
-
-
-def weights(docs: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
-    """(key, places array<int>, weights array<double>): sublinear TF-IDF of the vocabulary's terms; each block of terms over its own norm, then the row over its own."""
-    counts = None
-    for block in ("char", "word"):
-        part = docs.select(key, F.lit(block).alias("block"), F.explode(_found(block)).alias("term"))
-        known = part.join(F.broadcast(vocabulary), ["block", "term"])  # at most FEATURES rows; a block the space lacks joins nothing
-        counts = known if counts is None else counts.unionByName(known)
-    tf = counts.groupBy(key, "block", "place").agg((1 + F.log(F.count("*"))).alias("tf"), F.first("idf").alias("idf"))
-    cell = F.struct("place", (F.col("tf") * F.col("idf")).alias("w"))
-    parts = tf.groupBy(key, "block").agg(F.collect_list(cell).alias("row"), F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"))  # a document's terms
-    even = parts.withColumn("row", F.transform("row", lambda x: F.struct(x["place"].alias("place"), (x["w"] / F.col("norm")).alias("w"))))
-    # Every block has norm 1, so the row's is the root of their number: an aggregate, which no lambda works out again for each cell.
-    whole = even.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("row"))).alias("row"), F.sqrt(F.count("*").cast("double")).alias("norm"))  # two blocks at most
-    return whole.select(key, F.transform("row", lambda x: x["place"]).alias("places"), F.transform("row", lambda x: x["w"] / F.col("norm")).alias("weights"))
+        return self.project(clean.select("id").join(weights(clean, self.terms), "id", "left")).withColumnRenamed("id", key)
+
+    def project(self, rows: DataFrame) -> DataFrame:
+        """(id, embedding) of rows (id, places, weights); null weights are none. The projection goes to the tasks, its size bounded by the parameters."""
+        parts = [np.frombuffer(r["data"]).reshape(-1, self.components) for r in self.slices.orderBy("slice").collect()] if self.components else []
+        projection = np.concatenate(parts) if parts else np.zeros((0, self.components))
+        shared = rows.sparkSession.sparkContext.broadcast(projection)
+        return rows.select("id", "places", "weights").mapInArrow(_projected(shared), f"id {dict(rows.dtypes)['id']}, embedding array<double>")
+
+
+def weights(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(id, places array<int>, weights array<double>) of documents (id, text): sublinear TF-IDF of the vocabulary's terms."""
+    blocks = [r["block"] for r in vocabulary.select("block").distinct().orderBy("block").collect()] or ["char"]  # two at most
+    return _weighed(_counted(_units(docs, blocks), vocabulary), vocabulary)
 
 
 def _pieces(places: pa.Array, values: pa.Array):
@@ -174,15 +233,22 @@ def _projection(rows: DataFrame, width: int, wanted: int) -> np.ndarray:
     return found * np.where(found[np.abs(found).argmax(0), np.arange(found.shape[1])] < 0, -1.0, 1.0) if found.size else found
 
 
-def _projected(components: int):
-    def run(rows: pd.DataFrame, slices: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.frombuffer(d).reshape(-1, components) for d in slices.sort_values("slice").data] if components else []
-        projection = np.concatenate(parts) if parts else np.zeros((0, components))
-        out = []
-        for place, w in zip(rows.places, rows.weights, strict=True):
-            v = w @ projection[place] if place is not None and len(place) else np.zeros(components)
-            norm = np.linalg.norm(v)
-            out.append(v / norm if norm > 0 else v)
-        return pd.DataFrame({"id": rows.id, "embedding": out})
+def _projected(shared):
+    def run(batches):
+        projection = shared.value
+        for whole in batches:
+            for first in range(0, len(whole), CHUNK):
+                batch = whole.slice(first, CHUNK)
+                sizes = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+                at, w = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (1, 2))
+                out = np.zeros((len(batch), projection.shape[1]))
+                for i in np.flatnonzero(sizes):
+                    cells = slice(bounds[i], bounds[i + 1])
+                    v = w[cells] @ projection[at[cells]]
+                    norm = np.linalg.norm(v)
+                    out[i] = v / norm if norm > 0 else v
+                width = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * out.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(width, pa.array(out.ravel(), pa.float64()))], names=["id", "embedding"])
 
     return run

@@ -12,16 +12,25 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
-def char_terms(text: Column, least: int = 3, most: int = 5) -> Column:
-    """All substrings of the given lengths of each word with one space at both ends."""
+def padded_words(text: Column) -> Column:
+    """Each word with one space at both ends."""
     tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
+    return F.transform(tokens, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))  # once a word, not once a gram
+
+
+def word_grams(word: Column, least: int = 3, most: int = 5) -> Column:
+    """All substrings of the given lengths of a padded word."""
 
-    def grams(word: Column, n: int) -> Column:
+    def grams(n: int) -> Column:
         starts = F.when(F.length(word) >= n, F.sequence(F.lit(1), F.length(word) - (n - 1))).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: word.substr(i, F.lit(n)))
 
-    padded = F.transform(tokens, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))  # once a word, not once a gram
-    return F.flatten(F.transform(padded, lambda w: F.concat(*[grams(w, n) for n in range(least, most + 1)])))
+    return F.concat(*[grams(n) for n in range(least, most + 1)])
+
+
+def char_terms(text: Column, least: int = 3, most: int = 5) -> Column:
+    """All substrings of the given lengths of each word with one space at both ends."""
+    return F.flatten(F.transform(padded_words(text), lambda w: word_grams(w, least, most)))
 
 
 # Words that a keyword fallback leaves out; a longer list of common English words for terms, which is a parameter.

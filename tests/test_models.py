@@ -366,3 +366,55 @@ def test_a_job_from_reviews_to_stored_gaps(spark, tmp_path):
     assert jobs.run(spark, "two", said, roadmap, root, None, top=2) == 2
     both = spark.read.parquet(f"{root}/gaps").groupBy("job_id").agg(F.count("*").alias("n"), F.max(F.col("llm_used").cast("int")).alias("used"), F.min(F.length("need")).alias("least")).collect()
     assert {r.job_id: (r.n, r.used) for r in both} == {"one": (3, 1), "two": (2, 0)} and all(r.least > 0 for r in both)
+
+
+def test_vectors_are_worked_out_once(spark):
+    """A pass over the texts costs minutes at size; groups were asked for before the vectors were written, and reviews were weighed again after the fit."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    rows = [(i, v.tolist()) for i, v in enumerate(drawn(11, 30, 3))]
+    vectors = spark.createDataFrame(rows, "member_id long, embedding array<double>").mapInArrow(run, "member_id long, embedding array<double>")
+    embedding.cluster(vectors)[0].count()
+    assert made.value == 30
+
+
+def test_runs_in_one_matrix_and_sums_on_both_ways(spark, monkeypatch):
+    """Sums of a pass are those of each run alone, whether the driver adds them up or tasks do."""
+    x = drawn(12, 50, 4)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "member_id long, embedding array<double>")
+    rows, _, _ = clusters.prepared(vectors, F.lit("all"), "member_id")
+    assert rows.rdd.getNumPartitions() > 1
+    for most in (0, 1 << 20):
+        monkeypatch.setattr("gaplens.operators.blocks.DIRECT", most)
+        runs = [clusters.Run(0, k, 0, x[:k].copy()) for k in (2, 3, 5)]
+        clusters._pass(rows, runs)
+        for r in runs:
+            far = ((x[:, None] - r.centroids[None]) ** 2).sum(2)
+            label = np.round(far, 12).argmin(1)
+            assert r.counts.tolist() == [(label == j).sum() for j in range(r.k)] and np.isclose(r.cost, far.min(1).sum())
+            assert np.allclose(r.sums, [x[label == j].sum(0) for j in range(r.k)])
+
+
+def test_gram_tasks_are_bounded(spark, monkeypatch):
+    """Each task of a Gram product sends a whole matrix, so their number follows the slots, not the corpus."""
+    seen = []
+    plain = lexical._projection
+    monkeypatch.setattr(lexical, "_projection", lambda rows, width, wanted: (seen.append(rows.rdd.getNumPartitions()), plain(rows, width, wanted))[1])
+    monkeypatch.setattr(lexical, "TASK_CELLS", 1)
+    docs = spark.createDataFrame([(i, f"{TEXTS[i % 6]} number {i}") for i in range(40)], "id long, text string").repartition(24)
+    Space.fit(docs, "id", "text", components=3)
+    assert seen[0] <= spark.sparkContext.defaultParallelism
+
+
+def test_fitted_rows_equal_weights(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string")
+    for grams in ("char_wb", "union"):
+        space = Space.fit(docs, "id", "text", grams)
+        rows = [{r.id: dict(zip(r.places, r.weights, strict=True)) for r in x.collect()} for x in (space.rows, space.weights(docs))]
+        assert rows[0].keys() == rows[1].keys() and all(rows[0][i].keys() == rows[1][i].keys() and np.allclose(list(rows[0][i].values()), list(rows[1][i].values())) for i in rows[0])
+        assert all(np.isclose(sum(w * w for w in r.values()), 1) for r in rows[0].values())
