@@ -418,3 +418,26 @@ def test_fitted_rows_equal_weights(spark):
         rows = [{r.id: dict(zip(r.places, r.weights, strict=True)) for r in x.collect()} for x in (space.rows, space.weights(docs))]
         assert rows[0].keys() == rows[1].keys() and all(rows[0][i].keys() == rows[1][i].keys() and np.allclose(list(rows[0][i].values()), list(rows[1][i].values())) for i in rows[0])
         assert all(np.isclose(sum(w * w for w in r.values()), 1) for r in rows[0].values())
+
+
+def test_a_task_holds_few_pairs_at_a_time(monkeypatch):
+    """Members of a chunk and items of a block meet CELLS pairs at a time, with the same results; a whole matrix took memory with both."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(13)
+    x, y = rng.normal(size=(37, 4)), rng.normal(size=(11, 4))
+    y[6] = y[2]
+    members = pa.table({"member_id": range(37), "cluster_id": [0] * 37, "embedding": x.tolist(), "expected_id": [i % 11 for i in range(37)], "aim": [round(float(v @ y[i % 11]), 12) for i, v in enumerate(x)]})
+    items = pa.table({"item_id": range(11), "embedding": y.tolist()})
+    sims = np.round(x @ y.T, 12)
+    held = []
+    plain = matching._tiles
+    monkeypatch.setattr(matching, "_tiles", lambda *given: (held.append(t[2].size) or t for t in plain(*given)))
+    for cells in (1, 30, 1 << 20):
+        monkeypatch.setattr(matching, "CELLS", cells)
+        held.clear()
+        got = matching._nearest(2)(members, items).to_pylist()
+        assert [(r["member_id"], r["item_id"]) for r in got] == [(i, j) for i in range(37) for j in sorted(range(11), key=lambda j: (-sims[i, j], j))[:2]]
+        assert max(held) <= max(cells, 11) and sum(held) == 37 * 11
+        counts = matching._beaten(members, items)["n"].to_pylist()
+        assert counts == [int((sims[i] > sims[i, i % 11]).sum() + (sims[i, : i % 11 + 1] == sims[i, i % 11]).sum()) for i in range(37)]
