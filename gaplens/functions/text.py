@@ -183,6 +183,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """The vector over its L2 norm; a zero vector stays."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double")))
+    """The vector over its L2 norm; a zero vector stays. A lambda binds vector and norm, else each element would work out both again."""
+    norm = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    bound = F.transform(F.array(v), lambda a: F.struct(a.alias("v"), norm(a).alias("n")))
+    over = lambda x, n: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))
+    return F.transform(bound, lambda b: F.transform(b["v"], lambda x: over(x, b["n"])))[0]

@@ -257,3 +257,11 @@ def test_keywords_count_only_pairs_of_common_words(spark, monkeypatch):
     assert got == {("g", 1): "dark", ("g", 2): "dark mode", ("g", 3): "mode", ("g", 4): "mode dark", ("h", 1): "one"}
     assert [df.columns for df in kept][1:] == [["source", "term", "total"], ["source", "term"], ["source", "doc_id", "term", "tf"]]
     assert kept[2].where("source = 'g'").count() == 5 and kept[3].count() == 5 * 40 + 1
+
+
+def test_a_vector_and_its_norm_are_worked_out_once(spark):
+    """A vector that is drawn anew whenever it is worked out has norm 1 only if that happens once; null and zero vectors stay."""
+    drawn = spark.range(50).select(tx.unit(F.array(F.rand(1), F.rand(2), F.rand(3))).alias("v"))
+    assert all(np.isclose(sum(x * x for x in r.v), 1) for r in drawn.collect())
+    given = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [])], "id int, v array<float>")
+    assert {r.id: r.v for r in given.select("id", tx.unit(F.col("v")).alias("v")).collect()} == {1: [0.6, 0.8], 2: [0.0, 0.0], 3: None, 4: []}
