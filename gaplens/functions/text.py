@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -177,6 +179,11 @@ def unique(items: Column) -> Column:
     return F.filter(items, lambda x, i: F.array_position(plain, F.lower(F.trim(x))) == i + 1)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of a value that is worked out once, however often and in whatever lambdas it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)

@@ -104,30 +104,30 @@ def _says(title: Column, url: Column, name: str, package: str):
 def _kept(texts: Column, title: Column, url: Column, name: str, package: str) -> Column:
     """Sentences that mention the product, of the sections that do."""
     says = _says(title, url, name, package)
-    return F.flatten(F.transform(texts, lambda s: F.when((s != "") & says(F.substring(s, 1, 2000)), F.filter(tx.sentences(s), says)).otherwise(F.array().cast("array<string>"))))
+    return F.flatten(F.transform(texts, lambda s: F.when((s != "") & says(s), F.filter(tx.sentences(s), says)).otherwise(F.array().cast("array<string>"))))
 
 
 def _fallback(bare: Column, title: Column, url: Column, name: str, package: str) -> Column:
-    """Of the first 20 sentences of a page whose title names the product, those with a token or a plan word."""
+    """Of the sentences of a page whose title names the product, those with a token or a plan word."""
     says = _says(title, url, name, package)
-    whole = F.substring(_plain(bare), 1, 4000)
     named = F.lower(title).contains(name.lower())
     if package:
         named = named | F.lower(F.concat(title, url)).contains(package.lower())
     wanted = lambda s: (hints(s, PAGE_PLAN) | _any_token(s, name, package)) & says(s)
-    return F.when(named & says(F.substring(whole, 1, 500)), F.filter(F.slice(tx.sentences(whole), 1, 20), wanted)).otherwise(F.array().cast("array<string>"))
+    return F.when(named, F.filter(tx.sentences(_plain(bare)), wanted)).otherwise(F.array().cast("array<string>"))
 
 
 def relevant_text(html: Column, title: Column, url: Column, name: str, package: str = "") -> Column:
-    """What a page says of a product, 6000 characters at most; null if nothing.
+    """What a page says of a product; null if nothing.
 
     Sentences that mention it, of the article, main and section elements that mention it (of the whole page without such
-    elements); failing those, of the first 20 sentences of a page whose title names it the ones with a token or a plan word.
+    elements); failing those, of the sentences of a page whose title names it the ones with a token or a plan word.
     """
     title, bare = F.coalesce(title, F.lit("")), _bare(html)
-    kept = _kept(_texts(bare, sections(bare)), title, url, name, package)
-    found = F.when(F.size(kept) > 0, kept).otherwise(_fallback(bare, title, url, name, package))
-    return F.when(F.size(found) > 0, F.substring(F.array_join(found, " "), 1, 6000))
+    kept = lambda b: F.struct(b["bare"].alias("bare"), _kept(b["texts"], title, url, name, package).alias("kept"))
+    found = lambda b: F.when(F.size(b["kept"]) > 0, b["kept"]).otherwise(_fallback(b["bare"], title, url, name, package))
+    once = tx.bound(tx.bound(F.struct(bare.alias("bare"), _texts(bare, sections(bare)).alias("texts")), kept), found)
+    return tx.bound(once, lambda said: F.when(F.size(said) > 0, F.array_join(said, " ")))
 
 
 def _any_token(text: Column, name: str, package: str) -> Column:

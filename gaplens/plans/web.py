@@ -109,10 +109,10 @@ _SAYS = lambda text: f"(contains(lower(concat_ws(' ', title, {text}, url)), 'the
 
 @query(rf"""WITH p AS (SELECT page_id, url, {_TITLE} AS title, {_BARE} AS bare FROM pages),
 s AS (SELECT *, regexp_extract_all(bare, '(?is)<(?:article|main|section)\b[^>]*>(.*?)</(?:article|main|section)\s*>', 1) AS found FROM p),
-t AS (SELECT *, list_transform(CASE WHEN len(found) > 0 THEN found ELSE [bare] END, lambda x: {_PLAIN("x")}) AS sections, substring({_PLAIN("bare")}, 1, 4000) AS whole FROM s),
-k AS (SELECT *, flatten(list_transform(sections, lambda x: CASE WHEN x <> '' AND {_SAYS("substring(x, 1, 2000)")} THEN list_filter({sentences("x", 40, 320)}, lambda y: {_SAYS("y")}) ELSE [] END)) AS kept FROM t),
-f AS (SELECT *, CASE WHEN {_SAYS("substring(whole, 1, 500)")} AND contains(lower(title), 'the or') THEN list_filter({sentences("whole", 40, 320)}[1:20], lambda y: {_SAYS("y")} AND (contains(lower(y), 'the') OR {hint("y", _PLAN + "|milestone")})) ELSE [] END AS rest FROM k)
-SELECT page_id, substring(array_to_string(CASE WHEN len(kept) > 0 THEN kept ELSE rest END, ' '), 1, 6000) AS text FROM f WHERE len(kept) > 0 OR len(rest) > 0""")
+t AS (SELECT *, list_transform(CASE WHEN len(found) > 0 THEN found ELSE [bare] END, lambda x: {_PLAIN("x")}) AS sections, {_PLAIN("bare")} AS whole FROM s),
+k AS (SELECT *, flatten(list_transform(sections, lambda x: CASE WHEN x <> '' AND {_SAYS("x")} THEN list_filter({sentences("x", 40, 320)}, lambda y: {_SAYS("y")}) ELSE [] END)) AS kept FROM t),
+f AS (SELECT *, CASE WHEN {_SAYS("whole")} AND contains(lower(title), 'the or') THEN list_filter({sentences("whole", 40, 320)}, lambda y: {_SAYS("y")} AND (contains(lower(y), 'the') OR {hint("y", _PLAN + "|milestone")})) ELSE [] END AS rest FROM k)
+SELECT page_id, array_to_string(CASE WHEN len(kept) > 0 THEN kept ELSE rest END, ' ') AS text FROM f WHERE len(kept) > 0 OR len(rest) > 0""")
 def fil26_relevant_text(spark, d):
     title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
     found = table(spark, d, "pages").select("page_id", pages.relevant_text(F.col("html"), title, F.col("url"), "The Or").alias("text"))
