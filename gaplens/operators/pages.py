@@ -82,7 +82,7 @@ def page_source(pages: DataFrame, name: str, package: str = "", repo: str | None
     rows = rows.withColumn("texts", _texts(F.col("bare"), sections(F.col("bare"))))
     rows = rows.withColumn("kept", _kept(F.col("texts"), F.col("title"), F.col("url"), name, package))
     rows = rows.withColumn("found", F.when(F.size("kept") > 0, F.col("kept")).otherwise(_fallback(F.col("bare"), F.col("title"), F.col("url"), name, package)))
-    return rows.where(F.size("found") > 0).select(F.col("url").alias("source_url"), F.substring(F.array_join("found", " "), 1, 6000).alias("text"), "title")
+    return rows.where(F.size("found") > 0).select(F.col("url").alias("source_url"), F.array_join("found", " ").alias("text"), "title")
 
 
 def _bare(html: Column) -> Column:

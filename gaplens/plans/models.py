@@ -174,9 +174,9 @@ _OFFICIAL = "'github.com', 'gitlab.com', 'bitbucket.org', 'changelog.com', 'keep
 @query(rf"""WITH p AS (SELECT page_id, url, trim({_TITLE}) AS title, {_BARE} AS bare, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)) AS host FROM pages), q AS (SELECT *, regexp_replace(host, '^www\.', '') AS naked FROM p),
 o AS (SELECT * FROM q WHERE host <> '' AND (host IN ({_OFFICIAL}) OR naked IN ({_OFFICIAL}) OR len(list_filter([{_OFFICIAL}], lambda x: ends_with(host, '.' || x) OR ends_with(naked, '.' || x))) > 0)),
 s AS (SELECT *, regexp_extract_all(bare, '(?is)<(?:article|main|section)\b[^>]*>(.*?)</(?:article|main|section)\s*>', 1) AS found FROM o),
-t AS (SELECT *, list_transform(CASE WHEN len(found) > 0 THEN found ELSE [bare] END, lambda x: {_PLAIN("x")}) AS sections, substring({_PLAIN("bare")}, 1, 4000) AS whole FROM s),
-k AS (SELECT *, flatten(list_transform(sections, lambda x: CASE WHEN x <> '' AND {_SAYS("substring(x, 1, 2000)")} THEN list_filter({sentences("x", 40, 320)}, lambda y: {_SAYS("y")}) ELSE [] END)) AS kept FROM t),
-f AS (SELECT *, CASE WHEN {_SAYS("substring(whole, 1, 500)")} AND contains(lower(title), 'the or') THEN list_filter({sentences("whole", 40, 320)}[1:20], lambda y: {_SAYS("y")} AND (contains(lower(y), 'the') OR {hint("y", _PLAN + "|milestone")})) ELSE [] END AS rest FROM k)
-SELECT url AS source_url, substring(array_to_string(CASE WHEN len(kept) > 0 THEN kept ELSE rest END, ' '), 1, 6000) AS text, title FROM f WHERE len(kept) > 0 OR len(rest) > 0""")
+t AS (SELECT *, list_transform(CASE WHEN len(found) > 0 THEN found ELSE [bare] END, lambda x: {_PLAIN("x")}) AS sections, {_PLAIN("bare")} AS whole FROM s),
+k AS (SELECT *, flatten(list_transform(sections, lambda x: CASE WHEN x <> '' AND {_SAYS("x")} THEN list_filter({sentences("x", 40, 320)}, lambda y: {_SAYS("y")}) ELSE [] END)) AS kept FROM t),
+f AS (SELECT *, CASE WHEN {_SAYS("whole")} AND contains(lower(title), 'the or') THEN list_filter({sentences("whole", 40, 320)}, lambda y: {_SAYS("y")} AND (contains(lower(y), 'the') OR {hint("y", _PLAN + "|milestone")})) ELSE [] END AS rest FROM k)
+SELECT url AS source_url, array_to_string(CASE WHEN len(kept) > 0 THEN kept ELSE rest END, ' ') AS text, title FROM f WHERE len(kept) > 0 OR len(rest) > 0""")
 def src10_page_source(spark, d):
     return pages.page_source(table(spark, d, "pages"), "The Or", domains=("example.com", "example.org"))

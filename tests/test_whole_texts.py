@@ -19,3 +19,10 @@ def test_relevant_text_reads_whole_pages(spark):
     found = df.select("id", pages.relevant_text(F.col("html"), F.col("title"), F.lit("https://a.example/b"), "Fine Notes").alias("text"))
     got = {r.id: r.text for r in found.collect()}
     assert got == {1: late, 2: " ".join(many), 3: "The roadmap is long and the last of its lines is here."}
+
+
+def test_page_source_reads_whole_pages(spark):
+    late, many = "Fine Notes will get an offline mode in the coming year.", [f"Fine Notes brings the large improvement number {i:03d} to everyone." for i in range(150)]
+    rows = [("https://github.com/a", f"<title>News</title><main>{FILL * 60}{late}</main>"), ("https://github.com/b", f"<main>{' '.join(many)}</main>")]
+    found = pages.page_source(spark.createDataFrame(rows, "url string, html string"), "Fine Notes")
+    assert {r.source_url[-1]: r.text for r in found.collect()} == {"a": late, "b": " ".join(many)}
