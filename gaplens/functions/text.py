@@ -175,8 +175,9 @@ def python_repr(text: Column) -> Column:
 
 def unique(items: Column) -> Column:
     """Each text of an array once as it stands, the first of those that differ in case and outer space only."""
-    plain = F.transform(items, lambda x: F.lower(F.trim(x)))
-    return F.filter(items, lambda x, i: F.array_position(plain, F.lower(F.trim(x))) == i + 1)
+    plain = lambda a: F.transform(a, lambda x: F.lower(F.trim(x)))
+    once = lambda b: F.filter(b["items"], lambda x, i: F.array_position(b["plain"], F.lower(F.trim(x))) == i + 1)
+    return bound(bound(items, lambda a: F.struct(a.alias("items"), plain(a).alias("plain"))), once)
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -17,6 +17,8 @@ FEATURE = r"feature|supports?|you can|ability to|includes?|built[- ]in|offline|s
 PLAN = r"roadmap|coming soon|planned|we('?re| are) working|will (add|launch|introduce|ship)|upcoming|next (version|release)|on our (list|backlog)|in development|beta"
 INTERVIEW = r"interview|podcast|keynote|we announced|we promised|told (reporters|users)|in an interview|our vision|long[- ]term|eventually"
 PAGE_PLAN = f"{PLAN}|milestone"
+#: Of a hit of a web roadmap: characters of its page, sentences, and entries of each list.
+HIT = (2500, 40, 8)
 NO_OWNERS = ("topics", "search", "orgs", "settings")
 
 
@@ -24,26 +26,40 @@ def hints(text: Column, words: str) -> Column:
     return text.rlike(rf"(?iU)\b({words})\b")
 
 
-def classified(title: Column, snippet: Column, page: Column) -> Column:
-    """struct(kind, current, planned, promised) of a search hit: what its sentences say, each list of 8 at most."""
+def classified(title: Column, snippet: Column, page: Column, chars: int | None = None, most: int | None = None, each: int | None = None) -> Column:
+    """struct(kind, current, planned, promised) of a search hit: what its sentences say.
+
+    Whole pages and lists by default; a caller may bound the page's characters, the sentences read and each list's length (and a bullet's, with it).
+    """
     title, snippet, page = (F.coalesce(c, F.lit("")) for c in (title, snippet, page))
-    blob = F.concat_ws("\n", title, snippet, F.substring(page, 1, 2500))
     lowered = F.lower(title)
-    kind = F.when(hints(blob, PLAN) | lowered.contains("roadmap"), "planned").when(hints(blob, INTERVIEW), "interview_signal").when(hints(blob, FEATURE) | lowered.contains("feature"), "current_feature").otherwise("other")
-    sents = F.slice(tx.sentences(blob, 40, 280), 1, 40)
-    planned = F.filter(sents, lambda s: hints(s, PLAN))
-    promised = F.filter(sents, lambda s: hints(s, PLAN) & (hints(blob, INTERVIEW) | hints(s, INTERVIEW)))
-    current = F.filter(sents, lambda s: ~hints(s, PLAN) & hints(s, FEATURE))
-    thin = (F.size(current) == 0) & (F.size(planned) == 0) & (snippet != "")
-    bullet = F.array(F.substring(F.concat(title, F.lit(": "), snippet), 1, 240))
-    none = F.array().cast("array<string>")
-    taken = lambda wanted, found: F.slice(tx.unique(F.when(thin & wanted, bullet).when(thin, none).otherwise(found)), 1, 8)
-    return F.struct(
-        kind.alias("kind"),
-        taken(~kind.isin("planned", "interview_signal"), current).alias("current"),
-        taken(kind == "planned", planned).alias("planned"),
-        taken(kind == "interview_signal", promised).alias("promised"),
-    )
+    first = lambda items, n: F.slice(items, 1, n) if n else items
+
+    def said(blob: Column) -> Column:
+        kind = F.when(hints(blob, PLAN) | lowered.contains("roadmap"), "planned").when(hints(blob, INTERVIEW), "interview_signal").when(hints(blob, FEATURE) | lowered.contains("feature"), "current_feature").otherwise("other")
+        sents = F.transform(first(tx.sentences(blob, 40, 280), most), lambda s: F.struct(s.alias("s"), hints(s, PLAN).alias("plan")))
+        return F.struct(kind.alias("kind"), hints(blob, INTERVIEW).alias("talk"), sents.alias("sents"))
+
+    def found(b: Column) -> Column:
+        which = lambda wanted: F.transform(F.filter(b["sents"], wanted), lambda x: x["s"])
+        planned, current = which(lambda x: x["plan"]), which(lambda x: ~x["plan"] & hints(x["s"], FEATURE))
+        promised = which(lambda x: x["plan"] & (b["talk"] | hints(x["s"], INTERVIEW)))
+        return F.struct(b["kind"].alias("kind"), current.alias("current"), planned.alias("planned"), promised.alias("promised"))
+
+    def listed(b: Column) -> Column:
+        kind, thin = b["kind"], (F.size(b["current"]) == 0) & (F.size(b["planned"]) == 0) & (snippet != "")
+        text = F.concat(title, F.lit(": "), snippet)
+        bullet, none = F.array(F.substring(text, 1, 240) if each else text), F.array().cast("array<string>")
+        taken = lambda wanted, part: first(tx.unique(F.when(thin & wanted, bullet).when(thin, none).otherwise(b[part])), each)
+        return F.struct(
+            kind.alias("kind"),
+            taken(~kind.isin("planned", "interview_signal"), "current").alias("current"),
+            taken(kind == "planned", "planned").alias("planned"),
+            taken(kind == "interview_signal", "promised").alias("promised"),
+        )
+
+    blob = F.concat_ws("\n", title, snippet, F.substring(page, 1, chars) if chars else page)
+    return tx.bound(tx.bound(tx.bound(blob, said), found), listed)
 
 
 _SECTION = re.compile(r"<(/?)(article|main|section)\b[^>]*>", re.IGNORECASE)
@@ -199,7 +215,7 @@ def external_items(page_items: DataFrame, pasted: DataFrame) -> DataFrame:
 
 def web_roadmap(hits: DataFrame, key: str, name: str, package: str = "", pages: int = 12, most: int = 25) -> DataFrame:
     """A roadmap for each key from its search hits (ord, url, title, body, page): relevant addresses once, the first `pages` of them
-    classified, lists of `most` at most."""
+    classified by their first HIT characters, sentences and entries, lists of `most` at most."""
     relevant = hits.where(F.trim("url") != "").where(~tx.host_denied(F.col("url"))).where(mentions_product(F.concat_ws(" ", "title", "body", "url"), name, package, strict=True))
     first = relevant.groupBy(key, F.trim("url").alias("__url")).agg(F.min("ord").alias("ord"))  # neither texts nor pages travel to be ranked
     place = F.row_number().over(Window.partitionBy(key).orderBy("ord", "__url"))
@@ -209,7 +225,7 @@ def web_roadmap(hits: DataFrame, key: str, name: str, package: str = "", pages:
     rows = rows.select(key, (F.col("__place") - 1).alias("place"), hit).dropDuplicates([key, "place"])
     page = F.coalesce("h.page", F.lit(""))
     rows = rows.where((page == "") | mentions_product(F.concat_ws(" ", "h.title", F.substring(page, 1, 1500), "h.url"), name, package, strict=True))
-    rows = rows.withColumn("c", classified(F.col("h.title"), F.col("h.body"), page))
+    rows = rows.withColumn("c", classified(F.col("h.title"), F.col("h.body"), page, *HIT))
     every = lambda part: F.slice(tx.unique(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", F.col(f"c.{part}").alias("l")))), lambda x: x["l"]))), 1, most)
     return rows.groupBy(key).agg(F.count("*").alias("sources"), every("current").alias("current"), every("planned").alias("planned"), every("promised").alias("promised"))
 

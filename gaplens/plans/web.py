@@ -61,14 +61,22 @@ _TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
 _FEATURE = r"feature|supports?|you can|ability to|includes?|built[- ]in|offline|sync|export|import|dark mode|notification|widget|integration|api|share|backup|encrypt"
 _PLAN = r"roadmap|coming soon|planned|we('?re| are) working|will (add|launch|introduce|ship)|upcoming|next (version|release)|on our (list|backlog)|in development|beta"
 _TALK = r"interview|podcast|keynote|we announced|we promised|told (reporters|users)|in an interview|our vision|long[- ]term|eventually"
-_HITS = f"""hits AS (SELECT page_id, url, CASE WHEN page_id % 6 = 3 THEN 'Roadmap' ELSE {_TITLE} END AS title, CASE WHEN page_id % 2 = 0 THEN substring({_TEXT}, 1, 60) ELSE '' END AS body,
-  [{", ".join(f"'{x}'" for x in _LEADS)}][page_id % 6 + 1] || {_TEXT} AS page FROM pages),
-blobs AS (SELECT *, concat_ws(chr(10), title, body, substring(page, 1, 2500)) AS blob FROM hits),
-parts AS (SELECT *, {sentences("blob", 40, 280)}[1:40] AS s, CASE WHEN {hint("blob", _PLAN)} OR contains(lower(title), 'roadmap') THEN 'planned' WHEN {hint("blob", _TALK)} THEN 'interview_signal' WHEN {hint("blob", _FEATURE)} OR contains(lower(title), 'feature') THEN 'current_feature' ELSE 'other' END AS kind FROM blobs),
+_LEAD = f"""hits AS (SELECT page_id, url, CASE WHEN page_id % 6 = 3 THEN 'Roadmap' ELSE {_TITLE} END AS title, CASE WHEN page_id % 2 = 0 THEN substring({_TEXT}, 1, 60) ELSE '' END AS body,
+  [{", ".join(f"'{x}'" for x in _LEADS)}][page_id % 6 + 1] || {_TEXT} AS page FROM pages)"""
+
+
+def _classified(page: str = "page", most: str = "", bullet: str = "title || ': ' || body", each: str = "") -> str:
+    """The parts of SQL that classify hits: whole, or with the given cuts."""
+    return f"""blobs AS (SELECT *, concat_ws(chr(10), title, body, {page}) AS blob FROM hits),
+parts AS (SELECT *, {sentences("blob", 40, 280)}{most} AS s, CASE WHEN {hint("blob", _PLAN)} OR contains(lower(title), 'roadmap') THEN 'planned' WHEN {hint("blob", _TALK)} THEN 'interview_signal' WHEN {hint("blob", _FEATURE)} OR contains(lower(title), 'feature') THEN 'current_feature' ELSE 'other' END AS kind FROM blobs),
 lists AS (SELECT *, list_filter(s, lambda x: {hint("x", _PLAN)}) AS p, list_filter(s, lambda x: {hint("x", _PLAN)} AND ({hint("blob", _TALK)} OR {hint("x", _TALK)})) AS q, list_filter(s, lambda x: NOT {hint("x", _PLAN)} AND {hint("x", _FEATURE)}) AS c FROM parts),
-thin AS (SELECT *, len(c) = 0 AND len(p) = 0 AND body <> '' AS thin, [substring(title || ': ' || body, 1, 240)] AS bullet FROM lists),
+thin AS (SELECT *, len(c) = 0 AND len(p) = 0 AND body <> '' AS thin, [{bullet}] AS bullet FROM lists),
 taken AS (SELECT *, CASE WHEN thin AND kind NOT IN ('planned', 'interview_signal') THEN bullet WHEN thin THEN [] ELSE c END AS c1, CASE WHEN thin AND kind = 'planned' THEN bullet WHEN thin THEN [] ELSE p END AS p1, CASE WHEN thin AND kind = 'interview_signal' THEN bullet WHEN thin THEN [] ELSE q END AS q1 FROM thin),
-classified AS (SELECT page_id, url, title, body, page, kind, {unique("c1")}[1:8] AS current, {unique("p1")}[1:8] AS planned, {unique("q1")}[1:8] AS promised FROM taken)"""
+classified AS (SELECT page_id, url, title, body, page, kind, {unique("c1")}{each} AS current, {unique("p1")}{each} AS planned, {unique("q1")}{each} AS promised FROM taken)"""
+
+
+_HITS = f"""{_LEAD},
+{_classified("substring(page, 1, 2500)", "[1:40]", "substring(title || ': ' || body, 1, 240)", "[1:8]")}"""
 
 
 def hits(spark, d):
@@ -80,7 +88,7 @@ def hits(spark, d):
     return table(spark, d, "pages").select("page_id", "url", title.alias("title"), F.when(F.col("page_id") % 2 == 0, F.substring(text, 1, 60)).otherwise("").alias("body"), F.concat(lead, text).alias("page"))
 
 
-@query(f"WITH {_HITS} SELECT page_id, kind, array_to_string(current, '|') AS current, array_to_string(planned, '|') AS planned, array_to_string(promised, '|') AS promised FROM classified")
+@query(f"WITH {_LEAD},\n{_classified()} SELECT page_id, kind, array_to_string(current, '|') AS current, array_to_string(planned, '|') AS planned, array_to_string(promised, '|') AS promised FROM classified")
 def str09_page_kind(spark, d):
     found = hits(spark, d).select("page_id", pages.classified(F.col("title"), F.col("body"), F.col("page")).alias("c"))
     return found.select("page_id", F.col("c.kind").alias("kind"), *[F.array_join(f"c.{x}", "|").alias(x) for x in ("current", "planned", "promised")])

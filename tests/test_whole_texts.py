@@ -26,3 +26,16 @@ def test_page_source_reads_whole_pages(spark):
     rows = [("https://github.com/a", f"<title>News</title><main>{FILL * 60}{late}</main>"), ("https://github.com/b", f"<main>{' '.join(many)}</main>")]
     found = pages.page_source(spark.createDataFrame(rows, "url string, html string"), "Fine Notes")
     assert {r.source_url[-1]: r.text for r in found.collect()} == {"a": late, "b": " ".join(many)}
+
+
+def test_a_hit_is_classified_by_its_whole_page(spark):
+    plans = [f"The planned change number {i:03d} comes to everybody in time." for i in range(50)]
+    page = FILL * 60 + " ".join(plans)
+    hit = F.struct(F.lit("Notes").alias("t"), F.lit("").alias("s"), F.lit(page).alias("p"))
+    whole, bounded = pages.classified(hit["t"], hit["s"], hit["p"]), pages.classified(hit["t"], hit["s"], hit["p"], *pages.HIT)
+    got = spark.range(1).select(whole.alias("w"), bounded.alias("b")).first()
+    assert got.w.kind == "planned" and got.w.planned == plans and got.w.current == [] == got.w.promised
+    assert got.b.kind == "other" and got.b.planned == []
+    long = "x" * 300
+    thin = spark.range(1).select(pages.classified(F.lit("Feature"), F.lit(long), F.lit("")).alias("c")).first().c
+    assert thin.current == [f"Feature: {long}"]
